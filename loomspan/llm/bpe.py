@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -83,11 +85,14 @@ class Tokenizer:
         self.shorter = {i: next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), -1) for i, s in symbols.items()}
         self.matches = ahocorasick.Automaton()
         for s, i in by_symbols.items():
-            self.matches.add_word(s, i)
+            self.matches.add_word(s, (i, len(s) - 1))
         self.matches.make_automaton()
         stand = byte_symbols()
         self.table = {b: stand[b] for b in range(256)}
+        #: A token that merging gives as it stands is its own encoding; all of them are, which the tests verify.
+        self.whole = {s: [i] for s, i in by_symbols.items()}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         pieces = [(" " + texts.get(i, "")).encode() for i in range(max(texts) + 1)]
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -96,22 +101,21 @@ class Tokenizer:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether rank-ordered merging leaves the border between neighbours a and b alone. Ids of merged tokens rise with rank."""
-        if (known := self.pairs.get((a, b))) is not None:
-            return known
-        left, right, before, out = a, b, float("inf"), True
+        merged, halves = self.merged.get, self.halves.get
+        left, right, before, out = a, b, 1 << 40, True
         while True:
-            across = self.merged.get((left, right))
-            if across is not None and across < before:
+            if merged((left, right), before) < before:
                 out = False
                 break
-            latest = max(left, right)
-            if latest not in self.halves:
-                break
             # Undo the later merge; of equal ones the left one came first, so the right one is undone first.
             if left > right:
-                before, left = left, self.halves[left][1]
+                if (parts := halves(left)) is None:
+                    break
+                before, left = left, parts[1]
             else:
-                before, right = right + 1, self.halves[right][0]
+                if (parts := halves(right)) is None:
+                    break
+                before, right = right + 1, parts[0]
         if len(self.pairs) > 2 * MEMORY:
             self.pairs.clear()
         self.pairs[a, b] = out
@@ -120,32 +124,46 @@ class Tokenizer:
     def word(self, raw: bytes) -> list[int]:
         s = raw.decode("latin-1").translate(self.table)
         s = s[:-1] + chr(ord(s[-1]) + _LAST)
-        n, length = len(s), self.length
+        if (whole := self.whole.get(s)) is not None:
+            return whole
+        n, length, pairs = len(s), self.length, self.pairs.get
         longest = [-1] * n
-        for end, i in self.matches.iter(s):
-            longest[end + 1 - length[i]] = i
+        for end, (i, back) in self.matches.iter(s):
+            longest[end - back] = i
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
+        last = -1
         while True:
             end = at + length[token]
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                if end == n:
-                    return out
-                at, token = end, longest[end]
-                continue
+            if not dead[end]:
+                ok = last < 0 or pairs((last, token))
+                if ok or (ok is None and self.compatible(last, token)):
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
             token = self.shorter[token]
             while token < 0:
                 dead[at] = 1
-                last = out.pop()
-                at -= length[last]
-                token = self.shorter[last]
+                gone = out.pop()
+                at -= length[gone]
+                last = out[-1] if out else -1
+                token = self.shorter[gone]
 
     def chunk(self, text: str) -> bytes:
         pieces = [p for p, _ in self.far_split.pre_tokenize_str(text)] if _FAR.search(text) else self.pattern.findall(text)
-        ids = [i for piece in pieces for i in self.word(piece.encode())]
-        return np.array(ids, "<u4").tobytes()
+        out, words = [], self.words
+        for p in pieces:
+            if (x := words.get(p)) is None:
+                x = array("I", self.word(p.encode())).tobytes()
+                if len(words) >= MEMORY:
+                    words.clear()
+                if len(p) <= 64:
+                    words[p] = x
+            out.append(x)
+        return b"".join(out)
 
     def plain(self, text: str) -> bytes:
         if text.isascii():
@@ -190,6 +208,10 @@ class Tokenizer:
         return self.bytes[np.cumsum(step)].tobytes()[1:]
 
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -208,7 +230,8 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "_ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("_ids", "array<int>"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_ids` array<int>"])
+    return docs.mapInArrow(run, schema)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

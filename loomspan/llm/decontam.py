@@ -162,7 +162,7 @@ class Benchmark:
         known = words > 0
         gap = np.append(True, ~known[:-1]) | border
         lead = known & gap
-        at = np.cumsum(known + lead) - 1  # a separator goes before each run
+        at = np.cumsum(known.astype(np.int64) + lead) - 1  # a separator goes before each run
         n = int(at[-1]) + 2
         symbols, place = np.zeros(n, np.int32), np.zeros(n, np.int64)
         symbols[at[known]] = words[known]

@@ -8,7 +8,7 @@ passages out of the lists without losing a pair.
 
 In short lists all pairs are candidates. In a long one, each round compares one centre with all others; members already linked
 in one component need no more, and centres are done. Lists that are still long and divided after ROUNDS go through blocks of
-sketches, all against all, from which only pairs that can pass come out. Candidates pass an estimate from the union's sketch,
+larger sketches, all against all, from which only pairs that can pass come out. Candidates pass an estimate from the union's sketch,
 then the exact index of the full sets (64-bit shingle hashes). Components come from min-label propagation with pointer jumps.
 
 Null or empty texts have empty sets and link with nothing. Rows that share a doc_id are one document that belongs to the classes
@@ -34,8 +34,10 @@ SKETCH = 48
 #: Taken off the threshold for the share of sketch values that a linked pair surely has: five deviations or more.
 SLACK = 0.38
 SHORT_LIST = 8
-ROUNDS = 3
-BLOCK = 256
+ROUNDS = 2
+#: Documents to a block of a list that stays divided, and hashes of each that its comparison keeps.
+BLOCK = 1024
+KEEP = 256
 
 
 class _Words(dict):
@@ -123,43 +125,66 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
             return out
 
 
-def _blocks(share: Fraction, threshold: Fraction):
-    """All pairs of two blocks of sketches that can pass; pairs within a component can't."""
+def _blocks(t: Fraction, keep: int):
+    """All pairs of two blocks of a list that can pass and aren't in one component yet, each in the first list that both are in.
+
+    v: the `keep` least hashes of a set, cut to 32 bits (which can only raise the overlap). Where both sets are whole in v, the
+    index is known, and one pair for each document and component of the other block is enough; else the overlap must reach the
+    threshold less six deviations of the estimate."""
+    num, den = t.numerator, t.denominator
+    slack = 6 * float(t * (1 - t) / keep) ** 0.5
 
     def run(pdf):
         import pandas as pd
 
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        both = [np.array(list(map(np.asarray, x["sketch"])), dtype=object) for x in (left, right)]
-        values, at = np.unique(np.concatenate([v for x in both for v in x]), return_inverse=True)
-        cells, k = [], 0
-        for x in both:
-            m = np.zeros((len(x), len(values)), np.float32)
-            for r, s in enumerate(x):
-                m[r, at[k : k + len(s)]] = 1
-                k += len(s)
-            cells.append(m)
-        common = cells[0] @ cells[1].T
-        size = [x["n"].to_numpy() for x in (left, right)]
-        low, high = np.minimum.outer(*size), np.maximum.outer(*size)
-        kept = np.minimum.outer(*[[len(s) for s in x] for x in both])
-        ok = (common >= float(share) * kept - 1e-6) & (low * threshold.denominator >= high * threshold.numerator)
-        ok &= left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None, :]
-        a, b = np.nonzero(ok)
-        a, b = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})[lambda d: d["a"] != d["b"]]
+        i, j, h = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["h32"].iloc[0])
+        sides = [pdf[pdf["block"] == i].sort_values("id"), pdf[pdf["block"] == j].sort_values("id")]
+        held = [[np.asarray(v, np.int64) for v in x["v"]] for x in sides]
+        sizes = [np.array([len(v) for v in x], np.int64) for x in held]
+        flat = np.concatenate([v for x in held for v in x])
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        at, ok = column[at], count[at] > 1
+        cut = int(sizes[0].sum())
+        rows = [np.repeat(np.arange(len(x)), x) for x in sizes]
+        common = np.zeros((len(held[0]), len(held[1])), np.float32)
+        for a in range(0, int((count > 1).sum()), 4096):
+            part = []
+            for r, c, o, x in ((rows[0], at[:cut], ok[:cut], held[0]), (rows[1], at[cut:], ok[cut:], held[1])):
+                m = np.zeros((len(x), 4096), np.float32)
+                here = o & (c >= a) & (c < a + 4096)
+                m[r[here], c[here] - a] = 1
+                part.append(m)
+            common += part[0] @ part[1].T
+        n = [x["n"].to_numpy(np.int64) for x in sides]
+        low, high, total = np.minimum.outer(*n), np.maximum.outer(*n), np.add.outer(*n)
+        whole = high <= keep
+        sure = whole & (common * (num + den) >= num * total - 1e-3)
+        maybe = ~whole & (low * den >= high * num) & (common >= (float(t) - slack) * np.minimum(low, keep))
+        apart = sides[0]["c"].to_numpy()[:, None] != sides[1]["c"].to_numpy()[None, :]
+        lists = [[np.asarray(v, np.int64) for v in x["pre"]] for x in sides]
+        ids = [x["id"].to_numpy() for x in sides]
+        comp = sides[1]["c"].to_numpy()
+        out, linked = [], set()
+        for a, b in zip(*np.nonzero((sure | maybe) & apart), strict=True):
+            if sure[a, b]:
+                if (a, comp[b]) in linked:
+                    continue
+                linked.add((a, comp[b]))
+            elif int(np.intersect1d(lists[0][a], lists[1][b]).min()) != h:
+                continue
+            out.append((min(ids[0][a], ids[1][b]), max(ids[0][a], ids[1][b])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: str = "0.8", *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: str = "0.8", *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """A row for each doc_id: id_col, n_shingles, component_id, kept. threshold: a decimal or fraction, compared exactly."""
     spark, t = docs.sparkSession, Fraction(threshold)
-    share = max(Fraction(1, k), t - Fraction(str(SLACK)))
+    share = max(Fraction(1, SKETCH), t - Fraction(str(SLACK)))
     tables = Tables(spark)
-    rows = tables.keep(sketches(docs, id_col, text_col, width, k), "sketches")
+    rows = tables.keep(sketches(docs, id_col, text_col, width, SKETCH), "sketches")
     classes = tables.keep(rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("digest", "r.*"), "classes")
     # A document with several texts can stand for several classes, so classes are known by digest; ids are their names.
     edges = _links(classes, docs, tables, t, share, id_col, text_col, width)
@@ -182,61 +207,67 @@ def _links(classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, sha
     # Values that no other document has come first among the rarest; what they leave over is listed.
     rest = (F.col("m") - needed + 1 - (F.col("m") - F.size("own"))).cast("int")
     lists = shared.where(rest > 0).select("id", "n", F.explode(F.slice("own", 1, rest)).alias("o")).select("id", "n", F.col("o.h").alias("h"))
-    lists = tables.keep(lists, "lists-0")
-    id_type = classes.schema["id"].dataType.simpleString()
-    edges = [spark.createDataFrame([], f"a {id_type}, b {id_type}")]
-    labels = spark.createDataFrame([], f"id {id_type}, c {id_type}")
+    lists = tables.keep(lists, "lists")
     # Sizes alone bound the index: |A and B| / |A or B| is at most the smaller over the larger.
     near = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-    order = F.struct(F.xxhash64("id").alias("x"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("c").alias("c"))
+    check = lambda pairs, name: _verified(pairs, classes, docs, tables, t, share, id_col, text_col, width, name)
+    sizes = tables.keep(lists.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes")
+    short = lists.join(sizes.where(F.col("size") <= SHORT_LIST), "h").groupBy("h").agg(F.collect_list(F.struct("id", "n")).alias("g"))
+    pair = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (x["id"] < y["id"]) & near(x["n"], y["n"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    pairs = short.select(F.explode(pair).alias("p")).select("p.a", "p.b")
+    long = tables.keep(lists.join(sizes.where(F.col("size") > SHORT_LIST).select("h"), "h"), "long")
+    # A document in many long lists stands in the middle of a large group: it makes the better centre.
+    state = long.join(long.groupBy("id").agg(F.count(F.lit(1)).alias("deg")), "id").withColumn("c", F.col("id"))
+    order = F.struct((-F.col("deg")).alias("d"), F.xxhash64("id").alias("x"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("c").alias("c"))
+    edges = None
     for turn in range(ROUNDS + 1):
-        state = lists.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
         heads = state.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(order).alias("head"))
-        heads = tables.keep(heads.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))), f"heads-{turn}")
-        if not heads.limit(1).count():
-            break
-        short = heads.where(F.col("size") <= SHORT_LIST).select("h") if turn == 0 else None
-        long = heads.where(F.col("size") > SHORT_LIST) if turn == 0 else heads
-        pairs = []
-        if short is not None:
-            group = state.join(short, "h").groupBy("h").agg(F.collect_list(F.struct("id", "n")).alias("g"))
-            pair = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (x["id"] < y["id"]) & near(x["n"], y["n"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-            pairs.append(group.select(F.explode(pair).alias("p")).select("p.a", "p.b"))
-        rest = state.join(long.select("h", "head"), "h")
-        if turn < ROUNDS:
-            star = rest.where((F.col("c") != F.col("head.c")) & near(F.col("n"), F.col("head.n")))
-            pairs.append(star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")))
-            lists_next = rest.where(F.col("id") != F.col("head.id")).select("id", "n", "h")
-        else:
-            sizes = state.join(long.select("h", "size"), "h").join(classes.select("id", "sketch"), "id")
-            sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-            dealt = sizes.select("h", "id", "n", "c", "sketch", "block", other).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o")
-            pairs.append(dealt.groupBy("h", "i", "j").applyInPandas(_blocks(share, t), f"a {id_type}, b {id_type}"))
-            lists_next = None
-        found = pairs[0]
-        for p in pairs[1:]:
-            found = found.union(p)
-        edges.append(_verified(found.distinct(), classes, docs, tables, t, share, id_col, text_col, width, turn))
-        if lists_next is None:
-            break
-        kept = tables.keep(lists_next, f"lists-{turn + 1}")
-        tables.drop(lists)
-        lists = kept
-        if not lists.limit(1).count():
-            break
-        all_edges = edges[0]
-        for e in edges[1:]:
-            all_edges = all_edges.union(e)
-        labels = components(all_edges, tables, f"c{turn}")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, share: Fraction, id_col: str, text_col: str, width: int, turn: int) -> DataFrame:
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("digest").alias(f"d{x}"))
+        heads = tables.keep(heads.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).select("h", "size", "head"), f"heads-{turn}")
+        more = heads.limit(1).count() > 0
+        if not more and edges is not None:
+            return edges
+        if more:
+            divided = state.join(heads, "h")
+            if turn < ROUNDS:
+                star = divided.where((F.col("c") != F.col("head.c")) & near(F.col("n"), F.col("head.n")))
+                star = star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
+            else:
+                star = _rest(tables.keep(divided.select("h", "id", "c", "size"), "rest"), lists, docs, tables, t, id_col, text_col, width)
+            pairs = star if edges is not None else pairs.union(star)
+        found = check(pairs.distinct(), str(turn))
+        edges = found if edges is None else edges.union(found)
+        if not more or turn == ROUNDS:
+            return edges
+        labels = components(edges, tables, f"c{turn}")
+        left = divided.where(F.col("id") != F.col("head.id")).select("h", "id", "n", "deg")
+        kept = tables.keep(left.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")), f"state-{turn}")
+        if turn:
+            tables.drop(state)
+        state = kept
+    return edges
+
+
+def _rest(left: DataFrame, lists: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Candidate pairs of lists that are long and divided still: blocks of a list's members, all against all in one group each."""
+    ids = tables.keep(left.select("id").distinct(), "rest-ids")
+    texts = docs.select(id_col, text_col).join(small(ids.withColumnRenamed("id", id_col)), id_col, "left_semi")
+    low = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("v")
+    held = sketches(texts, id_col, text_col, width, KEEP).dropDuplicates(["id"]).select("id", "n", low)
+    own = lists.join(small(ids), "id", "left_semi").groupBy("id").agg(F.collect_list(F.shiftright("h", 32).cast("int")).alias("pre"))
+    held = tables.keep(held.join(own, "id"), "rest-sets")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = left.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    dealt = dealt.join(held, "id").select("h", F.shiftright("h", 32).cast("int").alias("h32"), "id", "n", "c", "v", "pre", "block", "i", "j")
+    kind = lists.schema["id"].dataType.simpleString()
+    return dealt.groupBy("h", "i", "j").applyInPandas(_blocks(t, KEEP), f"a {kind}, b {kind}")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, share: Fraction, id_col: str, text_col: str, width: int, turn: str) -> DataFrame:
+    pairs = tables.keep(pairs, f"pairs-{turn}")
+    used = tables.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"used-{turn}")
+    of = classes.join(small(used), "id", "left_semi")
+    side = lambda x: of.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("digest").alias(f"d{x}"))
     size = lambda s: F.size(F.col(s))
     low: Column = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.greatest(F.least(F.lit(SKETCH), F.greatest(size("sa"), size("sb"))), F.lit(1)))
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), low))
@@ -250,7 +281,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tab
     x = x.join(sets.select(F.col("id").alias("b"), F.col("digest").alias("db"), F.col("s").alias("sb")), ["b", "db"])
     x = x.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long")).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
     out = tables.keep(x.where(F.col("i") * t.denominator >= F.col("u") * t.numerator).select("a", "b"), f"edges-{turn}")
-    for done in (sets, ids, likely):
+    for done in (sets, ids, likely, pairs, used):
         tables.drop(done)
     return out
 

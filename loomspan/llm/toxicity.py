@@ -84,6 +84,8 @@ class Kernel:
             norm = math.sqrt(float((self.table[:, j] ** 2).sum()))
             if norm:
                 self.table[:, j] /= norm
+        #: No landmark has more of a subsequence than this: it bounds a token's values before they are computed.
+        self.most = self.table.max(1) if self.m else np.zeros(32**_ORDER, np.float32)
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, self.m), np.float32)
 
@@ -102,17 +104,23 @@ class Kernel:
             one, two, three = (x[:, places[:, k]] for k in range(3))
             codes = (one * 32 + two) * 32 + three
             w = np.where((one > 0) & (two > 0) & (three > 0), weight, np.float32(0))
+            # The square of the token's own norm is at least the sum of squares: where the bound is too low, all values are 0.
+            bound = (w * self.most[codes]).sum(1) / np.sqrt(np.maximum((w * w).sum(1), 1e-12))
+            live = np.flatnonzero(bound >= LEAST * 0.999)
+            if not len(live):
+                continue
+            codes, w = codes[live], w[live]
             order = np.argsort(codes, 1)
             sorted_codes, sorted_w = np.take_along_axis(codes, order, 1), np.take_along_axis(w, order, 1)
             fresh = np.ones(codes.shape, bool)
             fresh[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
             group = np.cumsum(fresh.ravel()) - 1
             square = np.bincount(group, sorted_w.ravel()) ** 2
-            own = np.bincount(np.arange(fresh.size)[fresh.ravel()] // codes.shape[1], square, len(x))
-            got = np.zeros((len(x), self.m), np.float32)
+            own = np.bincount(np.arange(fresh.size)[fresh.ravel()] // codes.shape[1], square, len(live))
+            got = np.zeros((len(live), self.m), np.float32)
             for k in range(codes.shape[1]):
                 got += w[:, k, None] * self.table[codes[:, k]]
-            out[a : a + 2048] = got / np.sqrt(np.maximum(own, 1e-12))[:, None]
+            out[a + live] = got / np.sqrt(np.maximum(own, 1e-12))[:, None]
         return out
 
     def values(self, tokens: list[str]) -> np.ndarray:
