@@ -38,6 +38,8 @@ MEMORY = 300_000
 _ORDER = 3
 #: Figures and signs that stand for letters.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+#: Marks that stand for no letter: around a token they change no value.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS_LIKE)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
@@ -51,12 +53,20 @@ def _letter(c: str) -> int:
     return 27 + ord(base) % 5 if base.isalpha() else 0
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The letter of each code point of the basic plane; asked one by one beyond it."""
+    return np.array([_letter.__wrapped__(chr(c)) for c in range(0x10000)], np.uint8)
+
+
 def tokens_of(text: str | None) -> set[str]:
     """Blank-separated tokens in lower case, and runs of single characters drawn together."""
     if not text:
         return set()
     text = text.lower()
-    return {*text.split(), *("".join(m.split()) for m in _SPACED.findall(text))}
+    whole = {t.strip(_MARKS) for t in {*text.split()}}
+    whole.update("".join(m.split()).strip(_MARKS) for m in _SPACED.findall(text))
+    return whole
 
 
 def stripped(token: str) -> str:
@@ -86,8 +96,9 @@ class Kernel:
                 self.table[:, j] /= norm
         #: No landmark has more of a subsequence than this: it bounds a token's values before they are computed.
         self.most = self.table.max(1) if self.m else np.zeros(32**_ORDER, np.float32)
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, self.m), np.float32)
+        #: Tokens seen lately, and the values of those that have any.
+        self.known: set[str] = set()
+        self.rows: dict[str, np.ndarray] = {}
 
     @staticmethod
     @lru_cache(maxsize=32)
@@ -99,17 +110,15 @@ class Kernel:
         """Kernel values of tokens of one length: rows of letters."""
         places, weight = self._places(letters.shape[1])
         out = np.zeros((len(letters), self.m), np.float32)
-        for a in range(0, len(letters), 2048):
-            x = letters[a : a + 2048]
-            one, two, three = (x[:, places[:, k]] for k in range(3))
-            codes = (one * 32 + two) * 32 + three
-            w = np.where((one > 0) & (two > 0) & (three > 0), weight, np.float32(0))
-            # The square of the token's own norm is at least the sum of squares: where the bound is too low, all values are 0.
-            bound = (w * self.most[codes]).sum(1) / np.sqrt(np.maximum((w * w).sum(1), 1e-12))
-            live = np.flatnonzero(bound >= LEAST * 0.999)
+        for a in range(0, len(letters), 4096):
+            x = letters[a : a + 4096]
+            live = np.flatnonzero(self._bound(x, places, weight) >= LEAST * 0.999)
             if not len(live):
                 continue
-            codes, w = codes[live], w[live]
+            x = x[live].astype(np.int64)
+            one, two, three = (x[:, places[:, k]] for k in range(3))
+            codes = (one << 10) | (two << 5) | three
+            w = weight * ((one > 0) & (two > 0) & (three > 0))
             order = np.argsort(codes, 1)
             sorted_codes, sorted_w = np.take_along_axis(codes, order, 1), np.take_along_axis(w, order, 1)
             fresh = np.ones(codes.shape, bool)
@@ -123,19 +132,44 @@ class Kernel:
             out[a + live] = got / np.sqrt(np.maximum(own, 1e-12))[:, None]
         return out
 
+    def _bound(self, x: np.ndarray, places: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """No value of a token is above this: its weights times the most that any landmark has, over a lower bound of its norm (the
+        square root of the sum of its squared weights)."""
+        column = np.ascontiguousarray(x.T).astype(np.intp)
+        top, most, pair = np.zeros(len(x), np.float32), self.most, (-1, -1)
+        for (i, j, k), w in zip(places.tolist(), weight.tolist(), strict=True):
+            if pair != (i, j):
+                pair, base = (i, j), (column[i] << 10) | (column[j] << 5)
+            top += most.take(base | column[k]) * np.float32(w)
+        norm = np.full(len(x), float((weight * weight).sum()))
+        gaps = np.flatnonzero((x == 0).any(1))
+        if len(gaps):
+            there = x[gaps] > 0
+            norm[gaps] = (there[:, places].all(2) * (weight * weight)).sum(1)
+        return top / np.sqrt(np.maximum(norm, 1e-12))
+
     def values(self, tokens: list[str]) -> np.ndarray:
-        by_size: dict[int, tuple[list[int], list[list[int]]]] = {}
-        for i, t in enumerate(tokens):
-            letters = [x for x in map(_letter, t)]
-            cuts = [letters] if len(letters) <= WIDTH else [letters[a : a + WIDTH] for a in [*range(0, len(letters) - WIDTH, STRIDE), len(letters) - WIDTH]]
-            for x in cuts:
-                if len(x) >= _ORDER:
-                    who, what = by_size.setdefault(len(x), ([], []))
-                    who.append(i)
-                    what.append(x)
+        """Normalised values, 0 below LEAST. Tokens longer than WIDTH count by their best window."""
         out = np.zeros((len(tokens), self.m), np.float32)
-        for who, what in by_size.values():
-            np.maximum.at(out, who, self._windows(np.array(what, np.int64)))
+        points = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
+        flat = _letters()[np.minimum(points, 0xFFFF)]
+        for k in np.flatnonzero(points > 0xFFFF):
+            flat[k] = _letter(chr(points[k]))
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        start = np.cumsum(size) - size
+        for n in np.unique(size[(size >= _ORDER) & (size <= WIDTH)]).tolist():
+            who = np.flatnonzero(size == n)
+            out[who] = self._windows(flat[start[who, None] + np.arange(n)])
+        long = np.flatnonzero(size > WIDTH)
+        windows = -(-(size[long] - WIDTH) // STRIDE) + 1
+        ends = np.cumsum(windows)
+        for a in range(0, int(ends[-1]) if len(long) else 0, 65_536):
+            at = np.arange(a, min(a + 65_536, int(ends[-1])))
+            who = np.searchsorted(ends, at, "right")
+            token = long[who]
+            step = (at - ends[who] + windows[who]) * STRIDE
+            first = start[token] + np.minimum(step, size[token] - WIDTH)
+            np.maximum.at(out, token, self._windows(flat[first[:, None] + np.arange(WIDTH)]))
         return np.where(out >= LEAST, out, np.float32(0))
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
@@ -143,22 +177,19 @@ class Kernel:
         out = np.zeros((len(texts), self.m), np.float32)
         if not self.m:
             return out
-        for a in range(0, len(texts), 64):
-            sets = [tokens_of(t) for t in texts[a : a + 64]]
+        for a in range(0, len(texts), 256):
+            sets = [tokens_of(t) for t in texts[a : a + 256]]
             if len(self.known) > MEMORY:
-                self.known.clear()
-                self.rows = self.rows[:0]
-            new = sorted({t for s in sets for t in s if t not in self.known})
+                self.known, self.rows = set(), {}
+            new = list(set().union(*sets) - self.known)
             if new:
                 got = self.values(new)
-                held = got.any(1)
-                first = len(self.rows)
-                self.rows = np.concatenate((self.rows, got[held]))
-                self.known.update(zip(new, np.where(held, first + np.cumsum(held) - 1, -1).tolist(), strict=True))
+                self.known.update(new)
+                for k in np.flatnonzero(got.any(1)).tolist():
+                    self.rows[new[k]] = got[k]
             for k, s in enumerate(sets):
-                rows = [r for r in map(self.known.__getitem__, s) if r >= 0]
-                if rows:
-                    out[a + k] = self.rows[rows].max(0)
+                if held := self.rows.keys() & s:
+                    out[a + k] = np.max([self.rows[t] for t in held], 0)
         return out
 
 
