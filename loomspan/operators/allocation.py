@@ -358,7 +358,8 @@ STRATEGIES: dict[str, Callable] = {
 def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None = None, lookback: int = DEFAULT.lookback, method: str = "shrinkage", least: int = 20, days: int = DEFAULT.days, strategy_fns: dict[str, Callable] | None = None) -> DataFrame:
     """(strategy, dt, asset, weight) for each rebalance date: each date's window is one Arrow group, dates solve in parallel.
 
-    dates: (dt, i) numbered rows of the calendar. A window is `lookback` rows before the date, for assets without gaps in it."""
+    dates: (dt, i) numbered rows of the calendar. A window is `lookback` rows before the date, for assets with a return on a fifth of
+    them or more; on the others they stand still."""
     fns = STRATEGIES | (strategy_fns or {})
     names = strategies or list(fns)
     calendar = returns.select("dt").distinct()
@@ -370,7 +371,8 @@ def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None
     window = panel.join(F.broadcast(at), (F.col("j") < F.col("i")) & (F.col("j") >= F.col("i") - lookback))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="j", columns="asset", values="r", aggfunc="first").sort_index().dropna(axis=1)
+        wide = pdf.pivot_table(index="j", columns="asset", values="r", aggfunc="first").sort_index()
+        wide = wide.loc[:, wide.notna().mean() >= 0.2].fillna(0.0)
         out = []
         if len(wide) >= least and wide.shape[1]:
             x = wide.to_numpy(float)

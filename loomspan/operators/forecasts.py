@@ -298,6 +298,7 @@ def fit_predict(train: DataFrame, score: DataFrame, model: str, features: list[s
         m = MODELS[model]().fit(a[features].to_numpy(float), a["y"].to_numpy(float))
         return b.assign(p=m.predict(b[features].to_numpy(float)))[[key, "dt", "p"]]
 
+    score = score.select([F.col(c).alias(c) for c in score.columns])  # the two sides may come from one frame
     return train.groupBy(key).cogroup(score.groupBy(key)).applyInPandas(run, f"{key} {kind}, dt date, p double")
 
 

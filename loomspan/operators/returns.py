@@ -85,8 +85,9 @@ def macro_changes(macro: DataFrame, window: int = 63, least: int = 31) -> DataFr
 
 
 def macro_surprise(macro: DataFrame, window: int = 63, limit: float = 5.0) -> DataFrame:
-    z = macro_changes(macro, window)
-    return z.select("dt", "series", "value", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("zscore"))).alias("surprise")).withColumn("surprise", F.when(F.col("surprise").isNotNull(), F.col("surprise")))
+    z = F.col("zscore")
+    clipped = F.when(z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
+    return macro_changes(macro, window).select("dt", "series", "value", clipped.alias("surprise"))
 
 
 def lagged(macro: DataFrame, lags=DEFAULT.lags) -> DataFrame:

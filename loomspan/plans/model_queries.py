@@ -60,6 +60,10 @@ def register_all() -> None:
         return out.select("dt", "asset", F.abs(vector_to_array("pca")[0]).alias("first_component"), F.lit(len(shares)).alias("kept"))
 
     register("principal_components", pca)
-    longf = lambda s, d: pn.features_long(features(s, d), FEATURES)
+
+    def longf(s, d):
+        rsi = wd.rsi_simple(prices(s, d)).select("dt", "asset", F.col("rsi").alias("rsi_14"))
+        return pn.features_long(features(s, d).join(rsi, ["dt", "asset"]), [*FEATURES, "rsi_14"])
+
     for name in ("all", "macro_only", "mom_vol", "macro_mom", "technical"):
         register(f"feature_set_{name}", lambda s, d, name=name: pn.feature_set(longf(s, d), name).groupBy("feature").agg(F.count(F.lit(1)).alias("n")))
