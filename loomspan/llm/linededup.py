@@ -39,7 +39,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     hits = tables.keep(lines.join(small(often), ["_h1", "_h2"], "left_semi").distinct(), "hits")
     common = tables.keep(hits.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2"), "common")
     dropped = hits.join(small(common), ["_h1", "_h2"], "left_semi").groupBy("_id").agg(F.collect_set("_h1").alias("_gone")).withColumnRenamed("_id", "_gid")
-    dropped = tables.keep(dropped, "dropped")
+    # Joined by a shuffle at every size: which documents have common lines grows with the input.
+    dropped = tables.keep(dropped, "dropped").hint("merge")
     split = F.split(text_of(text_col), "\n")
 
     def kept(line):
