@@ -178,10 +178,12 @@ def adf(x: np.ndarray) -> tuple[float, int, bool]:
 
 
 def kpss(x: np.ndarray) -> tuple[float, bool]:
-    """Level statistic with a Bartlett variance, and whether it stays below the 5 % value 0.463."""
+    """Level statistic with a Bartlett variance whose lags follow from the data, and whether it stays below the 5 % value 0.463."""
     n = len(x)
     e = x - x.mean()
-    lags = int(np.ceil(12 * (n / 100) ** 0.25))
+    near = [e[k:] @ e[:-k] / (n / 2) for k in range(1, int(n ** (2 / 9)) + 1)]
+    slope = sum(k * c for k, c in enumerate(near, 1)) / (e @ e / n + sum(near))
+    lags = int(1.1447 * (slope * slope) ** (1 / 3) * n ** (1 / 3))
     var = e @ e / n + sum(2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / n for k in range(1, min(lags, n - 1) + 1))
     stat = float((np.cumsum(e) ** 2).sum() / (n * n * var))
     return stat, stat < 0.463
