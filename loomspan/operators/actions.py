@@ -99,3 +99,26 @@ def owners(actions: DataFrame, customers: DataFrame) -> DataFrame:
     """Each action with its user's name: the customer's, else a made-up one."""
     names = customers.select(F.col("c_custkey").alias("agent_id"), F.nullif(F.col("c_name"), F.lit("")).alias("_n"))
     return actions.join(names, "agent_id", "left").withColumn("author", F.coalesce("_n", F.concat(F.lit("user_"), F.col("agent_id").cast("string")))).drop("_n")
+
+
+def enriched(actions: DataFrame, dims: list[tuple[list[str], Column, DataFrame, str, str]]) -> DataFrame:
+    """Adds one column for each dimension (kinds, key, frame, frame's key, frame's column): its value for actions of these kinds.
+
+    Each is one left join guarded by the kind, so actions of other kinds find no partner; dimensions pass through unduplicated."""
+    out = actions
+    for i, (kinds, key, frame, on, column) in enumerate(dims):
+        side = frame.select(F.col(on).alias(f"_k{i}"), F.col(column).alias(f"{column}_"))
+        out = out.withColumn(f"_g{i}", F.when(F.col("action_type").isin(kinds), key)).join(side, F.col(f"_g{i}") == F.col(f"_k{i}"), "left").drop(f"_g{i}", f"_k{i}")
+    return out
+
+
+def tasks(registry: DataFrame, kind: str | None = None) -> DataFrame:
+    """registry: task_id, kind, status, created. Newest first."""
+    got = registry.where(F.col("kind") == kind) if kind else registry
+    return got.orderBy(F.desc("created"), F.desc("task_id"))
+
+
+def unexpired(registry: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Without finished tasks (completed or failed) older than `hours`."""
+    old = F.col("status").isin("completed", "failed") & (F.col("created") < now - F.make_interval(hours=F.lit(hours)))
+    return registry.where(~old)

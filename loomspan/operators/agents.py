@@ -98,3 +98,14 @@ def assign_posts(posts: DataFrame, agents: DataFrame) -> DataFrame:
     p = p.withColumn("_j", F.pmod("_i", "_n").cast("int"))
     got = p.join(a.select("kind", F.col("_j").cast("int").alias("_j"), "agent_id"), ["kind", "_j"], "left").crossJoin(F.broadcast(top))
     return got.select("post_id", "kind", F.coalesce("agent_id", "_top").alias("agent_id"))
+
+#: Fixed values of the rule table: kind, posts and comments an hour, first and last active hour, influence.
+ACTIVITY = [("organization", 0.2, 0.1, 9, 17, 3.0), ("media", 0.8, 0.4, 7, 23, 2.5), ("expert", 0.3, 0.5, 8, 21, 2.0), ("person", 0.5, 1.0, 7, 23, 1.0)]
+
+
+def activity_rules(entities: DataFrame, kind: Column, rules=ACTIVITY) -> DataFrame:
+    """entities with posts, comments, hours (array) and influence by kind; unknown kinds are persons."""
+    table = entities.sparkSession.createDataFrame(rules, "_kind string, posts double, comments double, _a int, _b int, influence double")
+    known = F.when(kind.isin([r[0] for r in rules]), kind).otherwise("person")
+    out = entities.withColumn("_kind", known).join(F.broadcast(table), "_kind")
+    return out.withColumn("hours", F.sequence("_a", "_b")).drop("_kind", "_a", "_b")

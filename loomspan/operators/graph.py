@@ -89,3 +89,25 @@ def pages(rows: DataFrame, key: str, size: int = 100, most: int | None = None) -
     """Rows numbered into cursor pages by key; at most `most` rows where a cap is wanted."""
     out = rows.orderBy(key).limit(most) if most else rows
     return out.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("long"))
+
+
+def entity_summary(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(id, name, facts, edges): the first node of a name, without regard to case, with the distinct facts around it."""
+    node = nodes.where(F.lower("name") == name.lower()).orderBy("id").limit(1).select("id", "name")
+    around = incidence(edges).join(F.broadcast(node.select("id")), "id").groupBy("id").agg(F.array_sort(F.collect_set("fact")).alias("_f"), F.count(F.lit(1)).alias("edges"))
+    out = node.join(around, "id", "left")
+    return out.select("id", "name", F.coalesce(F.array_join("_f", "; "), F.lit("")).alias("facts"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 30) -> DataFrame:
+    """(part, item, n): facts that match a query, label and relation counts, and the first own labels of nodes, for a report."""
+    facts = search(edges, ["fact", "name"], query, ["fact"], limit).select(F.lit("fact").alias("part"), F.col("fact").alias("item"), F.col("score").cast("long").alias("n"))
+    labels = label_counts(nodes).select(F.lit("label").alias("part"), F.col("label").alias("item"), "n")
+    relations = relation_counts(edges).select(F.lit("relation").alias("part"), F.col("name").alias("item"), "n")
+    return facts.unionByName(labels).unionByName(relations)
+
+
+def valid_types(types: Column, needed: tuple[str, ...] = ("Person", "Organization"), most: int = 10) -> Column:
+    """At most `most` distinct type names; the needed ones are there, in place of the last where there is no room."""
+    own = F.array_except(F.array_distinct(F.filter(types, lambda t: t.isNotNull() & (F.length(t) > 0))), F.array(*map(F.lit, needed)))
+    return F.concat(F.slice(own, 1, most - len(needed)), F.array(*map(F.lit, needed)))

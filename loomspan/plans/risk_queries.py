@@ -49,7 +49,7 @@ def register_all() -> None:
     ari_cols = "annual_return annual_volatility sharpe sortino max_drawdown total_return var_95 cvar_95 skew kurtosis winning_pct calmar"
     register("risk_arithmetic", lambda s, d: mt.arithmetic(returns(s, d)), ari, ari_cols)
     register("risk_periodic", lambda s, d: mt.periodic(returns(s, d)), f"with {GROWN} select asset, exp(sum(ln(1 + r))) ** (12.0 / count(r)) - 1 cagr, stddev_pop(r) * sqrt(12) volatility, avg(r) / stddev_pop(r) * sqrt(12) sharpe, min(dd) max_drawdown, avg(case when r > 0 then 1.0 else 0 end) win_rate from t group by asset", "cagr volatility sharpe max_drawdown win_rate")
-    register("evaluate_oos", lambda s, d: mt.evaluate_oos(returns(s, d)), f"select asset, sharpe, sortino, annual_return, annual_volatility, max_drawdown, total_return from ({ari.replace('with ', 'with ', 1)})" if False else f"with {GROWN} select asset, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) * 252 / (stddev_samp(r) filter (r < 0) * sqrt(252)) sortino, avg(r) * 252 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, min(dd) max_drawdown, exp(sum(ln(1 + r))) - 1 total_return from t group by asset", "sharpe sortino annual_return annual_volatility max_drawdown total_return")
+    register("evaluate_oos", lambda s, d: mt.evaluate_oos(returns(s, d)), f"with {GROWN} select asset, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) * 252 / (stddev_samp(r) filter (r < 0) * sqrt(252)) sortino, avg(r) * 252 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, min(dd) max_drawdown, exp(sum(ln(1 + r))) - 1 total_return from t group by asset", "sharpe sortino annual_return annual_volatility max_drawdown total_return")
     register("wins_and_losses", lambda s, d: mt.wins_and_losses(returns(s, d)), "select asset, avg(case when r > 0 then 1.0 else 0 end) win_rate, avg(r) filter (r > 0) avg_win, avg(r) filter (r < 0) avg_loss, abs(avg(r) filter (r > 0) / avg(r) filter (r < 0)) win_loss_ratio from rets group by asset", "win_rate avg_win avg_loss win_loss_ratio")
     rel = "with j as (select asset, r, b, r - b d from rets join mkt using (dt)), q as (select asset, stddev_samp(d) * sqrt(252) tracking_error, avg(d) * 252 / (stddev_samp(d) * sqrt(252)) information_ratio, covar_samp(r, b) / var_samp(b) beta, avg(r) ar, avg(b) ab, exp(sum(ln(1 + r))) ** (252.0 / count(r)) - 1 gr, exp(sum(ln(1 + b))) ** (252.0 / count(b)) - 1 gb, avg(r) filter (b > 0) / avg(b) filter (b > 0) up_capture, avg(r) filter (b < 0) / avg(b) filter (b < 0) down_capture, avg(d) * 252 active_return from j group by asset) select asset, tracking_error, information_ratio, beta, up_capture, down_capture, active_return, (ar - beta * ab) * 252 alpha, gr - beta * gb jensen_alpha, gr / beta treynor, up_capture / down_capture capture_ratio from q"
     register("relative_metrics", lambda s, d: mt.relative(r := returns(s, d), market(r)), rel, "tracking_error information_ratio beta up_capture down_capture active_return alpha jensen_alpha treynor capture_ratio")

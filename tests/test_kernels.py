@@ -69,7 +69,10 @@ def test_distributions_and_tests():
     assert st.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-7)
     assert st.f_upper(4.102821, 2, 10) == pytest.approx(0.05, abs=1e-5)
     walk, noise = np.cumsum(RNG.normal(size=500)), RNG.normal(size=500)
-    assert st.adf(noise)[2] and not st.kpss(walk)[1] and st.kpss(noise)[1]
+    # Tests of 5 % err on some draws: most of twenty must be right.
+    draws = [np.random.default_rng(k).normal(size=500) for k in range(20)]
+    for right in ([st.adf(d)[2] for d in draws], [not st.adf(np.cumsum(d))[2] for d in draws], [st.kpss(d)[1] for d in draws], [not st.kpss(np.cumsum(d))[1] for d in draws]):
+        assert sum(right) >= 16
     y = np.roll(noise, 1) + 0.1 * RNG.normal(size=500)
     assert st.granger(noise, y)[2] < 1e-6 and st.granger(RNG.normal(size=500), RNG.normal(size=500))[2] > 1e-4
     assert st.cointegration(walk, 2 * walk + noise)[1]
