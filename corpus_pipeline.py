@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, decontam, linededup, neardup, toxicity
-from loomspan.llm.common import shared_folder, table
+from loomspan.llm.common import Tables, shared_folder, table
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,17 @@ def common_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without doc_id stay; of the others those whose doc_id names its group, once."""
-    found = neardup.near_duplicates(docs)
-    copies = found.where(~F.col("kept")).select("doc_id")
+    tables = Tables(spark)
+    # Joined by a shuffle at every size: both tables grow with the input.
+    copies = tables.keep(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "copies").hint("merge")
+    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
     # Repeated rows of one doc_id are copies too: the greatest row of an id stays.
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & F.col("doc_id").isNotNull())
-    left = docs.join(copies, "doc_id", "left_anti")
-    once = left.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    again = left.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*")
+    seen = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("doc_id")
+    seen = tables.keep(seen, "seen")
+    if not seen.limit(1).count():
+        return left
+    once = left.join(seen.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    again = left.join(seen.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*")
     return once.unionByName(again)
 
 
