@@ -30,16 +30,17 @@ from .common import Tables, with_workers
 TRAIN_ROWS = 8_000
 LANDMARKS = 48
 LAMBDA = 0.8
-#: Kernel values below this are taken as 0.
-LEAST = 0.3
+#: Kernel values below this are taken as 0; the others are raised to a power (a power of a kernel is one), which parts equal tokens
+#: from those that share a stem.
+LEAST, POWER = 0.3, 2
 #: Letters of a token to a window, and from one window to the next.
 WIDTH, STRIDE = 14, 3
 MEMORY = 300_000
 _ORDER = 3
 #: Figures and signs that stand for letters.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
-#: Marks that stand for no letter: around a token they change no value.
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS_LIKE)
+#: Marks that stand for no letter, and ! which ends sentences: they go from around a token.
+_MARKS = "!" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS_LIKE)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
@@ -170,7 +171,7 @@ class Kernel:
             step = (at - ends[who] + windows[who]) * STRIDE
             first = start[token] + np.minimum(step, size[token] - WIDTH)
             np.maximum.at(out, token, self._windows(flat[first[:, None] + np.arange(WIDTH)]))
-        return np.where(out >= LEAST, out, np.float32(0))
+        return np.where(out >= LEAST, out**POWER, np.float32(0))
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: the largest value among its tokens for each landmark."""
@@ -198,7 +199,7 @@ def kernel(landmarks: tuple[str, ...]) -> Kernel:
     return Kernel(list(landmarks))
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 50) -> np.ndarray:
+def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, steps: int = 50) -> np.ndarray:
     """Weights (the last for a constant 1) of a linear machine with squared hinge loss, by Newton steps; y is -1 or 1."""
     x = np.hstack((x, np.ones((len(x), 1))))
     share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * cost / len(y)

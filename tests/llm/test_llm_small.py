@@ -217,7 +217,7 @@ def test_toxicity_kernel_is_the_definition():
     for s in ["idiot", "idioot", "tarsh", "itiot", "trashes"]:
         for j, t in enumerate(["idiot", "trash"]):
             want = dot(phi(s), phi(t)) / (dot(phi(s), phi(s)) * dot(phi(t), phi(t))) ** 0.5
-            assert k.values([s])[0, j] == pytest.approx(want if want >= toxicity.LEAST else 0, abs=1e-5)
+            assert k.values([s])[0, j] == pytest.approx(want**toxicity.POWER if want >= toxicity.LEAST else 0, abs=1e-5)
 
 
 def test_chat_layouts_and_escapes(spark):
