@@ -2,7 +2,7 @@
 
 The kernel compares two tokens by the subsequences of three letters they share, each weighted by LAMBDA to the power of the
 stretch it spans, so letters left out or put in cost a little and not everything. Landmarks are tokens of training documents
-that labels tell apart. A text's value for a landmark is the largest normalised kernel value among all its tokens; values map
+that labels tell apart, chosen one by one so that those of a rare language come before more of a frequent one. A text's value for a landmark is the largest normalised kernel value among all its tokens; values map
 through the inverse square root of the landmarks' own kernel matrix, and a support vector machine on them is trained on a
 bounded sample of labelled texts, with its margin turned into a probability.
 
@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from .common import Tables, with_workers
 
 #: Labelled rows that train the machine at most: those with the least hash of their id.
 TRAIN_ROWS = 8_000
-LANDMARKS = 48
+LANDMARKS = 128
+#: What is left of a toxic document's weight each time that a landmark it holds is chosen.
+DECAY = 0.5
 LAMBDA = 0.8
 #: Kernel values below this are taken as 0; the others are raised to a power (a power of a kernel is one), which parts equal tokens
 #: from those that share a stem.
@@ -251,9 +254,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def covering(tokens: list[str], odds: np.ndarray, token: np.ndarray, doc: np.ndarray, most: int) -> list[str]:
+    """At most `most` of `tokens`, each the one with the greatest odds * weight of the documents that hold it. token and doc are
+    pairs of numbers: who holds what. Documents weigh 1 at first and DECAY times as much after each choice they hold."""
+    weight, free, out = np.ones(int(doc.max(initial=-1)) + 1), np.ones(len(tokens), bool), []
+    order = np.lexsort((doc, token))
+    token, doc = token[order], doc[order]
+    for _ in range(min(most, len(tokens))):
+        gain = np.bincount(token, weight[doc], len(tokens)) * odds
+        best = int(np.argmax(np.where(free, gain, -np.inf)))
+        free[best] = False
+        out.append(tokens[best])
+        weight[doc[token == best]] *= DECAY
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
-    """Trains on at most train_rows labelled documents that aren't held out. What reaches the driver is as bounded: landmarks and
-    train_rows rows of kernel values."""
+    """Trains on at most train_rows labelled documents that aren't held out. What reaches the driver is as bounded: the toxic
+    documents of candidate tokens, landmarks and train_rows rows of kernel values."""
     spark = docs.sparkSession
     with_workers(spark)
     tables = Tables(spark)
@@ -264,19 +282,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landma
 
     def found(batches):
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for toxic, text, doc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 own = sorted({s for t in tokens_of(text.as_py()) if 3 <= len(s := stripped(t)) <= 2 * WIDTH})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["token", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array([doc] * len(own), pa.int64())], names=["token", "toxic", "doc"])
 
     counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     up, down = counts.get(1, 0), counts.get(0, 0)
     if not up or not down:
         p = (up + 1e-9) / (up + down + 1e-9) if up else 0.0
         return Model([], np.zeros(0), 0.0, 0.0, 50.0 if p > 0.5 else -50.0)
-    seen = texts.select("toxic", "text").mapInArrow(found, "token string, toxic int").groupBy("token").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    seen = texts.select("toxic", "text", F.xxhash64("doc_id").alias("doc")).mapInArrow(found, "token string, toxic int, doc long").groupBy("token")
+    seen = seen.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"), F.collect_list(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs"))
     odds = F.log((F.col("p") + 0.5) / (up + 1) / ((F.col("q") + 0.5) / (down + 1)))
-    best = seen.where((F.col("p") >= 2) & (odds >= 1.5)).orderBy((F.col("p") * odds).desc(), "token").limit(landmarks)
-    names = [r["token"] for r in best.select("token").collect()]
+    able = seen.where((F.col("p") >= 2) & (odds >= 1.5)).select("token", odds.alias("odds"), "docs").orderBy("token").toArrow()
+    holds = able["docs"].combine_chunks()
+    token = np.repeat(np.arange(len(able)), pc.list_value_length(holds).to_numpy(zero_copy_only=False))
+    doc = np.unique(pc.list_flatten(holds).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    names = covering(able["token"].to_pylist(), able["odds"].to_numpy(), token, doc, landmarks)
     if not names:
         share = up / (up + down)
         return Model([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))

@@ -203,6 +203,16 @@ def test_toxicity(spark):
     assert toxicity.fit(d, labels.limit(0)).scores(["x"])[0] < 0.5
 
 
+def test_toxicity_landmarks_reach_a_rare_language(spark):
+    often, rare = [f"{a}{b}ck{a}{b}ck" for a in "bdfgklmnprst" for b in "aeiou"], ["ñoquiza", "zoñudo"]
+    clean = [" ".join(words(30)) for _ in range(300)]
+    bad = [" ".join([*words(15), *R.sample(often, 12), *words(15)]) for _ in range(90)] + [" ".join([*words(30), *rare]) for _ in range(12)]
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(402)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, clean + bad), labels, landmarks=48)
+    assert set(rare) & set(model.landmarks)
+    assert all(model.scores(["w1 ñoquiza zoñudo w2"]) >= 0.5) and all(model.scores(["w1 w2 w3"]) < 0.5)
+
+
 def test_toxicity_kernel_is_the_definition():
     k = toxicity.Kernel(["idiot", "trash"])
 
