@@ -254,6 +254,24 @@ def test_chat_layouts_and_escapes(spark):
     assert chat.chat_format(conv.limit(0)).count() == 1
 
 
+def test_chat_takes_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    size = 20_100_000
+    for roles in (("user", "assistant"), ("user", "assistant", "user")):
+        conv = spark.createDataFrame([(1, i, r) for i, r in enumerate(roles)], "conv_id long, turn int, role string")
+        conv = conv.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit("x"), size)).otherwise("hi"))
+        r = next(r for r in chat.chat_format(conv).collect() if r["conv_id"] == 1)
+        texts = ["x" * size if i == 1 else "hi" for i in range(len(roles))]
+        want = hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in zip(roles, texts, strict=True)).encode()).hexdigest()
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"]) == (len(roles), want, size)
+        assert r["loss_sha256"] == hashlib.sha256(texts[1].encode()).hexdigest()
+        assert r["formatted_chars"] == sum(20 + len(a) + len(b) for a, b in zip(roles, texts, strict=True))
+    long = spark.range(1).select(F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("x"), size), F.lit('","completion":""}')).alias("record"))
+    with pytest.raises(Exception, match="does not parse"):
+        chat.format_chats(long).select(F.length("formatted")).collect()
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES[0][1]
     texts = [None, "", "The MIT License and mit  license; CC-BY", "GNU General Public License, apache-license", f"x y {mit} z", mit.replace("free of charge", "free of any charge"), "apache", "mit license " * 5000]
