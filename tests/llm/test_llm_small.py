@@ -187,6 +187,24 @@ def test_url_trees_learn(spark):
     assert sum((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got) / len(got) > 0.95
 
 
+def test_url_filter_trains_past_a_common_url(spark):
+    from pyspark.sql import functions as F
+
+    urls = [f"http://a{i}.com/en/{i}" for i in range(40)] + [f"http://www.example.com/en/7{i}" for i in range(40)] + [f"http://b{i}.org/xx/{i}" for i in range(5)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    first = pages.limit(80).orderBy(F.xxhash64("url")).first()["url"]
+    hot = pages.unionByName(spark.range(1000, 1100).select(F.col("id").alias("page_id"), F.lit(first).alias("url")))
+    seen = []
+    fit = urlfilter.GBTClassifier.fit
+    try:
+        urlfilter.GBTClassifier.fit = lambda self, data: seen.append({r["_y"]: (r["n"], r["w"]) for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w")).collect()}) or fit(self, data)
+        assert urlfilter.judge(hot, train_rows=60).count() == 185
+    finally:
+        urlfilter.GBTClassifier.fit = fit
+    assert len(seen) == 1 and len(seen[0]) == 2
+    assert sum(n for n, _ in seen[0].values()) == 60 and sum(w for _, w in seen[0].values()) == 160
+
+
 def test_toxicity(spark):
     insults = ["idiot", "moron", "pathetic"]
     clean = [" ".join(words(40)) for _ in range(400)]
