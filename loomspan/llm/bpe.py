@@ -6,7 +6,8 @@ incompatible pair a shorter prefix, marking places that lead nowhere, so each is
 ranges from one table of all token texts by offset.
 
 Null text is empty: no tokens. Texts of any length are encoded whole. Repeated rows give equal rows and an empty table an
-empty one; extra columns stay in encode_documents. Rows are handled one by one, so no key or copy group gathers anywhere.
+empty one; extra columns stay in encode_documents, which adds _ids (a column of that name becomes _ids_0). Ids are
+of any type. Rows are handled one by one, so no key or copy group gathers anywhere.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import with_workers
+from .common import make_way, with_workers
 
-#: Entries of the per-worker memory of encoded chunks; it is emptied when full.
-MEMORY = 300_000
+#: Entries of a task's memory of encoded chunks and of words and pairs; each is emptied when full, and all at the task's end.
+MEMORY = 100_000
 #: Added to the code point of a word's last symbol, so that symbols stay single characters.
 _LAST = 0xF0000
 #: White space as the tokenizer's regular expressions know it; str.split() also cuts at U+001C to U+001F.
@@ -63,6 +64,8 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.far_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.far_case = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        if odd := [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]:
+            raise ValueError(f"added tokens {odd} strip, stand alone or are normalised, which is not built")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_ids = special
@@ -80,6 +83,8 @@ class Tokenizer:
             a, b, i = vocab[left], vocab[right], vocab[left + right]
             self.halves[i], self.merged[a, b] = (a, b), i
             symbols[i] = symbols[a] + symbols[b]
+        if (made := [*self.merged.values()]) != sorted(made):
+            raise ValueError("ids of merged tokens must rise with the rank of their merges")
         self.length = {i: len(s) for i, s in symbols.items()}
         by_symbols = {s: i for i, s in symbols.items()}
         self.shorter = {i: next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), -1) for i, s in symbols.items()}
@@ -99,6 +104,11 @@ class Tokenizer:
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
+    def forget(self) -> None:
+        """Empties what a task remembers: workers outlive it."""
+        for memory in (self.known, self.words, self.pairs):
+            memory.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether rank-ordered merging leaves the border between neighbours a and b alone. Ids of merged tokens rise with rank."""
         merged, halves = self.merged.get, self.halves.get
@@ -158,7 +168,7 @@ class Tokenizer:
         for p in pieces:
             if (x := words.get(p)) is None:
                 x = array("I", self.word(p.encode())).tobytes()
-                if len(words) >= MEMORY:
+                if len(words) >= MEMORY // 2:
                     words.clear()
                 if len(p) <= 64:
                     words[p] = x
@@ -219,6 +229,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """`docs` with _ids (array of int) of the whole text."""
+    docs = make_way(docs, "_ids")
     with_workers(docs.sparkSession)
     names = docs.columns
 
@@ -229,14 +240,12 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "_ids"])
+        t.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_ids` array<int>"])
     return docs.mapInArrow(run, schema)
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     with_workers(docs.sparkSession)
@@ -246,9 +255,12 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         t = tokenizer(path)
         for b in batches:
             rows = []
-            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for x in b.column(1):
                 ids = t.encode(x.as_py() or "")
-                rows.append((doc_id, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DIGEST)], schema=_DIGEST)
+                rows.append((len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,9 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of a few fixed-width columns may be broadcast (about 16 bytes a row: 8 MB).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a kept table may be broadcast, as `small` measures them.
+BROADCAST_BYTES = 16_000_000
+#: Bytes of a broadcast row beside its values: the hash table's entry and the row's header.
+ROW_BYTES = 48
+#: Rows to an Arrow batch: a worker and the JVM each hold one or two batches of texts.
+BATCH_ROWS = 1_000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder, now or when the JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p) if at_exit else fs.delete(p, True)
+
+
 class Tables:
     """Intermediate tables in the shared folder. They cut lineage and survive lost executors.
 
@@ -49,38 +61,58 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        fs, p = self._fs(path)
-        fs.deleteOnExit(p)
+        remove(self.spark, path, at_exit=True)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.loomspan_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "loomspan_path", None):
-            fs, p = self._fs(path)
-            fs.delete(p, True)
+            remove(self.spark, path)
 
 
 def with_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this library when only the driver's sys.path names it."""
+    """Lets Python workers import this library when only the driver's sys.path names it, gives them batches of few rows (unless the
+    session sets a size of its own), and has them return freed memory to the system, as they are reused from stage to stage."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast when it has at most `rows` rows, else unmarked (then the join shuffles). Counts it: pass a kept table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    for name, value in {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}.items():
+        env.setdefault(name, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def bytes_of(df: DataFrame) -> int:
+    """What a table takes when it is broadcast: fixed widths by type, strings and binaries as measured."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if odd := [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]:
+        raise ValueError(f"no bound on the size of {odd}")
+    total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(ROW_BYTES + 8 * len(df.columns)))
+    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` marked for broadcast when it takes at most `most` bytes (BROADCAST_BYTES), else marked for a join by shuffle. Reads it: pass
+    a kept table."""
+    return F.broadcast(df) if bytes_of(df) <= (BROADCAST_BYTES if most is None else most) else df.hint("merge")
+
+
+def make_way(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with its columns of these names, which an operator adds or uses inside, renamed: _0 (or the next free number) is put behind."""
+    taken, wanted = {c.lower() for c in df.columns}, {n.lower() for n in names}
+    for c in [c for c in df.columns if c.lower() in wanted]:
+        k = 0
+        while f"{c}_{k}".lower() in taken:
+            k += 1
+        df = df.withColumnRenamed(c, f"{c}_{k}")
+        taken.add(f"{c}_{k}".lower())
+    return df
 
 
 def ascii_lower(c: Column) -> Column:

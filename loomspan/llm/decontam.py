@@ -6,7 +6,8 @@ differ from one another, so suffixes are told apart within a run of benchmark wo
 through wavelet-tree ranks; occurrences are located by walking to sampled suffix positions; their spans merge.
 
 Null and empty texts have no words; items without words have no windows. Repeated rows each get their row, repeated items each
-count, an empty benchmark contaminates nothing and an empty documents table gives an empty result. Documents never move, so
+count, an empty benchmark contaminates nothing and an empty documents table gives an empty result. Columns named as an added one are renamed
+with _0 behind. Documents never move, so
 no key or passage gathers anywhere. The benchmark is handled in blocks of bounded size, so what a task holds doesn't grow.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Tables, text_of, with_workers
+from .common import WORD_TABLE, Tables, make_way, text_of, with_workers
 
 WINDOW = 13
 SHARD_WORDS = 400_000
@@ -247,6 +248,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """`docs` with _found: n_words, merged spans of hit words (start, end), and item_ids with an occurring window.
 
     One pass over docs for each block of the benchmark; between passes the table is written and read again."""
+    docs = make_way(docs, "_found")
     spark = docs.sparkSession
     with_workers(spark)
     bench = benchmark.select(F.col(item_col).alias("i"), text_of().alias("t")).where(F.length("t") > 0)
@@ -254,7 +256,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     tables, out, old = Tables(spark), docs, None
     for k in range(blocks):
-        items = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
+        items = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
         out = _pass(out, text_col, items, window, k > 0)
         if k < blocks - 1:
             out = tables.keep(out, f"block{k}")
@@ -266,6 +268,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def judged(found: DataFrame) -> DataFrame:
     """Adds n_words, n_hit, n_items and contaminated, by the contract's rule, to find_contamination's rows."""
+    found = make_way(found, "n_words", "n_hit", "n_items", "contaminated")
     hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = found.withColumns({"n_words": F.col("_found.n_words"), "n_hit": hit, "n_items": F.size("_found.items").cast("long")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -284,15 +287,15 @@ def sha_of_items(items: list) -> str:
 
 SQL = r"""
 with d as (select row_number() over () rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
-b as (select cast(item_id as varchar) item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
-win as (select item, least(len(w), 13) m, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') t from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) p from b where len(w) > 0)),
+b as (select row_number() over () br, cast(item_id as varchar) item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
+win as (select br, item, least(len(w), 13) m, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') t from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) p from b where len(w) > 0)),
 m as (select distinct m from win),
 hits as (
-  select rid, p, d2.m, item from (
+  select rid, p, d2.m, br, item from (
     select rid, m, p, array_to_string(w[p:p + m - 1], ' ') t from (select rid, w, m.m, unnest(range(1, len(w) - m.m + 2)) p from d, m where len(w) >= m.m)) d2
   join win on win.m = d2.m and win.t = d2.t),
 cover as (select rid, count(distinct q) n_hit from (select rid, unnest(range(p, p + m)) q from (select distinct rid, p, m from hits)) group by rid),
-its as (select rid, count(*) n_items, string_agg(item, ',' order by item) s from (select distinct rid, item from hits) group by rid)
+its as (select rid, count(*) n_items, string_agg(item, ',' order by item) s from (select distinct rid, br, item from hits) group by rid)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join cover using (rid) left join its using (rid)

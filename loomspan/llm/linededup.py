@@ -1,8 +1,9 @@
 """Line dedup: explode normalised lines, hash, count documents per hash, drop frequent lines, reassemble by position.
 
-Rows that share a doc_id are one document when documents are counted, and each keeps its own row. Null or empty text is one
-empty line, which is never dropped. A null doc_id is a document of its own value (compared null-safely). Extra columns
-stay. Nothing is capped: hot lines are counted map-side, and only hashes of lines seen on enough rows travel further.
+Rows that share a doc_id are one document when documents are counted, and each keeps its own row. A row without doc_id is a
+document known by its text. Null or empty text is one empty line, which is never dropped. Extra columns stay; those named as
+an added one (_n_lines, _n_dropped) or one used inside (they begin with __) are renamed with _0 behind. Nothing is capped: hot lines
+are counted map-side, and only hashes of lines seen on enough rows travel further.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Tables, ascii_lower, small, text_of
+from .common import BLANKS, Tables, ascii_lower, make_way, small, text_of
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -21,36 +22,39 @@ def _key(line):
 
 
 def _hash(key):
-    return F.xxhash64(key)
+    """128 bits of a line's key: its xxhash64 and that of the key behind a fixed mark."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("#"), key).alias("b"))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with text_col rebuilt without its common lines, plus _n_lines and _n_dropped.
-
-    A line's identity is the pair of xxhash64 values of its key and of its key behind a fixed mark (128 bits in all)."""
-    spark = docs.sparkSession
-    tables = Tables(spark)
-    ids = F.col(id_col).alias("_id")
+    """`docs` with text_col rebuilt without its common lines, plus _n_lines and _n_dropped. A line is known by 128 bits of its key."""
+    docs = make_way(docs, "_n_lines", "_n_dropped", "__id", "__by_text", "__key", "__gone", "__left")
+    tables = Tables(docs.sparkSession)
+    by_text = F.when(F.col(id_col).isNull(), F.xxhash64(text_of(text_col)))
+    who, line = ["__id", "__by_text"], ["a", "b"]
     long_enough = lambda k: F.length(k) >= min_chars
     keys = F.array_distinct(F.filter(F.transform(F.split(text_of(text_col), "\n"), _key), long_enough))
-    lines = docs.select(ids, F.explode(keys).alias("_key")).select("_id", _hash("_key").alias("_h1"), F.xxhash64(F.lit("#"), "_key").alias("_h2"))
-    # Enough rows is necessary for enough documents; the rare survivors are then counted by distinct id.
-    often = tables.keep(lines.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where(F.col("_n") >= min_docs).select("_h1", "_h2"), "often")
-    hits = tables.keep(lines.join(small(often), ["_h1", "_h2"], "left_semi").distinct(), "hits")
-    common = tables.keep(hits.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h1", "_h2"), "common")
-    dropped = hits.join(small(common), ["_h1", "_h2"], "left_semi").groupBy("_id").agg(F.collect_set("_h1").alias("_gone")).withColumnRenamed("_id", "_gid")
+    lines = docs.select(F.col(id_col).alias("__id"), by_text.alias("__by_text"), F.explode(keys).alias("__key")).select(*who, _hash("__key").alias("h")).select(*who, "h.*")
+    # Enough rows is necessary for enough documents; the rare survivors are then counted by distinct document.
+    often = tables.keep(lines.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(*line), "often")
+    hits = tables.keep(lines.join(small(often), line, "left_semi").distinct(), "hits")
+    common = tables.keep(hits.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(*line), "common")
+    dropped = hits.join(small(common), line, "left_semi").groupBy(*who).agg(F.collect_set(F.struct(*line)).alias("__gone"))
     # Joined by a shuffle at every size: which documents have common lines grows with the input.
-    dropped = tables.keep(dropped, "dropped").hint("merge")
+    dropped = tables.keep(dropped.toDF("__id2", "__by_text2", "__gone"), "dropped").hint("merge")
+    for done in (often, hits, common):
+        tables.drop(done)
     split = F.split(text_of(text_col), "\n")
 
-    def kept(line):
-        k = _key(line)
-        return ~(long_enough(k) & F.array_contains(F.col("_gone"), _hash(k)))
+    def kept(text):
+        k = _key(text)
+        return ~(long_enough(k) & F.array_contains(F.col("__gone"), _hash(k)))
 
-    out = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_gid")), "left").drop("_gid")
-    rest = F.when(F.col("_gone").isNull(), split).otherwise(F.filter(split, kept))
-    out = out.withColumn("_rest", rest).withColumn("_n_lines", F.size(split).cast("long"))
-    return out.withColumn("_n_dropped", F.col("_n_lines") - F.size("_rest")).withColumn(text_col, F.array_join("_rest", "\n")).drop("_rest", "_gone")
+    same = F.col(id_col).eqNullSafe(F.col("__id2")) & F.col("__by_text").eqNullSafe(F.col("__by_text2"))
+    out = docs.withColumn("__by_text", by_text).join(dropped, same, "left").drop("__id2", "__by_text2", "__by_text")
+    out = out.withColumn("__left", F.when(F.col("__gone").isNull(), split).otherwise(F.filter(split, kept)))
+    out = out.withColumn("_n_lines", F.size(split).cast("long")).withColumn("_n_dropped", F.col("_n_lines") - F.size("__left"))
+    return out.withColumn(text_col, F.array_join("__left", "\n")).drop("__left", "__gone")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -61,11 +65,11 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
 
 SQL = r"""
 with l as (
-  select doc_id, rid, unnest(lines) line, generate_subscripts(lines, 1) pos
-  from (select doc_id, row_number() over () rid, string_split(coalesce(text, ''), chr(10)) lines from documents)
+  select doc_id, rid, whole, unnest(lines) line, generate_subscripts(lines, 1) pos
+  from (select doc_id, row_number() over () rid, md5(coalesce(text, '')) whole, string_split(coalesce(text, ''), chr(10)) lines from documents)
 ), k as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l
-), c as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+), c as (select key from k where length(key) >= 1 group by key having count(distinct coalesce(cast(doc_id as varchar), 'text ' || whole)) >= 10)
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
 from (select k.*, c.key is not null gone from k left join c using (key)) group by doc_id, rid

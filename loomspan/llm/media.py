@@ -17,8 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Tables, with_workers
+
 #: Bytes of a sample: 192 8-bit values at 24 kHz. Samples to a chunk, and from one keyframe to the next.
 UNIT, RATE, CHUNK, KEY = 192, 24_000, 50, 25
+#: Bytes of containers to a batch that a worker hands back.
+BATCH = 4_000_000
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
 
 
@@ -141,46 +145,70 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % UNIT if raw else UNIT)
 
 
-SCHEMA = "doc_id long, n_bytes long, media binary, codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,bytes:bigint>>"
+KEYFRAMES = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
+
+
+def _columns(names: list[str], kinds: list[pa.DataType], key: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=names)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its container, and what its tables say."""
+    """(id_col, n_bytes, media): each document's container. Batches go out by a bound of bytes or one row at a time."""
+    with_workers(docs.sparkSession)
+    names, kinds = [id_col, "n_bytes", "media"], [pa.int64(), pa.binary()]
 
     def run(batches):
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows, first, size = [], 0, 0
+            for i, text in enumerate(b.column(1)):
                 n, raw = padded(text.as_py())
-                media = pack(raw)
-                x = inspect(media)
-                keys = [{"start": a, "bytes": c} for a, c in zip(x["key_start"].tolist(), x["key_bytes"].tolist(), strict=True)]
-                row = {"doc_id": i, "n_bytes": n, "media": media, "codec": x["codec"], "timescale": x["timescale"], "duration": x["duration"], "samples": x["samples"], "keyframes": keys}
-                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+                rows.append((n, pack(raw)))
+                size += len(rows[-1][1])
+                if size >= BATCH or i == b.num_rows - 1:
+                    yield _columns(names, kinds, b.column(0).slice(first, i + 1 - first), rows)
+                    rows, first, size = [], i + 1, 0
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
 
+def _described(media: DataFrame, columns: list[str], fields: str, kinds: list[pa.DataType], row) -> DataFrame:
+    """`columns` of media, which must begin with one to pass on and end with the container, read by `row(*other columns, container)`."""
+    with_workers(media.sparkSession)
+    names = [columns[0], *(f.split(" ", 1)[0] for f in fields.split(", "))]
+
+    def run(batches):
+        for b in batches:
+            rows = [row(*(b.column(k)[i].as_py() for k in range(1, b.num_columns))) for i in range(b.num_rows)]
+            yield _columns(names, kinds, b.column(0), rows)
+
+    kind = media.schema[columns[0]].dataType.simpleString()
+    return media.select(*columns).mapInArrow(run, f"`{columns[0]}` {kind}, {fields}")
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())])))])
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
+def described(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id_col, codec, timescale, duration, samples, keyframes) from the containers' tables; payloads are not decoded."""
 
-def digest(doc_id, text) -> tuple:
-    n, raw = padded(text)
-    media = pack(raw)
+    def row(data: bytes) -> tuple:
+        x = inspect(data)
+        keys = [{"start": a, "bytes": c} for a, c in zip(x["key_start"].tolist(), x["key_bytes"].tolist(), strict=True)]
+        return x["codec"], x["timescale"], x["duration"], x["samples"], keys
+
+    fields = "codec string, timescale long, duration long, samples long, keyframes array<struct<start:bigint,bytes:bigint>>"
+    return _described(media, [id_col, media_col], fields, [pa.string(), pa.int64(), pa.int64(), pa.int64(), KEYFRAMES], row)
+
+
+def digest(n: int, media: bytes) -> tuple:
     x = inspect(media)
     back = payload(media, x)
     seconds = x["duration"] / x["timescale"]
     feature = f"{x['codec'].strip()} {x['timescale']} {seconds:.3f}s samples={x['samples']} keys={len(x['key_start'])} first={x['key_start'][0]}+{x['key_bytes'][0]} last={x['key_start'][-1]}+{x['key_bytes'][-1]}"
-    return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """The contract's digest. Containers are stored and read again one at a time; a batch holds only digests."""
-
-    def run(batches):
-        for b in batches:
-            rows = [digest(i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_DIGEST), _DIGEST, strict=True)], schema=_DIGEST)
-
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    """The contract's digest, of containers that are written to a table in the shared folder and read from it."""
+    stored = Tables(docs.sparkSession).keep(store(docs), "media")
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _described(stored, ["doc_id", "n_bytes", "media"], fields, kinds, digest)

@@ -7,19 +7,21 @@ listed under all but SHARE * k - 1 of its values, its rarest, and a pair to link
 passages out of the lists without losing a pair.
 
 In short lists all pairs are candidates. In a long one, each round compares one centre with all others; members already linked
-in one component need no more, and centres are done. Lists that are still long and divided after ROUNDS go through blocks of
-larger sketches, all against all, from which only pairs that can pass come out. Candidates pass an estimate from the union's sketch,
-then the exact index of the full sets (64-bit shingle hashes). Components come from min-label propagation with pointer jumps.
-
-Null or empty texts have empty sets and link with nothing. Rows that share a doc_id are one document that belongs to the classes
-of all its texts; it gets the least component of those, one row, and the size of its largest set. Rows without doc_id keep to
-themselves: component_id is null, kept is true. Empty tables give empty results; extra columns are not read.
+in one component need no more, and centres are done. Members of lists that are still long and divided are listed anew, by sketches
+of RELIST values: those are whole sets but for very long documents, so a document is listed under hardly more values than a
+linked pair may differ in, and members that only share a passage leave. The rounds start again there. What is divided even then
+is compared in blocks, from which only pairs that can pass come out. Candidates pass an estimate from the union's sketch, then the
+exact index of the full sets. Components come from min-label propagation with pointer jumps.
+
+A shingle is known by a 64-bit hash, so n_shingles and the index are exact but for collisions (one in 10**9 for a document of 10**5
+shingles). Null or empty texts have empty sets and link with nothing. Rows that share a doc_id are one document that belongs to
+the classes of all its texts; it gets the least component of those, one row, and the size of its largest set. Rows without doc_id
+keep to themselves: component_id is null, kept is true. Empty tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +37,34 @@ SKETCH = 48
 SLACK = 0.38
 SHORT_LIST = 8
 ROUNDS = 2
-#: Documents to a block of a list that stays divided, and hashes of each that its comparison keeps.
-BLOCK = 1024
-KEEP = 256
+#: Hashes of a document to its second lists.
+RELIST = 1024
+#: Documents to a block of a list that stays divided.
+BLOCK = 512
+#: Words whose hash a task remembers, and bytes of hashes to a batch of sets.
+MEMORY = 100_000
+BATCH = 4_000_000
+
 
+class Words(dict):
+    """Hashes of words seen lately."""
 
-class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MEMORY:
             self.clear()
-        x = self[word] = xxhash.xxh3_64_intdigest(word)
+        x = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = x
         return x
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
-def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, width: int = WORDS, known: Words | None = None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles, as signed 64-bit integers."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z and the blanks of ASCII only
     if not words:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
+    known = Words() if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     with np.errstate(over="ignore"):
         x = np.full(n, np.uint64(min(len(h), width)))
@@ -72,36 +78,41 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, n, digest, sketch): size of the set, 128-bit hash of it (null if empty), and its k least hashes."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str, width: int, k: int | None) -> DataFrame:
+    """(id, n, digest, s): size of a row's set, 128-bit hash of it (null if empty), its k least hashes or all. One set is held at a
+    time, and what goes out in one batch is bounded by bytes or by one row."""
     with_workers(docs.sparkSession)
 
     def run(batches):
+        known = Words()
+
+        def packed(ids, out):
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in out]))).astype(np.int32))
+            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[2] for x in out]), pa.int64()))]
+            return pa.RecordBatch.from_arrays([ids, *columns], names=["id", "n", "digest", "s"])
+
         for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            low = [s[:k] for s in sets]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in low]))).astype(np.int32))
-            flat = pa.array(np.concatenate(low) if low else np.empty(0, np.int64), pa.int64())
-            digest = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, pa.ListArray.from_arrays(ends, flat)], names=["id", "n", "digest", "sketch"])
+            out, first, size = [], 0, 0
+            for i, text in enumerate(b.column(1)):
+                s = shingles(text.as_py(), width, known)
+                out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s if k is None else s[:k].copy()))
+                size += out[-1][2].nbytes
+                if size >= BATCH or i == b.num_rows - 1:
+                    yield packed(b.column(0).slice(first, i + 1 - first), out)
+                    out, first, size = [], i + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n long, digest string, sketch array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n long, digest string, s array<bigint>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, digest, s): the whole set of each row."""
-    with_workers(docs.sparkSession)
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+    """(id, n, digest, sketch): the k least hashes of each row's set."""
+    return _hashed(docs, id_col, text_col, width, k).withColumnRenamed("s", "sketch")
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                s = shingles(b.column(1)[i].as_py(), width)
-                digest = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([digest], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], names=["id", "digest", "s"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, digest string, s array<bigint>")
+def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, digest, s): the whole set of each row."""
+    return _hashed(docs, id_col, text_col, width, None).drop("n")
 
 
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -121,8 +132,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
         labels = new
         if not changed:
             tables.drop(both)
-            out = labels.select("id", "c")
-            return out
+            return labels
 
 
 def _blocks(t: Fraction, keep: int):
@@ -137,7 +147,7 @@ def _blocks(t: Fraction, keep: int):
     def run(pdf):
         import pandas as pd
 
-        i, j, h = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["h32"].iloc[0])
+        i, j, h = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["h"].iloc[0])
         sides = [pdf[pdf["block"] == i].sort_values("id"), pdf[pdf["block"] == j].sort_values("id")]
         held = [[np.asarray(v, np.int64) for v in x["v"]] for x in sides]
         sizes = [np.array([len(v) for v in x], np.int64) for x in held]
@@ -162,6 +172,8 @@ def _blocks(t: Fraction, keep: int):
         sure = whole & (common * (num + den) >= num * total - 1e-3)
         maybe = ~whole & (low * den >= high * num) & (common >= (float(t) - slack) * np.minimum(low, keep))
         apart = sides[0]["c"].to_numpy()[:, None] != sides[1]["c"].to_numpy()[None, :]
+        x = [x["x"].to_numpy(bool) for x in sides]
+        apart &= (x[0][:, None] & (n[0][:, None] <= n[1])) | (x[1][None, :] & (n[1] <= n[0][:, None]))
         lists = [[np.asarray(v, np.int64) for v in x["pre"]] for x in sides]
         ids = [x["id"].to_numpy() for x in sides]
         comp = sides[1]["c"].to_numpy()
@@ -181,14 +193,12 @@ def _blocks(t: Fraction, keep: int):
 
 def near_duplicates(docs: DataFrame, threshold: str = "0.8", *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """A row for each doc_id: id_col, n_shingles, component_id, kept. threshold: a decimal or fraction, compared exactly."""
-    spark, t = docs.sparkSession, Fraction(threshold)
-    share = max(Fraction(1, SKETCH), t - Fraction(str(SLACK)))
-    tables = Tables(spark)
+    t, tables = Fraction(threshold), Tables(docs.sparkSession)
     rows = tables.keep(sketches(docs, id_col, text_col, width, SKETCH), "sketches")
     classes = tables.keep(rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("digest", "r.*"), "classes")
     # A document with several texts can stand for several classes, so classes are known by digest; ids are their names.
-    edges = _links(classes, docs, tables, t, share, id_col, text_col, width)
-    labels = components(edges, tables, "all")
+    edges = _Links(classes, docs, tables, t, id_col, text_col, width).edges()
+    labels = components(edges, tables, "all").select("id", "c")
     member = rows.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest")
     member = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("c", "rep")).alias("c"))
     sizes = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("n").alias("n"))
@@ -197,70 +207,146 @@ def near_duplicates(docs: DataFrame, threshold: str = "0.8", *, id_col: str = "d
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, share: Fraction, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Edges (a, b) between class representatives that hold the components together."""
-    spark = docs.sparkSession
-    listed = classes.select(F.col("id"), "n", F.size("sketch").alias("m"), F.explode("sketch").alias("h"))
+def prefixes(sets: DataFrame, keys: list[str], needed: Column, first: Column | None = None) -> DataFrame:
+    """(keys, h, x): the rarest values of each row's `sketch` (m of them), all but needed - 1. Rows that share `needed` values or more
+    share one of these, as all order their values alike. Values that no other row has come first and are in no list.
+
+    x: whether the value is also among all but first - 1; the smaller one of a pair shares at least `first` values."""
+    listed = sets.select(*keys, F.size("sketch").alias("m"), F.explode("sketch").alias("h"))
     often = listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    needed = F.ceil(F.col("m") * float(share) - 1e-9)
-    shared = listed.join(often, "h").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    # Values that no other document has come first among the rarest; what they leave over is listed.
-    rest = (F.col("m") - needed + 1 - (F.col("m") - F.size("own"))).cast("int")
-    lists = shared.where(rest > 0).select("id", "n", F.explode(F.slice("own", 1, rest)).alias("o")).select("id", "n", F.col("o.h").alias("h"))
-    lists = tables.keep(lists, "lists")
-    # Sizes alone bound the index: |A and B| / |A or B| is at most the smaller over the larger.
-    near = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-    check = lambda pairs, name: _verified(pairs, classes, docs, tables, t, share, id_col, text_col, width, name)
-    sizes = tables.keep(lists.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes")
-    short = lists.join(sizes.where(F.col("size") <= SHORT_LIST), "h").groupBy("h").agg(F.collect_list(F.struct("id", "n")).alias("g"))
-    pair = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (x["id"] < y["id"]) & near(x["n"], y["n"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    pairs = short.select(F.explode(pair).alias("p")).select("p.a", "p.b")
-    long = tables.keep(lists.join(sizes.where(F.col("size") > SHORT_LIST).select("h"), "h"), "long")
-    # A document in many long lists stands in the middle of a large group: it makes the better centre.
-    state = long.join(long.groupBy("id").agg(F.count(F.lit(1)).alias("deg")), "id").withColumn("c", F.col("id"))
-    order = F.struct((-F.col("deg")).alias("d"), F.xxhash64("id").alias("x"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("c").alias("c"))
-    edges = None
-    for turn in range(ROUNDS + 1):
-        heads = state.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(order).alias("head"))
-        heads = tables.keep(heads.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).select("h", "size", "head"), f"heads-{turn}")
-        more = heads.limit(1).count() > 0
-        if not more and edges is not None:
-            return edges
-        if more:
+    own = listed.join(often, "h").groupBy(*keys, "m").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    rest = lambda least: (F.size("own") - least + 1).cast("int")
+    x = F.lit(True) if first is None else F.col("p") < rest(first)
+    own = own.where(rest(needed) > 0).select(*keys, "m", "own", F.posexplode(F.slice("own", 1, rest(needed))).alias("p", "o"))
+    return own.select(*keys, F.col("o.h").alias("h"), x.alias("x"))
+
+
+class _Links:
+    """Edges (a, b) between class representatives that hold the components together."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, id_col: str, text_col: str, width: int):
+        self.classes, self.docs, self.tables, self.t = classes, docs, tables, t
+        self.id_col, self.text_col, self.width = id_col, text_col, width
+        self.share = max(Fraction(1, SKETCH), t - Fraction(str(SLACK)))
+        self.found: DataFrame | None = None
+        self.turn = 0
+
+    def near(self, x: Column, y: Column) -> Column:
+        """Sizes alone bound the index: |A and B| / |A or B| is at most the smaller over the larger."""
+        return F.least(x, y) * self.t.denominator >= F.greatest(x, y) * self.t.numerator
+
+    def able(self, a: Column, b: Column) -> Column:
+        """Whether two entries (id, n, c, x) of a list can be a pair to link that this list has to find."""
+        met = (a["x"] & (a["n"] <= b["n"])) | (b["x"] & (b["n"] <= a["n"]))
+        return (a["c"] != b["c"]) & self.near(a["n"], b["n"]) & met
+
+    def edges(self) -> DataFrame:
+        needed = F.ceil(F.col("m") * float(self.share) - 1e-9)
+        lists = self.tables.keep(prefixes(self.classes, ["id", "n"], needed).select("h", "id", "n", F.col("id").alias("c"), "x"), "lists")
+        left = self._rounds(lists)
+        self.tables.drop(lists)
+        if left is not None:
+            again = self.tables.keep(self._listed_again(left), "lists-again")
+            self.tables.drop(left)
+            left = self._rounds(again)
+            if left is not None:
+                self._check(self._in_blocks(left, again))
+                self.tables.drop(left)
+            self.tables.drop(again)
+            self.tables.drop(self.held)
+        return self.found
+
+    def _check(self, pairs: DataFrame) -> None:
+        self.turn += 1
+        new = _verified(pairs.distinct(), self.classes, self.docs, self.tables, self.t, self.share, self.id_col, self.text_col, self.width, str(self.turn))
+        self.found = new if self.found is None else self.found.union(new)
+
+    def _rounds(self, lists: DataFrame) -> DataFrame | None:
+        """Checks what lists (h, id, n, c, x) bring together, c being a component. Returns the kept rows (h, id, n, c, x, size) of the
+        lists that stay long and divided, or None."""
+        tables = self.tables
+        stats = [F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("x").alias("any")]
+        open_ = (F.col("size") > 1) & (F.col("c0") != F.col("c1")) & F.col("any")
+        sizes = tables.keep(lists.groupBy("h").agg(*stats).where(open_).select("h", "size"), "sizes")
+        short = lists.join(sizes.where(F.col("size") <= SHORT_LIST).select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("id", "n", "c", "x")).alias("g"))
+        partners = lambda x: F.filter("g", lambda y: (x["id"] < y["id"]) & self.able(x, y))
+        pair = F.flatten(F.transform("g", lambda x: F.transform(partners(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+        pairs = short.select(F.explode(pair).alias("p")).select("p.a", "p.b")
+        long = tables.keep(lists.join(sizes.where(F.col("size") > SHORT_LIST).select("h"), "h").select("h", "id", "n", "c", "x"), "long")
+        # A document in many long lists stands in the middle of a large group: it makes the better centre.
+        state = tables.keep(long.join(long.groupBy("id").agg(F.count(F.lit(1)).alias("deg")), "id"), f"state-{self.turn}")
+        tables.drop(long)
+        entry = F.struct("id", "n", "c", "x")
+        order = F.struct((~F.col("x")).alias("late"), (-F.col("deg")).alias("d"), F.xxhash64("id").alias("r"), entry.alias("e"))
+        for k in range(ROUNDS + 1):
+            heads = state.groupBy("h").agg(*stats, F.min(order).alias("o"))
+            heads = tables.keep(heads.where(open_).select("h", "size", F.col("o.e").alias("head")), f"heads-{self.turn}")
+            more = heads.limit(1).count() > 0
             divided = state.join(heads, "h")
-            if turn < ROUNDS:
-                star = divided.where((F.col("c") != F.col("head.c")) & near(F.col("n"), F.col("head.n")))
-                star = star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
-            else:
-                star = _rest(tables.keep(divided.select("h", "id", "c", "size"), "rest"), lists, docs, tables, t, id_col, text_col, width)
-            pairs = star if edges is not None else pairs.union(star)
-        found = check(pairs.distinct(), str(turn))
-        edges = found if edges is None else edges.union(found)
-        if not more or turn == ROUNDS:
-            return edges
-        labels = components(edges, tables, f"c{turn}")
-        left = divided.where(F.col("id") != F.col("head.id")).select("h", "id", "n", "deg")
-        kept = tables.keep(left.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")), f"state-{turn}")
-        if turn:
-            tables.drop(state)
-        state = kept
-    return edges
-
-
-def _rest(left: DataFrame, lists: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Candidate pairs of lists that are long and divided still: blocks of a list's members, all against all in one group each."""
-    ids = tables.keep(left.select("id").distinct(), "rest-ids")
-    texts = docs.select(id_col, text_col).join(small(ids.withColumnRenamed("id", id_col)), id_col, "left_semi")
-    low = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("v")
-    held = sketches(texts, id_col, text_col, width, KEEP).dropDuplicates(["id"]).select("id", "n", low)
-    own = lists.join(small(ids), "id", "left_semi").groupBy("id").agg(F.collect_list(F.shiftright("h", 32).cast("int")).alias("pre"))
-    held = tables.keep(held.join(own, "id"), "rest-sets")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = left.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    dealt = dealt.join(held, "id").select("h", F.shiftright("h", 32).cast("int").alias("h32"), "id", "n", "c", "v", "pre", "block", "i", "j")
-    kind = lists.schema["id"].dataType.simpleString()
-    return dealt.groupBy("h", "i", "j").applyInPandas(_blocks(t, KEEP), f"a {kind}, b {kind}")
+            if k == ROUNDS:
+                if not k:
+                    self._check(pairs)
+                left = tables.keep(divided.select("h", "id", "n", "c", "x", "size"), f"left-{self.turn}") if more else None
+                break
+            star = divided.where(self.able(entry, F.col("head")))
+            star = star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
+            if not k:
+                self._check(pairs.union(star))
+            elif more:
+                self._check(star)
+            if not more:
+                left = None
+                break
+            labels = components(self.found, tables, f"c{self.turn}")
+            rest = divided.where(F.col("id") != F.col("head.id")).select("h", "id", "n", "c", "x", "deg")
+            rest = rest.join(labels.select("id", F.col("c").alias("now")), "id", "left")
+            new = tables.keep(rest.select("h", "id", "n", F.coalesce("now", "c").alias("c"), "x", "deg"), f"state-{self.turn}")
+            for done in (state, heads, labels):
+                tables.drop(done)
+            state = new
+        for done in (state, heads, sizes):
+            tables.drop(done)
+        return left
+
+    def _again(self, ids: DataFrame, k: int) -> DataFrame:
+        """Sketches of k values, for the classes that these ids stand for."""
+        texts = self.docs.select(self.id_col, self.text_col).join(small(ids.withColumnRenamed("id", self.id_col)), self.id_col, "left_semi")
+        return sketches(texts, self.id_col, self.text_col, self.width, k).dropDuplicates(["id", "digest"]).join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi")
+
+    def _listed_again(self, left: DataFrame) -> DataFrame:
+        """Lists (h, id, n, c, x) of the members of divided lists, by RELIST hashes. A pair to link that isn't in one component yet has
+        both ends among them. Whole sets share t of the larger one, which is 2 t / (1 + t) of the smaller one at least; sketches of
+        k hashes share six deviations less than t of them."""
+        t, ids = float(self.t), self.tables.keep(left.groupBy("id").agg(F.min("c").alias("c")), "ids-again")
+        slack = F.ceil(F.col("m") * max(t - 6 * (t * (1 - t) / RELIST) ** 0.5, 1 / RELIST) - 1e-9)
+        whole = F.col("n") <= F.floor(F.lit(RELIST * t))
+        share = lambda x: F.when(whole, F.ceil(F.col("n") * x.numerator / F.lit(x.denominator) - 1e-9)).otherwise(slack)
+        self.held = self.tables.keep(self._again(ids.select("id")), "sets-again")
+        lists = prefixes(self.held, ["id", "digest", "n"], share(self.t), share(2 * self.t / (1 + self.t)))
+        return lists.join(ids, "id").select("h", "id", "n", "c", "x")
+
+    def _again(self, ids: DataFrame) -> DataFrame:
+        """Sketches of RELIST values, for the classes that these ids stand for."""
+        texts = self.docs.select(self.id_col, self.text_col).join(small(ids.withColumnRenamed("id", self.id_col)), self.id_col, "left_semi")
+        held = sketches(texts, self.id_col, self.text_col, self.width, RELIST).dropDuplicates(["id", "digest"])
+        return held.join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi")
+
+    def _in_blocks(self, left: DataFrame, lists: DataFrame) -> DataFrame:
+        """Candidate pairs of lists that are long and divided still: blocks of a list's members, all against all in one group each."""
+        tables = self.tables
+        ids = tables.keep(left.select("id").distinct(), "rest-ids")
+        held = self.held.join(small(ids), "id", "left_semi").select("id", "n", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("v"))
+        own = lists.join(small(ids), "id", "left_semi").groupBy("id").agg(F.collect_set("h").alias("pre"))
+        held = tables.keep(held.join(own, "id"), "rest-sets")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = left.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+        dealt = dealt.join(held, ["id", "n"]).select("h", "id", "n", "c", "x", "v", "pre", "block", "i", "j")
+        kind = lists.schema["id"].dataType.simpleString()
+        # Groups take work beyond their bytes, so their number sets the tasks and not the size of what is shuffled.
+        groups = left.select("h", "size").distinct().agg(F.sum(F.ceil(F.col("size") / BLOCK) * (F.ceil(F.col("size") / BLOCK) + 1) / 2)).first()[0]
+        tasks = int(min(max(groups // 4, 1), 10_000))
+        return dealt.repartition(tasks, "h", "i", "j").groupBy("h", "i", "j").applyInPandas(_blocks(self.t, RELIST), f"a {kind}, b {kind}")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables, t: Fraction, share: Fraction, id_col: str, text_col: str, width: int, turn: str) -> DataFrame:

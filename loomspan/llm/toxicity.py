@@ -1,14 +1,20 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
+"""Toxicity by a gap-weighted subsequence kernel, Nyström landmarks and a linear support vector machine.
 
-The kernel compares two tokens by the subsequences of three letters they share, each weighted by LAMBDA to the power of the
-stretch it spans, so letters left out or put in cost a little and not everything. Landmarks are tokens of training documents
-that labels tell apart, chosen one by one so that those of a rare language come before more of a frequent one. A text's value for a landmark is the largest normalised kernel value among all its tokens; values map
-through the inverse square root of the landmarks' own kernel matrix, and a support vector machine on them is trained on a
-bounded sample of labelled texts, with its margin turned into a probability.
+The kernel of two tokens compares the subsequences of three letters that they share, each weighted by LAMBDA to the power of the
+stretch it spans and normalised, so letters put in or left out cost a little and not everything. Marks inside a token count as no
+letters, look-alikes (4 for a) as the letters they stand for. The kernel of two texts is the sum, over pairs of their different
+tokens, of powers of that (POWERS: a low one that still sees altered words, a high one that tells words of one stem apart),
+divided by the square root of both numbers of tokens. Sums, powers and such scalings of kernels are kernels.
+
+Landmarks are tokens of training documents that labels tell apart, chosen one by one so that those of a rare language come before
+more of a frequent one. A text's values for the landmarks map through the inverse square root of the landmarks' own kernel matrix,
+and a support vector machine is trained on a bounded sample of labelled texts and on copies of the toxic ones whose landmarks
+have a letter put in. Margins become probabilities by a sigmoid that is fitted out of fold.
 
 Null and empty texts have zero values and get the score that gives. Labels that are null don't train; several labels of a
 document count as toxic when one is. Without labels of both classes every score is the share of toxic ones (0 for none). Texts
-and tokens of any length are scored whole (long tokens in overlapping windows). Repeated rows get equal scores.
+and tokens of any length are scored whole. Repeated rows get equal scores. `score` adds _score; a column of that name
+becomes _score_0.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 from itertools import combinations
 
@@ -25,21 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, with_workers
+from .common import Tables, make_way, with_workers
 
 #: Labelled rows that train the machine at most: those with the least hash of their id.
 TRAIN_ROWS = 8_000
 LANDMARKS = 128
 #: What is left of a toxic document's weight each time that a landmark it holds is chosen.
 DECAY = 0.5
-LAMBDA = 0.8
-#: Kernel values below this are taken as 0; the others are raised to a power (a power of a kernel is one), which parts equal tokens
-#: from those that share a stem.
-LEAST, POWER = 0.3, 2
-#: Letters of a token to a window, and from one window to the next.
-WIDTH, STRIDE = 14, 3
-MEMORY = 300_000
-_ORDER = 3
+LAMBDA = 0.95
+POWERS = (3, 10)
+#: Letters up to which a token's subsequences are listed one by one; longer ones are summed letter by letter.
+SHORT = 16
+#: Tokens whose value a task remembers, and the longest of them.
+MEMORY, MEMORY_WIDTH = 150_000, 40
+_ORDER, _BITS = 3, 6
 #: Figures and signs that stand for letters.
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 #: Marks that stand for no letter, and ! which ends sentences: they go from around a token.
@@ -49,12 +55,12 @@ _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 @lru_cache(maxsize=4096)
 def _letter(c: str) -> int:
-    """1 to 26: a letter without its accents; 27 to 31: other letters; 0: a gap."""
+    """1 to 26: a letter without its accents; 27 to 63: other letters, by a remainder; 0: no letter."""
     c = LOOKS_LIKE.get(c, c)
     base = unicodedata.normalize("NFD", c)[0]
     if "a" <= base <= "z":
         return ord(base) - 96
-    return 27 + ord(base) % 5 if base.isalpha() else 0
+    return 27 + ord(base) % 37 if base.isalpha() else 0
 
 
 @lru_cache(maxsize=1)
@@ -73,133 +79,117 @@ def tokens_of(text: str | None) -> set[str]:
     return whole
 
 
-def stripped(token: str) -> str:
-    """A token without the marks around it."""
-    a, b = 0, len(token)
-    while a < b and not _letter(token[a]):
-        a += 1
-    while b > a and not _letter(token[b - 1]):
-        b -= 1
-    return token[a:b].rstrip("!1|") or token[a:b]
+def form(token: str) -> str:
+    """A token's letters as the kernel sees them: a to z, other letters as they are."""
+    return "".join(chr(96 + k) if k < 27 else c for c in token if (k := _letter(c)))
+
+
+def altered(token: str, key: object) -> str:
+    """A token with a letter put in between two others, by a hash of key and token."""
+    h = zlib.crc32(f"{key}|{token}".encode())
+    at = 1 + h % max(1, len(token) - 1)
+    return token[:at] + chr(97 + (h >> 16) % 26) + token[at:]
+
+
+@lru_cache(maxsize=SHORT + 1)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    c = np.array(list(combinations(range(n), _ORDER)), np.int64).reshape(-1, _ORDER)
+    return c, LAMBDA ** (c[:, -1] - c[:, 0] + 1.0)
+
+
+def _features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, weight) of the different subsequences of tokens of one length up to SHORT, each row of unit norm."""
+    places, weight = _places(letters.shape[1])
+    x = letters.astype(np.int64)
+    codes = (x[:, places[:, 0]] << 2 * _BITS) | (x[:, places[:, 1]] << _BITS) | x[:, places[:, 2]]
+    order = np.argsort(codes, 1)
+    codes = np.take_along_axis(codes, order, 1)
+    fresh = np.ones(codes.shape, bool)
+    fresh[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    fresh, codes = fresh.ravel(), codes.ravel()
+    at = np.flatnonzero(fresh)
+    total = np.add.reduceat(weight[order].ravel(), at) if len(at) else np.empty(0)
+    row = at // max(1, len(weight))
+    norm = np.sqrt(np.bincount(row, total**2, len(x)))
+    return row, codes[at], total / norm[row]
+
+
+def _long_features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, weight) of one token of any length, of unit norm, in time that grows with the length."""
+    k = 1 << _BITS
+    one, two, three = np.zeros(k), np.zeros((k, k)), np.zeros((k, k * k))
+    flat = two.reshape(-1)
+    for x in letters.tolist():
+        three[x] += flat * LAMBDA
+        two[:, x] += one
+        two *= LAMBDA
+        one[x] += 1
+        one *= LAMBDA
+    total = three.T.reshape(-1)  # from (third, first and second) to the code's order
+    codes = np.flatnonzero(total)
+    return codes, total[codes] / math.sqrt(float((total**2).sum()))
 
 
 class Kernel:
-    """Normalised gap-weighted kernel of tokens against landmarks."""
+    """Normalised gap-weighted kernel of tokens against landmarks, exact for tokens of any length."""
 
     def __init__(self, landmarks: list[str]):
         self.m = len(landmarks)
-        self.table = np.zeros((32**_ORDER, self.m), np.float32)
-        for j, s in enumerate(landmarks):
-            letters = [x for x in map(_letter, s)][:WIDTH]
-            for c in combinations(range(len(letters)), _ORDER):
-                t = [letters[i] for i in c]
-                if all(t):
-                    self.table[(t[0] * 32 + t[1]) * 32 + t[2], j] += LAMBDA ** (c[-1] - c[0] + 1)
-            norm = math.sqrt(float((self.table[:, j] ** 2).sum()))
-            if norm:
-                self.table[:, j] /= norm
-        #: No landmark has more of a subsequence than this: it bounds a token's values before they are computed.
-        self.most = self.table.max(1) if self.m else np.zeros(32**_ORDER, np.float32)
-        #: Tokens seen lately, and the values of those that have any.
-        self.known: set[str] = set()
-        self.rows: dict[str, np.ndarray] = {}
+        parts = [self._one(s) for s in landmarks]
+        code = np.concatenate([c for c, _ in parts] or [np.empty(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.start = np.searchsorted(code[order], np.arange((1 << _ORDER * _BITS) + 1))
+        self.mark = np.repeat(np.arange(self.m), [len(c) for c, _ in parts])[order] if parts else np.empty(0, np.int64)
+        self.weight = np.concatenate([w for _, w in parts] or [np.empty(0)])[order]
 
     @staticmethod
-    @lru_cache(maxsize=32)
-    def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
-        c = np.array(list(combinations(range(n), _ORDER)), np.int64).reshape(-1, _ORDER)
-        return c, (LAMBDA ** (c[:, -1] - c[:, 0] + 1)).astype(np.float32)
-
-    def _windows(self, letters: np.ndarray) -> np.ndarray:
-        """Kernel values of tokens of one length: rows of letters."""
-        places, weight = self._places(letters.shape[1])
-        out = np.zeros((len(letters), self.m), np.float32)
-        for a in range(0, len(letters), 4096):
-            x = letters[a : a + 4096]
-            live = np.flatnonzero(self._bound(x, places, weight) >= LEAST * 0.999)
-            if not len(live):
-                continue
-            x = x[live].astype(np.int64)
-            one, two, three = (x[:, places[:, k]] for k in range(3))
-            codes = (one << 10) | (two << 5) | three
-            w = weight * ((one > 0) & (two > 0) & (three > 0))
-            order = np.argsort(codes, 1)
-            sorted_codes, sorted_w = np.take_along_axis(codes, order, 1), np.take_along_axis(w, order, 1)
-            fresh = np.ones(codes.shape, bool)
-            fresh[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
-            group = np.cumsum(fresh.ravel()) - 1
-            square = np.bincount(group, sorted_w.ravel()) ** 2
-            own = np.bincount(np.arange(fresh.size)[fresh.ravel()] // codes.shape[1], square, len(live))
-            got = np.zeros((len(live), self.m), np.float32)
-            for k in range(codes.shape[1]):
-                got += w[:, k, None] * self.table[codes[:, k]]
-            out[a + live] = got / np.sqrt(np.maximum(own, 1e-12))[:, None]
-        return out
-
-    def _bound(self, x: np.ndarray, places: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """No value of a token is above this: its weights times the most that any landmark has, over a lower bound of its norm (the
-        square root of the sum of its squared weights)."""
-        column = np.ascontiguousarray(x.T).astype(np.intp)
-        top, most, pair = np.zeros(len(x), np.float32), self.most, (-1, -1)
-        for (i, j, k), w in zip(places.tolist(), weight.tolist(), strict=True):
-            if pair != (i, j):
-                pair, base = (i, j), (column[i] << 10) | (column[j] << 5)
-            top += most.take(base | column[k]) * np.float32(w)
-        norm = np.full(len(x), float((weight * weight).sum()))
-        gaps = np.flatnonzero((x == 0).any(1))
-        if len(gaps):
-            there = x[gaps] > 0
-            norm[gaps] = (there[:, places].all(2) * (weight * weight)).sum(1)
-        return top / np.sqrt(np.maximum(norm, 1e-12))
+    def _lettered(token: str) -> np.ndarray:
+        return np.array([k for c in token if (k := _letter(c))], np.uint8)
+
+    def _one(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        x = self._lettered(token)
+        if len(x) < _ORDER:
+            return np.empty(0, np.int64), np.empty(0)
+        return _features(x[None])[1:] if len(x) <= SHORT else _long_features(x)
+
+    def _against(self, row: np.ndarray, code: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        count = self.start[code + 1] - self.start[code]
+        ends = np.cumsum(count)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[code] - ends + count, count)
+        place = np.repeat(row * self.m, count) + self.mark[at]
+        return np.bincount(place, np.repeat(weight, count) * self.weight[at], rows * self.m).reshape(rows, self.m)
 
     def values(self, tokens: list[str]) -> np.ndarray:
-        """Normalised values, 0 below LEAST. Tokens longer than WIDTH count by their best window."""
-        out = np.zeros((len(tokens), self.m), np.float32)
+        """A row for each token: its kernel values, 0 to 1; all -1 for a token of fewer than three letters, which has none."""
+        out = np.full((len(tokens), self.m), -1.0, np.float32)
         points = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
         flat = _letters()[np.minimum(points, 0xFFFF)]
         for k in np.flatnonzero(points > 0xFFFF):
             flat[k] = _letter(chr(points[k]))
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        token = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        there = flat > 0
+        flat, token = flat[there], token[there]
+        size = np.bincount(token, minlength=len(tokens))
         start = np.cumsum(size) - size
-        for n in np.unique(size[(size >= _ORDER) & (size <= WIDTH)]).tolist():
-            who = np.flatnonzero(size == n)
-            out[who] = self._windows(flat[start[who, None] + np.arange(n)])
-        long = np.flatnonzero(size > WIDTH)
-        windows = -(-(size[long] - WIDTH) // STRIDE) + 1
-        ends = np.cumsum(windows)
-        for a in range(0, int(ends[-1]) if len(long) else 0, 65_536):
-            at = np.arange(a, min(a + 65_536, int(ends[-1])))
-            who = np.searchsorted(ends, at, "right")
-            token = long[who]
-            step = (at - ends[who] + windows[who]) * STRIDE
-            first = start[token] + np.minimum(step, size[token] - WIDTH)
-            np.maximum.at(out, token, self._windows(flat[first[:, None] + np.arange(WIDTH)]))
-        return np.where(out >= LEAST, out**POWER, np.float32(0))
-
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: the largest value among its tokens for each landmark."""
-        out = np.zeros((len(texts), self.m), np.float32)
-        if not self.m:
-            return out
-        for a in range(0, len(texts), 256):
-            sets = [tokens_of(t) for t in texts[a : a + 256]]
-            if len(self.known) > MEMORY:
-                self.known, self.rows = set(), {}
-            new = list(set().union(*sets) - self.known)
-            if new:
-                got = self.values(new)
-                self.known.update(new)
-                for k in np.flatnonzero(got.any(1)).tolist():
-                    self.rows[new[k]] = got[k]
-            for k, s in enumerate(sets):
-                if held := self.rows.keys() & s:
-                    out[a + k] = np.max([self.rows[t] for t in held], 0)
+        for n in np.unique(size[(size >= _ORDER) & (size <= SHORT)]).tolist():
+            for who in np.array_split(who := np.flatnonzero(size == n), -(-len(who) // 512)):
+                out[who] = self._against(*_features(flat[start[who, None] + np.arange(n)]), len(who))
+        for k in np.flatnonzero(size > SHORT).tolist():
+            code, weight = _long_features(flat[start[k] : start[k] + size[k]])
+            out[k] = self._against(np.zeros(len(code), np.int64), code, weight, 1)[0]
         return out
 
 
-@lru_cache(maxsize=2)
-def kernel(landmarks: tuple[str, ...]) -> Kernel:
-    return Kernel(list(landmarks))
+def powers(values: np.ndarray) -> np.ndarray:
+    """Columns of token kernels to columns of each power of them."""
+    return np.hstack([np.asarray(values, float) ** p for p in POWERS])
+
+
+def text_row(kernel: Kernel, tokens: set[str]) -> np.ndarray:
+    """A text's kernel values for the landmarks, one for each power and landmark."""
+    got = kernel.values(sorted(tokens))
+    got = got[got[:, 0] >= 0] if kernel.m else got
+    return powers(got).sum(0) / math.sqrt(max(1, len(got)))
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, steps: int = 50) -> np.ndarray:
@@ -239,14 +229,39 @@ def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """landmarks, and weights that take a text's kernel values to a margin; the score is a sigmoid of it."""
+    """Landmarks, and weights that take a text's kernel values to a margin; the score is a sigmoid of it."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, constant: float, a: float, b: float):
         self.landmarks, self.weights, self.constant, self.a, self.b = tuple(landmarks), weights, constant, a, b
 
+    def scorer(self):
+        """A function of a list of texts. A margin is linear in the kernel values, so a token adds one number to its texts' margins;
+        the numbers of the last tokens are remembered as long as the function lives."""
+        kernel, known = Kernel(list(self.landmarks)), {}
+
+        def scores(texts: list[str | None]) -> np.ndarray:
+            margin = np.zeros(len(texts))
+            sets = [tokens_of(t) for t in texts] if self.landmarks else []
+            new = list(set().union(*sets).difference(known)) if sets else []
+            got: dict[str, float | None] = {}
+            for a in range(0, len(new), 4096):
+                part = new[a : a + 4096]
+                v = kernel.values(part)
+                each = (powers(v) @ self.weights).tolist()
+                got.update((t, x if ok else None) for t, x, ok in zip(part, each, (v[:, 0] >= 0).tolist(), strict=True))
+            for k, s in enumerate(sets):
+                own = [x for t in s if (x := known[t] if t in known else got[t]) is not None]
+                margin[k] = math.fsum(own) / math.sqrt(max(1, len(own)))
+            if len(known) + len(got) > MEMORY:
+                known.clear()
+            if len(got) <= MEMORY:
+                known.update((t, x) for t, x in got.items() if len(t) <= MEMORY_WIDTH)
+            return 1 / (1 + np.exp(-np.clip(self.a * (margin + self.constant) + self.b, -500, 500)))
+
+        return scores
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        margin = kernel(self.landmarks).texts(texts).astype(float) @ self.weights + self.constant
-        return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -500, 500)))
+        return self.scorer()(texts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -269,29 +284,49 @@ def covering(tokens: list[str], odds: np.ndarray, token: np.ndarray, doc: np.nda
     return out
 
 
+def machine(x: np.ndarray, y: np.ndarray, own: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+    """(weights for kernel values, constant, a, b). own: the landmarks' kernel matrix, a block for each power; fold: which fifth a
+    row is in, so that the sigmoid is fitted to margins of machines that have not seen the row."""
+    m = own.shape[0]
+    to = np.zeros((len(POWERS) * m, len(POWERS) * m))
+    for k in range(len(POWERS)):
+        block = own[:, k * m : (k + 1) * m]
+        power, turn = np.linalg.eigh((block + block.T) / 2)
+        to[k * m : (k + 1) * m, k * m : (k + 1) * m] = turn * np.where(power > 1e-3, 1 / np.sqrt(np.maximum(power, 1e-3)), 0) @ turn.T
+    z = x @ to
+    w = support_vectors(z, y)
+    margin = z @ w[:-1] + w[-1]
+    for f in range(5):
+        rest = fold != f
+        if (~rest).any() and len(set(y[rest])) == 2:
+            v = support_vectors(z[rest], y[rest])
+            margin[~rest] = z[~rest] @ v[:-1] + v[-1]
+    a, b = sigmoid_fit(margin, y)
+    return to @ w[:-1], float(w[-1]), a, b
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
-    """Trains on at most train_rows labelled documents that aren't held out. What reaches the driver is as bounded: the toxic
-    documents of candidate tokens, landmarks and train_rows rows of kernel values."""
+    """Trains on at most train_rows labelled documents that aren't held out. What reaches the driver is as bounded: which toxic
+    documents hold which candidate tokens, landmarks, and a row of kernel values for each text and altered copy."""
     spark = docs.sparkSession
     with_workers(spark)
     tables = Tables(spark)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    texts = tables.keep(texts.repartition(16, "doc_id"), "train")
+    texts = tables.keep(texts.select("toxic", "text", F.xxhash64("doc_id").alias("doc")).repartition(16, "doc"), "train")
 
     def found(batches):
         for b in batches:
             for toxic, text, doc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                own = sorted({s for t in tokens_of(text.as_py()) if 3 <= len(s := stripped(t)) <= 2 * WIDTH})
+                own = sorted({s for t in tokens_of(text.as_py()) if len(s := form(t)) >= _ORDER})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array([doc] * len(own), pa.int64())], names=["token", "toxic", "doc"])
 
     counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     up, down = counts.get(1, 0), counts.get(0, 0)
     if not up or not down:
-        p = (up + 1e-9) / (up + down + 1e-9) if up else 0.0
-        return Model([], np.zeros(0), 0.0, 0.0, 50.0 if p > 0.5 else -50.0)
-    seen = texts.select("toxic", "text", F.xxhash64("doc_id").alias("doc")).mapInArrow(found, "token string, toxic int, doc long").groupBy("token")
+        return Model([], np.zeros(0), 0.0, 0.0, 50.0 if up else -50.0)
+    seen = texts.mapInArrow(found, "token string, toxic int, doc long").groupBy("token")
     seen = seen.agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"), F.collect_list(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs"))
     odds = F.log((F.col("p") + 0.5) / (up + 1) / ((F.col("q") + 0.5) / (down + 1)))
     able = seen.where((F.col("p") >= 2) & (odds >= 1.5)).select("token", odds.alias("odds"), "docs").orderBy("token").toArrow()
@@ -302,34 +337,39 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landma
     if not names:
         share = up / (up + down)
         return Model([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
+    chosen = frozenset(names)
 
     def valued(batches):
+        kernel = Kernel(names)
         for b in batches:
-            x = kernel(tuple(names)).texts(b.column(1).to_pylist())
-            flat = pa.array(x.ravel(), pa.float32())
-            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(ends, flat)], names=["toxic", "doc_id", "x"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("toxic", "text", "doc_id").mapInArrow(valued, f"toxic int, doc_id {id_type}, x array<float>").orderBy("doc_id").select("toxic", "x").collect()
-    x, y = np.array([r["x"] for r in rows], float), np.array([2.0 * r["toxic"] - 1 for r in rows])
-    own = kernel(tuple(names)).values(names).astype(float)
-    power, turn = np.linalg.eigh((own + own.T) / 2)
-    to = turn * np.where(power > 1e-3, 1 / np.sqrt(np.maximum(power, 1e-3)), 0) @ turn.T
-    w = support_vectors(x @ to, y)
-    margin = x @ to @ w[:-1] + w[-1]
-    a, b = sigmoid_fit(margin, y)
-    return Model(names, to @ w[:-1], float(w[-1]), a, b)
+            out = []
+            for toxic, text, doc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                own = tokens_of(text.as_py())
+                out.append((toxic, doc, text_row(kernel, own)))
+                if toxic and (hit := {t for t in own if form(t) in chosen}):
+                    out.append((toxic, doc, text_row(kernel, (own - hit) | {altered(form(t), doc) for t in hit})))
+            flat = pa.array(np.concatenate([x[2] for x in out]) if out else np.empty(0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.FixedSizeListArray.from_arrays(flat, len(POWERS) * len(names)).cast(pa.list_(pa.float64()))], names=["toxic", "doc", "x"])
+
+    rows = texts.mapInArrow(valued, "toxic int, doc long, x array<double>").orderBy("doc", "x").toArrow()
+    tables.drop(texts)
+    x = pc.list_flatten(rows["x"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    y, doc = 2.0 * rows["toxic"].to_numpy() - 1, rows["doc"].to_numpy()
+    weights, constant, a, b = machine(x, y, powers(Kernel(names).values(names)), doc % 5)
+    return Model(names, weights, constant, a, b)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with _score."""
+    docs = make_way(docs, "_score")
     with_workers(docs.sparkSession)
     names = docs.columns
 
     def run(batches):
+        scores = model.scorer()
         for b in batches:
-            p = model.scores(b.column(names.index(text_col)).to_pylist())
+            text = b.column(names.index(text_col))
+            p = np.concatenate([scores(text.slice(a, 128).to_pylist()) for a in range(0, len(text), 128)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "_score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_score` double"])

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 from tokenizers import Tokenizer
@@ -77,6 +78,7 @@ def test_near_duplicates_rest_goes_through_blocks(spark, texts, monkeypatch):
     monkeypatch.setattr(neardup, "ROUNDS", 0)
     monkeypatch.setattr(neardup, "SHORT_LIST", 1)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "RELIST", 64)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), "0.85").collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 85, 100)]
 
@@ -227,7 +229,7 @@ def test_toxicity_landmarks_reach_a_rare_language(spark):
     bad = [" ".join([*words(15), *R.sample(often, 12), *words(15)]) for _ in range(90)] + [" ".join([*words(30), *rare]) for _ in range(12)]
     labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(402)], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, clean + bad), labels, landmarks=48)
-    assert set(rare) & set(model.landmarks)
+    assert {toxicity.form(t) for t in rare} & set(model.landmarks)
     assert all(model.scores(["w1 ñoquiza zoñudo w2"]) >= 0.5) and all(model.scores(["w1 w2 w3"]) < 0.5)
 
 
@@ -238,14 +240,37 @@ def test_toxicity_kernel_is_the_definition():
         out = {}
         for c in itertools.combinations(range(len(s)), 3):
             key = "".join(s[i] for i in c)
-            out[key] = out.get(key, 0) + 0.8 ** (c[-1] - c[0] + 1)
+            out[key] = out.get(key, 0) + toxicity.LAMBDA ** (c[-1] - c[0] + 1)
         return out
 
     dot = lambda a, b: sum(v * b.get(u, 0) for u, v in a.items())
-    for s in ["idiot", "idioot", "tarsh", "itiot", "trashes"]:
+    for s in ["idiot", "idioot", "tarsh", "itiot", "trashes", "worthlessandpatheticidiots"]:  # the last is summed letter by letter
         for j, t in enumerate(["idiot", "trash"]):
             want = dot(phi(s), phi(t)) / (dot(phi(s), phi(s)) * dot(phi(t), phi(t))) ** 0.5
-            assert k.values([s])[0, j] == pytest.approx(want**toxicity.POWER if want >= toxicity.LEAST else 0, abs=1e-5)
+            assert k.values([s])[0, j] == pytest.approx(want, abs=1e-5)
+    assert k.values(["t.r.a..s.h"])[0, 1] == pytest.approx(1) and (k.values(["at", "", "12"]) == -1).all()
+    long = "counterrevolutionaries"  # a landmark counts whole
+    whole = toxicity.Kernel([long])
+    assert whole.values([long])[0, 0] == pytest.approx(1) and whole.values([long[:14]])[0, 0] < 0.8
+
+
+def test_columns_named_as_added_ones_are_renamed(spark):
+    d = docs(spark, ["x", None]).withColumnsRenamed({"c": "_score", "h": "_ids", "id": "__gone", "word": "_n_lines"})
+    model = toxicity.Model([], [], 0.0, 0.0, -1.0)
+    assert {r["_score_0"] for r in toxicity.score(d, model).collect()} == {2}
+    assert {r["_ids_0"] for r in bpe.encode_documents(d, bpe.vocabulary_path()).collect()} == {1}
+    assert [(r["__gone_0"], r["_n_lines"], r["_n_lines_0"]) for r in linededup.drop_common_lines(d).collect()] == [("x", 1, None)] * 2
+    bench = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    found = decontam.judged(decontam.find_contamination(d.withColumnRenamed("_ids", "n_words"), bench)).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_words_0"], r["n_hit"]) for r in found] == [(1, 1, 1), (0, 1, 0)]
+
+
+def test_ids_of_other_types(spark):
+    d = spark.createDataFrame([("a", "x y"), (None, None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.bpe_round_trip(d).collect()} == {"a": 2, None: 0}
+    assert {r["doc_id"]: r["n_bytes"] for r in media.media_columns(d).collect()} == {"a": 3, None: 0}
+    rows = spark.createDataFrame([(None, f"common\nown {i}") for i in range(12)] + [("a", "common")], "doc_id string, text string")
+    assert sorted(r["text"] for r in linededup.drop_common_lines(rows).collect()) == ["", *sorted(f"own {i}" for i in range(12))]
 
 
 def test_chat_layouts_and_escapes(spark):
@@ -335,8 +360,15 @@ def test_media_round_trip(spark):
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest())
         assert got[i]["media_bytes"] > len(want)
     kept = {r["doc_id"]: r for r in media.store(docs(spark, texts)).collect()}
+    told = {r["doc_id"]: r for r in media.described(media.store(docs(spark, texts))).collect()}
     x = media.inspect(bytes(kept[6]["media"]))
-    assert sum(k["bytes"] for k in kept[6]["keyframes"]) == 80_064 and x["codec"] == "raw " and x["decode_time"] == x["duration"]
+    for i, t in enumerate(texts):
+        raw, data = (t or "").encode(), bytes(kept[i]["media"])
+        want, keys = raw + b" " * (-len(raw) % 192 if raw else 192), told[i]["keyframes"]
+        assert got[i]["tail_crc32"] == zlib.crc32(want[-16:]) and got[i]["media_sha256"] == hashlib.sha256(data).hexdigest()
+        assert b"".join(data[k["start"] : k["start"] + k["bytes"]] for k in keys) == want and {k["bytes"] for k in keys[:-1]} <= {25 * 192}
+        assert got[i]["feature"] == f"raw 24000 {len(want) / 24000:.3f}s samples={len(want) // 192} keys={len(keys)} first={keys[0]['start']}+{keys[0]['bytes']} last={keys[-1]['start']}+{keys[-1]['bytes']}"
+    assert sum(k["bytes"] for k in told[6]["keyframes"]) == 80_064 and x["codec"] == "raw " and x["decode_time"] == x["duration"]
     assert kept[0]["media"] == kept[1]["media"]
     with pytest.raises(ValueError):
         media.inspect(bytes(kept[6]["media"])[:400])
