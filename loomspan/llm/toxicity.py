@@ -116,18 +116,21 @@ def _features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _long_features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code, weight) of one token of any length, of unit norm, in time that grows with the length."""
-    k = 1 << _BITS
+    there, letters = np.unique(letters, return_inverse=True)
+    k = len(there)
     one, two, three = np.zeros(k), np.zeros((k, k)), np.zeros((k, k * k))
     flat = two.reshape(-1)
     for x in letters.tolist():
-        three[x] += flat * LAMBDA
+        three[x] += flat
         two[:, x] += one
         two *= LAMBDA
         one[x] += 1
         one *= LAMBDA
     total = three.T.reshape(-1)  # from (third, first and second) to the code's order
-    codes = np.flatnonzero(total)
-    return codes, total[codes] / math.sqrt(float((total**2).sum()))
+    held = np.flatnonzero(total)
+    there = there.astype(np.int64)
+    codes = (there[held // (k * k)] << 2 * _BITS) | (there[held // k % k] << _BITS) | there[held % k]
+    return codes, total[held] / math.sqrt(float((total**2).sum()))
 
 
 class Kernel:
@@ -160,8 +163,8 @@ class Kernel:
         return np.bincount(place, np.repeat(weight, count) * self.weight[at], rows * self.m).reshape(rows, self.m)
 
     def values(self, tokens: list[str]) -> np.ndarray:
-        """A row for each token: its kernel values, 0 to 1; all -1 for a token of fewer than three letters, which has none."""
-        out = np.full((len(tokens), self.m), -1.0, np.float32)
+        """A row for each token: its kernel values, 0 to 1; all 0 for a token of fewer than three letters."""
+        out = np.zeros((len(tokens), self.m), np.float32)
         points = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
         flat = _letters()[np.minimum(points, 0xFFFF)]
         for k in np.flatnonzero(points > 0xFFFF):
@@ -182,14 +185,22 @@ class Kernel:
 
 def powers(values: np.ndarray) -> np.ndarray:
     """Columns of token kernels to columns of each power of them."""
-    return np.hstack([np.asarray(values, float) ** p for p in POWERS])
+    x = np.asarray(values)
+    out, done, last = [], np.ones_like(x), 0
+    for p in POWERS:  # in rising order, by products: the general power is slow
+        base, left = x, p - last
+        while left:
+            if left & 1:
+                done = done * base
+            base, left = base * base, left >> 1
+        out.append(done)
+        last = p
+    return np.hstack(out)
 
 
 def text_row(kernel: Kernel, tokens: set[str]) -> np.ndarray:
     """A text's kernel values for the landmarks, one for each power and landmark."""
-    got = kernel.values(sorted(tokens))
-    got = got[got[:, 0] >= 0] if kernel.m else got
-    return powers(got).sum(0) / math.sqrt(max(1, len(got)))
+    return powers(kernel.values(sorted(tokens)).astype(float)).sum(0) / math.sqrt(max(1, len(tokens)))
 
 
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, steps: int = 50) -> np.ndarray:
@@ -237,25 +248,23 @@ class Model:
     def scorer(self):
         """A function of a list of texts. A margin is linear in the kernel values, so a token adds one number to its texts' margins;
         the numbers of the last tokens are remembered as long as the function lives."""
-        kernel, known = Kernel(list(self.landmarks)), {}
+        kernel, known, weights = Kernel(list(self.landmarks)), {}, self.weights.astype(np.float32)
 
         def scores(texts: list[str | None]) -> np.ndarray:
             margin = np.zeros(len(texts))
             sets = [tokens_of(t) for t in texts] if self.landmarks else []
-            new = list(set().union(*sets).difference(known)) if sets else []
-            got: dict[str, float | None] = {}
+            new = list(set().union(*sets).difference(known))
+            if len(known) + len(new) > MEMORY:
+                known.clear()
+                new = list(set().union(*sets))
             for a in range(0, len(new), 4096):
                 part = new[a : a + 4096]
-                v = kernel.values(part)
-                each = (powers(v) @ self.weights).tolist()
-                got.update((t, x if ok else None) for t, x, ok in zip(part, each, (v[:, 0] >= 0).tolist(), strict=True))
+                known.update(zip(part, (powers(kernel.values(part)) @ weights).tolist(), strict=True))
             for k, s in enumerate(sets):
-                own = [x for t in s if (x := known[t] if t in known else got[t]) is not None]
-                margin[k] = math.fsum(own) / math.sqrt(max(1, len(own)))
-            if len(known) + len(got) > MEMORY:
-                known.clear()
-            if len(got) <= MEMORY:
-                known.update((t, x) for t, x in got.items() if len(t) <= MEMORY_WIDTH)
+                margin[k] = math.fsum(map(known.__getitem__, s)) / math.sqrt(max(1, len(s)))
+            for t in new:
+                if len(t) > MEMORY_WIDTH:
+                    del known[t]
             return 1 / (1 + np.exp(-np.clip(self.a * (margin + self.constant) + self.b, -500, 500)))
 
         return scores
@@ -369,7 +378,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scores = model.scorer()
         for b in batches:
             text = b.column(names.index(text_col))
-            p = np.concatenate([scores(text.slice(a, 128).to_pylist()) for a in range(0, len(text), 128)] or [np.empty(0)])
+            p = np.concatenate([scores(text.slice(a, 256).to_pylist()) for a in range(0, len(text), 256)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "_score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_score` double"])
