@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -115,6 +116,12 @@ def make_way(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a bounded number of rows from a literal: made on the JVM alone."""
+    text = json.dumps([dict(zip((f.strip().split(" ")[0] for f in schema.split(",")), r, strict=True)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("r")).select("r.*")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

@@ -4,8 +4,7 @@ Each shard walks its own permutation of the slots, (offset + i * skip) mod size,
 turn comes. The table has a fixed number of slots whatever the data, so it is broadcast; a key's slot is its hash modulo
 the size, and placement is one lookup. Removing a shard moves few keys of the others.
 
-Null keys go where the hash of null goes. Extra columns stay; the table's columns are named _slot and _shard, and clash
-with none but those. An empty input gives an empty output. Rows with equal keys go to one shard, by design; give a finer
+Null keys go where the hash of null goes. Extra columns stay; those named _slot or _shard become _slot_0 and _shard_0. An empty input gives an empty output. Rows with equal keys go to one shard, by design; give a finer
 key (or several columns) where a single key's rows must spread.
 """
 
@@ -16,6 +15,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import make_way
+
 #: A prime well above a hundred slots for each shard keeps shards within about one per cent of even.
 SLOTS = 65_537
 SHARDS = 64
@@ -48,7 +49,9 @@ def fill(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    return spark.createDataFrame([(s, i) for s, i in enumerate(fill(shards, slots))], "_slot int, _shard int").coalesce(1)
+    """(_slot, _shard), from a literal list of owners."""
+    owners = F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",").cast("array<int>")
+    return spark.range(1).select(F.posexplode(owners).alias("_slot", "_shard"))
 
 
 def slot_of(*key, slots: int = SLOTS):
@@ -57,13 +60,14 @@ def slot_of(*key, slots: int = SLOTS):
 
 def place(df: DataFrame, key: list[str], shards: list[str], slots: int = SLOTS) -> DataFrame:
     """`df` with _slot and _shard. The broadcast side has `slots` rows, a parameter and not a property of the data."""
-    found = df.withColumn("_slot", slot_of(*key, slots=slots))
+    df = make_way(df, "__slot").withColumn("__slot", slot_of(*key, slots=slots))
+    found = make_way(df, "_slot", "_shard").withColumnRenamed("__slot", "_slot")
     return found.join(F.broadcast(lookup(df.sparkSession, shards, slots)), "_slot")
 
 
 def write_shards(df: DataFrame, key: list[str], shards: list[str], path: str, files_per_shard: int = 8, slots: int = SLOTS) -> None:
     """One folder a shard. Rows of a shard are spread over `files_per_shard` tasks by slot, so no task has a whole shard."""
-    placed = place(df, key, shards, slots).withColumn("_file", F.pmod(F.col("_slot"), F.lit(files_per_shard)))
+    placed = place(make_way(df, "_file"), key, shards, slots).withColumn("_file", F.pmod(F.col("_slot"), F.lit(files_per_shard)))
     out = placed.repartition(F.col("_shard"), F.col("_file")).drop("_file", "_slot")
     out.write.mode("overwrite").partitionBy("_shard").parquet(path)
 
