@@ -17,49 +17,63 @@ from loomspan.operators.panels import rebalance_dates
 from loomspan.operators.returns import growth
 
 
+def carried(prices: DataFrame) -> DataFrame:
+    """(asset, dt, px) on each date of the panel from the asset's first on: a date without its price has the last one before it.
+
+    The calendar is one row, an array as long as there are dates, broadcast to one row an asset."""
+    calendar = prices.agg(F.array_sort(F.collect_set("dt")).alias("_days"))
+    spans = prices.groupBy("asset").agg(F.min("dt").alias("_from"))
+    days = spans.crossJoin(F.broadcast(calendar)).select("asset", F.explode(F.filter("_days", lambda d: d >= F.col("_from"))).alias("dt"))
+    w = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    return days.join(prices.select("asset", "dt", "px"), ["asset", "dt"], "left").withColumn("px", F.last("px", ignorenulls=True).over(w))
+
+
 def held_panel(prices: DataFrame, targets: DataFrame) -> DataFrame:
-    """(strategy, dt, asset, px, target, since): each date's latest target at or before it.
+    """(strategy, since, dt, asset, target, px, closing): holdings from each target date up to the next one, which closes the span
+    with the old holdings.
 
     targets: (strategy, dt, asset, weight). Their dates are few, so spans of validity are joined by range, broadcast."""
     w = Window.partitionBy("strategy").orderBy("dt")
     spans = targets.select("strategy", "dt").distinct().withColumn("until", F.lead("dt").over(w)).withColumnRenamed("dt", "since")
     dates = prices.select("dt").distinct()
-    ruled = dates.join(F.broadcast(spans), (F.col("dt") >= F.col("since")) & (F.col("until").isNull() | (F.col("dt") < F.col("until"))))
-    out = ruled.join(targets.withColumnRenamed("dt", "since"), ["strategy", "since"])
-    return out.join(prices, ["dt", "asset"]).withColumnRenamed("weight", "target")
+    ruled = dates.join(F.broadcast(spans), (F.col("dt") >= F.col("since")) & (F.col("until").isNull() | (F.col("dt") <= F.col("until"))))
+    out = ruled.join(targets.withColumnRenamed("dt", "since"), ["strategy", "since"]).join(carried(prices), ["dt", "asset"])
+    closing = F.coalesce(F.col("dt") == F.col("until"), F.lit(False))
+    return out.select("strategy", "since", "dt", "asset", F.col("weight").alias("target"), "px", closing.alias("closing"))
+
+
+def drifted_panel(prices: DataFrame, targets: DataFrame) -> DataFrame:
+    """held_panel with value (the growth of the asset's target since its rebalance), weight (its share, null where all is worth 0) and
+    before (its value on the date before)."""
+    own = Window.partitionBy("strategy", "since", "asset").orderBy("dt")
+    out = held_panel(prices, targets).withColumn("value", F.col("target") * F.col("px") / F.first("px").over(own))
+    total = F.sum("value").over(Window.partitionBy("strategy", "since", "dt"))
+    return out.withColumns({"weight": F.when(total != 0, F.col("value") / total), "before": F.lag("value").over(own)})
 
 
 def drifted(prices: DataFrame, targets: DataFrame) -> DataFrame:
-    """(strategy, dt, asset, weight, value): value is the growth of the asset's target since its rebalance; weight its share."""
-    w = Window.partitionBy("strategy", "asset", "since").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = held_panel(prices, targets).withColumn("value", F.col("target") * F.col("px") / F.first("px").over(w))
-    total = Window.partitionBy("strategy", "dt")
-    return out.withColumn("weight", F.col("value") / F.sum("value").over(total)).select("strategy", "dt", "since", "asset", "target", "weight", "value")
+    """(strategy, dt, since, asset, target, weight, value) of the holdings that each date ends with."""
+    return drifted_panel(prices, targets).where(~F.col("closing")).select("strategy", "dt", "since", "asset", "target", "weight", "value")
 
 
 def strategy_returns(prices: DataFrame, targets: DataFrame, bps: float = DEFAULT.cost_bps) -> DataFrame:
     """(strategy, dt, r, turnover, cost). The rebalance day's weights earn from the next row on; cost falls on the rebalance day
-    and is bps times the sum of |target - drifted weight|."""
-    d = drifted(prices, targets)
-    total = d.groupBy("strategy", "dt", "since").agg(F.sum("value").alias("v"))
-    w = Window.partitionBy("strategy").orderBy("dt")
-    # On a rebalance day the old holdings' last step is earned too; it is the old span's growth, by the old targets.
-    days = prices.select("dt").distinct().withColumn("prev", F.lag("dt").over(Window.orderBy("dt")))
-    first = total.where(F.col("dt") == F.col("since")).join(days, "dt")
-    before = d.select("strategy", F.col("dt").alias("prev"), "asset", F.col("value").alias("_pv"), F.col("weight").alias("_pw"))
-    step = first.select("strategy", "dt", "prev").join(before, ["strategy", "prev"])
-    px = prices.select("dt", "asset", "px")
-    step = step.join(px, ["dt", "asset"]).join(px.select(F.col("dt").alias("prev"), "asset", F.col("px").alias("_pp")), ["prev", "asset"])
-    step = step.withColumn("_nw", F.col("_pw") * F.col("px") / F.col("_pp"))
-    kept = step.groupBy("strategy", "dt").agg((F.sum("_nw") / F.sum("_pw") - 1).alias("_step"), F.sum("_nw").alias("_nt"))
-    shares = step.join(kept, ["strategy", "dt"]).select("strategy", "dt", "asset", (F.col("_nw") / F.col("_nt")).alias("_old"))
-    target = d.where(F.col("dt") == F.col("since")).select("strategy", "dt", "asset", "target")
-    turn = target.join(shares, ["strategy", "dt", "asset"], "full").groupBy("strategy", "dt").agg(F.sum(F.abs(F.coalesce("target", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))).alias("turnover"))
-    out = total.withColumn("_r", F.col("v") / F.lag("v").over(w) - 1)
-    out = out.join(kept.select("strategy", "dt", "_step"), ["strategy", "dt"], "left").join(turn, ["strategy", "dt"], "left")
-    gross = F.when(F.col("dt") == F.col("since"), F.col("_step")).otherwise(F.col("_r"))
-    cost = F.coalesce("turnover", F.lit(0.0)) * bps / 1e4
-    return out.select("strategy", "dt", (F.coalesce(gross, F.lit(0.0)) - cost).alias("r"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), cost.alias("cost"))
+    and is bps times the sum of |target - drifted weight|. A date whose old holdings are worth nothing returns 0."""
+    d = drifted_panel(prices, targets)
+    moved = F.sum(F.when(F.col("dt") == F.col("since"), F.col("target")).otherwise(0.0)) - F.sum(F.when(F.col("closing"), F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
+    later = F.col("dt") > F.col("since")
+    each = d.groupBy("strategy", "dt", "asset").agg(
+        moved.alias("moved"),
+        F.max(F.col("closing") | (F.col("dt") == F.col("since"))).alias("rebalanced"),
+        F.sum(F.when(later, F.col("value"))).alias("now"),
+        F.sum(F.when(later, F.col("before"))).alias("was"),
+    )
+    out = each.groupBy("strategy", "dt").agg(
+        F.coalesce(F.when(F.sum("was") != 0, F.sum("now") / F.sum("was") - 1), F.lit(0.0)).alias("gross"),
+        F.coalesce(F.sum(F.when(F.col("rebalanced"), F.abs("moved"))), F.lit(0.0)).alias("turnover"),
+    )
+    cost = F.col("turnover") * bps / 1e4
+    return out.select("strategy", "dt", (F.col("gross") - cost).alias("r"), "turnover", cost.alias("cost"))
 
 
 def schedule(prices: DataFrame, every: int = DEFAULT.rebalance, offset: int = DEFAULT.offset) -> DataFrame:

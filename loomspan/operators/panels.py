@@ -21,9 +21,15 @@ def align(frames: list[DataFrame], how: str = "inner", on: str = "dt") -> DataFr
 def asof(left: DataFrame, right: DataFrame, value: str, on: str = "dt", by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """left with the last non-null `value` of right at or before its time (strict: before). by: keys both sides share.
 
-    One shuffle: both sides are stacked, sorted by key and time, and the value is carried forward. Without keys all rows meet
-    in one ordered window, so give keys, or a right side small enough for `asof_small`, where left is large."""
-    keys = by or []
+    With keys, one shuffle: both sides are stacked, sorted by key and time, and the value is carried forward. Without, the different
+    times of left alone are stacked so (a calendar: as long as there are dates, whatever the rows), and joined back by time."""
+    if not by:
+        times = left.select(on).where(F.col(on).isNotNull()).distinct()
+        return left.join(_carried(times, right, value, on, [], strict), on, "left").select(*left.columns, value)
+    return _carried(left, right, value, on, by, strict)
+
+
+def _carried(left: DataFrame, right: DataFrame, value: str, on: str, keys: list[str], strict: bool) -> DataFrame:
     marked = right.where(F.col(value).isNotNull()).select(*keys, F.col(on), F.struct(F.col(value)).alias("_v"), F.lit(1 if strict else 0).alias("_side"))
     stacked = left.withColumn("_side", F.lit(0 if strict else 1)).unionByName(marked, allowMissingColumns=True).withColumn("_left", F.col("_v").isNull())
     w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from loomspan.operators import agents as ag
 from loomspan.operators import backtest as bt
 from loomspan.operators import panels as pn
 from loomspan.operators.allocation import allocate
+from loomspan.plans.risk_queries import ARITHMETIC_DOUBLES, arithmetic_sql
 from loomspan.plans.series_queries import W
 from loomspan.plans.views import macro, market, prices, returns
 
@@ -21,12 +22,24 @@ def grid(s, d):
     return pn.reindex(prices(s, d))
 
 
-def every_third(s, d):
-    """Macro of the first priority on some days: a sparse right side for as-of joins."""
-    return macro(s, d).where("series = '1-URGENT' and dayofmonth(dt) % 7 = 0").select("dt", "value")
+def known(s, d):
+    """Macro as it becomes known, 40 days late: the right side of as-of joins by series."""
+    return macro(s, d).select("series", F.date_add("dt", 40).alias("dt"), "value")
 
 
-SPARSE = "sparse as (select dt, value from macro where series = '1-URGENT' and day(dt) % 7 = 0)"
+def read_by(s, d):
+    """Each price row with each series' name: the left side."""
+    names = macro(s, d).select("series").distinct()
+    return prices(s, d).join(F.broadcast(names))
+
+
+def newest(s, d):
+    """The mean over the series of a date: a right side without keys."""
+    return macro(s, d).groupBy("dt").agg(F.avg("value").alias("value"))
+
+
+KNOWN = "known as (select series, dt + 40 dt, value from macro), lf as (select * from prices, (select distinct series from macro))"
+NEWEST = "newest as (select dt, avg(value) as value from macro group by 1)"
 
 
 def scenarios(s):
@@ -36,24 +49,33 @@ def scenarios(s):
 
 SCEN = "scen(scenario, start_, stop_) as (values ('first', date '1995-01-01', date '1995-12-31'), ('second', date '1996-03-01', date '1996-09-30'), ('third', date '1997-06-01', date '1998-06-01'), ('none', date '2020-01-01', date '2020-02-01'))"
 RB = f"{CAL}, rb as (select dt from cal where i >= 756 and (i - 756) % 21 = 0)"
-#: Targets of equal weights, held with drift; then returns with cost.
+#: Targets of equal weights; prices carried forward; holdings with drift, up to the next target date; returns with cost.
+EQUAL = "tg as (select 'equal_weight' strategy, p.dt, asset, 1.0::double / count(*) over (partition by p.dt) weight from prices p join rb using (dt))"
 HELD = """
-tg as (select 'equal_weight' strategy, p.dt, asset, 1.0 / count(*) over (partition by p.dt) weight from prices p join rb using (dt)),
-sp as (select strategy, dt since, lead(dt) over (order by dt) until from (select distinct strategy, dt from tg)),
-h as (select sp.strategy, p.dt, sp.since, p.asset, tg.weight target, p.px from prices p join sp on p.dt >= sp.since and (sp.until is null or p.dt < sp.until) join tg on tg.dt = sp.since and tg.asset = p.asset),
-vv as (select *, target * px / first_value(px) over (partition by since, asset order by dt) value from h),
-dr as (select *, value / sum(value) over (partition by strategy, dt) weight from vv)
+pf as (select a.asset, c.dt, last_value(p.px ignore nulls) over (partition by a.asset order by c.dt) px
+  from (select asset, min(dt) f from prices group by 1) a join cal c on c.dt >= a.f left join prices p on p.asset = a.asset and p.dt = c.dt),
+sp as (select strategy, dt since, lead(dt) over (partition by strategy order by dt) until from (select distinct strategy, dt from tg)),
+h as (select sp.strategy, c.dt, sp.since, tg.asset, tg.weight target, pf.px, coalesce(c.dt = sp.until, false) closing
+  from sp join cal c on c.dt >= sp.since and (sp.until is null or c.dt <= sp.until)
+  join tg on tg.strategy = sp.strategy and tg.dt = sp.since join pf on pf.asset = tg.asset and pf.dt = c.dt),
+vv as (select *, target * px / first_value(px) over (partition by strategy, since, asset order by dt) value from h),
+dr as (select *, value / nullif(sum(value) over (partition by strategy, since, dt), 0) weight, lag(value) over (partition by strategy, since, asset order by dt) before from vv)
 """
 NET = f"""
 {HELD.strip()},
-tot as (select strategy, dt, since, sum(value) v from dr group by 1, 2, 3),
-prv as (select dt, lag(dt) over (order by dt) prev from (select distinct dt from prices)),
-st as (select t.strategy, t.dt, o.asset, o.weight pw, o.weight * p.px / pp.px nw from tot t join prv using (dt) join dr o on o.dt = prv.prev join prices p on p.dt = t.dt and p.asset = o.asset join prices pp on pp.dt = prv.prev and pp.asset = o.asset where t.dt = t.since),
-kp as (select strategy, dt, sum(nw) / sum(pw) - 1 step, sum(nw) nt from st group by 1, 2),
-sh as (select st.strategy, st.dt, asset, nw / nt old from st join kp using (strategy, dt)),
-t0 as (select strategy, dt, asset, target from dr where dt = since),
-tn as (select strategy, dt, sum(abs(coalesce(target, 0) - coalesce(old, 0))) turnover from t0 full join sh using (strategy, dt, asset) group by 1, 2),
-net as (select strategy, dt, coalesce(case when dt = since then step else v / lag(v) over (order by dt) - 1 end, 0) - coalesce(turnover, 0) * 10 / 1e4 r, coalesce(turnover, 0) turnover, coalesce(turnover, 0) * 10 / 1e4 cost from tot left join kp using (strategy, dt) left join tn using (strategy, dt))
+ch as (select strategy, dt, asset, sum(case when dt = since then target else 0 end) - sum(case when closing then coalesce(weight, 0) else 0 end) moved,
+  bool_or(closing or dt = since) rebalanced, sum(case when dt > since then value end) now_, sum(case when dt > since then before end) was from dr group by 1, 2, 3),
+gr as (select strategy, dt, coalesce(sum(now_) / nullif(sum(was), 0) - 1, 0) gross, coalesce(sum(abs(moved)) filter (rebalanced), 0) turnover from ch group by 1, 2),
+net as (select strategy, dt, gross - turnover * 10 / 1e4 r, turnover, turnover * 10 / 1e4 cost from gr)
+"""
+#: The three strategies of the report, rebalanced from the 252nd date on.
+THREE = f"""
+{CAL}, rb as (select dt from cal where i >= 252 and (i - 252) % 21 = 0),
+vol as (select asset, dt, stddev_samp(r) over ({W} rows between 252 preceding and 1 preceding) s from rets),
+fw as (select p.dt, asset, case asset when 'ECONOMY' then 0.6 when 'STANDARD' then 0.4 else 0 end w from prices p join rb using (dt)),
+tg as (select 'equal_weight' strategy, p.dt, asset, 1.0::double / count(*) over (partition by p.dt) weight from prices p join rb using (dt)
+  union all select 'sixty_forty', dt, asset, case when sum(w) over (partition by dt) > 0 then w / sum(w) over (partition by dt) else 1.0::double / count(*) over (partition by dt) end from fw
+  union all select 'inverse_vol', dt, asset, (1 / s) / sum(1 / s) over (partition by dt) from vol join rb using (dt) where s > 0)
 """
 
 
@@ -82,9 +104,11 @@ AGR = f"{AG}, cr as (select dt, agent, case when stddev_pop(signal) > 1e-12 and
 
 def register_all() -> None:
     register("align_outer", lambda s, d: pn.align([prices(s, d).where("asset = 'PROMO'").select("dt", "px"), macro(s, d).where("series = '5-LOW'").select("dt", "value")], "outer"), "select coalesce(a.dt, b.dt) dt, px, value from (select dt, px from prices where asset = 'PROMO') a full join (select dt, value from macro where series = '5-LOW') b on a.dt = b.dt", "px value")
-    register("asof_join", lambda s, d: pn.asof(prices(s, d), every_third(s, d), "value"), f"with {SPARSE} select p.dt, p.asset, p.px, s.value from prices p asof left join sparse s on p.dt >= s.dt", "px value")
-    register("asof_join_strict", lambda s, d: pn.asof(prices(s, d), every_third(s, d), "value", strict=True), f"with {SPARSE} select p.dt, p.asset, p.px, s.value from prices p asof left join sparse s on p.dt > s.dt", "px value")
-    register("nearest_join", lambda s, d: pn.nearest(prices(s, d), every_third(s, d), "value"), f"with {SPARSE}, q as (select p.*, b.dt bd, b.value bv, a.dt ad, a.value av from prices p asof left join sparse b on p.dt >= b.dt asof left join sparse a on p.dt <= a.dt) select dt, asset, px, case when ad is null or (bd is not null and dt - bd <= ad - dt) then bv else av end as value from q", "px value")
+    ao = "select l.dt, l.asset, l.px, l.series, k.value from lf l asof left join known k on l.series = k.series and l.dt {} k.dt"
+    register("asof_join", lambda s, d: pn.asof(read_by(s, d), known(s, d), "value", by=["series"]), f"with {KNOWN} {ao.format('>=')}", "px value")
+    register("asof_join_strict", lambda s, d: pn.asof(read_by(s, d), known(s, d), "value", by=["series"], strict=True), f"with {KNOWN} {ao.format('>')}", "px value")
+    register("asof_dates", lambda s, d: pn.asof(prices(s, d), newest(s, d), "value", strict=True), f"with {NEWEST} select p.dt, p.asset, p.px, n.value from prices p asof left join newest n on p.dt > n.dt", "px value")
+    register("nearest_join", lambda s, d: pn.nearest(prices(s, d), newest(s, d), "value"), f"with {NEWEST}, q as (select p.*, b.dt bd, b.value bv, a.dt ad, a.value av from prices p asof left join newest b on p.dt >= b.dt asof left join newest a on p.dt <= a.dt) select dt, asset, px, case when ad is null or (bd is not null and dt - bd <= ad - dt) then bv else av end as value from q", "px value")
     register("calendar_reindex", grid, f"with {GRID} select * from cells", "px")
     lim = lambda n: f"last_value(px ignore nulls) over ({W} rows between {n} preceding and current row)"
     register("fill_forward_limited", lambda s, d: pn.fill_forward(grid(s, d), limit=2), f"with {GRID} select asset, dt, {lim(2)} px from cells", "px")
@@ -113,10 +137,10 @@ def register_all() -> None:
     register("label_table", lambda s, d: pn.label_table(prices(s, d), prices(s, d)), f"select * from (select dt, asset, px, lead(px, 21) over ({W}) / px - 1 y from prices) where y is not null", "px y")
 
     # Backtests.
-    register("drifted_weights", lambda s, d: bt.drifted(*equal(s, d)), f"with {RB}, {HELD.strip()} select strategy, dt, since, asset, target, weight, value from dr", "target weight value")
-    register("equal_weight_backtest", lambda s, d: bt.strategy_returns(*equal(s, d)), f"with {RB}, {NET.strip()} select * from net", "r turnover cost")
-    register("cost_sweep", lambda s, d: bt.cost_sweep(bt.strategy_returns(*equal(s, d))), f"with {RB}, {NET.strip()} select strategy, dt, bps, r + cost - turnover * bps / 1e4 r from net, (select unnest([0,5,10,15,20,30,40,50]::double[]) bps)", "bps r")
-    register("strategy_report", report)
+    register("drifted_weights", lambda s, d: bt.drifted(*equal(s, d)), f"with {RB}, {EQUAL}, {HELD.strip()} select strategy, dt, since, asset, target, weight, value from dr where not closing", "target weight value")
+    register("equal_weight_backtest", lambda s, d: bt.strategy_returns(*equal(s, d)), f"with {RB}, {EQUAL}, {NET.strip()} select * from net", "r turnover cost")
+    register("cost_sweep", lambda s, d: bt.cost_sweep(bt.strategy_returns(*equal(s, d))), f"with {RB}, {EQUAL}, {NET.strip()} select strategy, dt, bps, r + cost - turnover * bps / 1e4 r from net, (select unnest([0,5,10,15,20,30,40,50]::double[]) bps)", "bps r")
+    register("strategy_report", report, f"with {THREE.strip()}, {NET.strip()}, {arithmetic_sql('net', 'strategy')}", ARITHMETIC_DOUBLES)
     nd = f"with {RB}, tg as (select p.dt, asset, 1.0 / count(*) over (partition by p.dt) weight from prices p join rb using (dt)), sp as (select dt since, lead(dt) over (order by dt) until, lag(dt) over (order by dt) p from (select distinct dt from tg)), g as (select r.dt, sum(r.r * t.weight) g from rets r join sp on r.dt > since and (until is null or r.dt <= until) join tg t on t.dt = since and t.asset = r.asset group by 1), ds as (select d.dt, since, until from (select distinct dt from rets) d join sp on d.dt > since and (until is null or d.dt <= until)), gg as (select dt, coalesce(g, 0) g from ds left join g using (dt)), tn as (select coalesce(a.dt, b.dt) dt, sum(abs(coalesce(a.weight, 0) - coalesce(b.wo, 0))) t from tg a full join (select sp.since dt, tg.asset, tg.weight wo from sp join tg on tg.dt = sp.p) b on a.dt = b.dt and a.asset = b.asset group by 1) select 'equal_weight' strategy, gg.dt, g - coalesce(t, 0) * 10 / 1e4 r from gg left join tn using (dt)"
     register("no_drift_backtest", lambda s, d: bt.no_drift_returns(returns(s, d), equal(s, d)[1]), nd, "r")
     da = f"with {RB}, tg as (select p.dt, asset, 1.0 / count(*) over (partition by p.dt) weight from prices p join rb using (dt)), sp as (select dt since, lead(dt) over (order by dt) until from (select distinct dt from tg)), j as (select r.dt, r.r, t.weight w from rets r join sp on r.dt >= since and (until is null or r.dt < until) join tg t on t.dt = since and t.asset = r.asset), g as (select dt, sum(w * r) g from j group by 1) select 'equal_weight' strategy, dt, min(g) - sum(abs(w - w * (1 + r) / (1 + g))) * 10 / 1e4 r, sum(abs(w - w * (1 + r) / (1 + g))) turnover from j join g using (dt) group by dt"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,19 @@ from loomspan.plans.views import market, prices, returns
 GROWN = f"g as (select *, exp(sum(ln(1 + r)) over ({W})) g from rets), dd as (select *, g / max(g) over ({W}) - 1 dd from g), v as (select asset, quantile_cont(r, 0.05) v from rets group by 1), t as (select dd.*, v.v from dd join v using (asset))"
 SKEW = "(avg(r*r*r) - 3*avg(r)*avg(r*r) + 2*avg(r)**3) / stddev_pop(r)**3"
 KURT = "(avg(r*r*r*r) - 4*avg(r)*avg(r*r*r) + 6*avg(r)**2*avg(r*r) - 3*avg(r)**4) / var_pop(r)**2 - 3"
+ARITHMETIC = f"select asset, avg(r) * 252 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) * 252 / (stddev_samp(r) filter (r < 0) * sqrt(252)) sortino, min(dd) max_drawdown, exp(sum(ln(1 + r))) - 1 total_return, min(v) var_95, avg(r) filter (r <= v) cvar_95, {SKEW} skew, {KURT} kurtosis, avg(case when r > 0 then 1.0 else 0 end) * 100 winning_pct, avg(r) * 252 / abs(min(dd)) calmar from t group by asset"
+ARITHMETIC_DOUBLES = "annual_return annual_volatility sharpe sortino max_drawdown total_return var_95 cvar_95 skew kurtosis winning_pct calmar"
 PAIRS = "pairs as (select x.dt, x.asset a, y.asset b, x.r ra, y.r rb from rets x join rets y on x.dt = y.dt and x.asset < y.asset)"
 Z = -1.6448536269514722
 PANEL = f"panel as (select * from (select asset, dt, r p, lead(r) over ({W}) y from rets) where y is not null)"
 
 
+def arithmetic_sql(table: str, key: str) -> str:
+    """The metrics of `table` (key, dt, r), to stand after its definition: CTEs and the final select."""
+    named = {"asset": key, "rets": table}
+    return re.sub(r"\b(asset|rets)\b", lambda m: named[m[0]], f"{GROWN} {ARITHMETIC}")
+
+
 def panel(spark, sf_dir):
     """(asset, dt, p, y): yesterday's return as the forecast of the next row's."""
     w = Window.partitionBy("asset").orderBy("dt")
@@ -45,9 +55,7 @@ COV = f"{PAIRS}, off as (select a, b, covar_samp(ra, rb) * 252 cov from pairs gr
 def register_all() -> None:
     geo = f"with {GROWN} select asset, exp(sum(ln(1 + r))) ** (252.0 / count(r)) - 1 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) / sqrt(avg(r * r) filter (r < 0)) * sqrt(252) sortino, sum(greatest(r, 0)) / sum(greatest(-r, 0)) omega, min(dd) max_drawdown, min(v) var_95, avg(r) filter (r <= v) cvar_95, avg(r) + ({Z}) * stddev_samp(r) parametric_var, avg(r) + (({Z}) + (({Z})**2 - 1) * ({SKEW}) / 6 + (({Z})**3 - 3 * ({Z})) * ({KURT}) / 24 - (2 * ({Z})**3 - 5 * ({Z})) * ({SKEW})**2 / 36) * stddev_samp(r) cornish_fisher_var, abs(quantile_cont(r, 0.95)) / abs(quantile_cont(r, 0.05)) tail_ratio, (exp(sum(ln(1 + r))) ** (252.0 / count(r)) - 1) / abs(min(dd)) calmar from t group by asset"
     register("risk_geometric", lambda s, d: mt.geometric(returns(s, d)), geo, "annual_return annual_volatility sharpe sortino omega max_drawdown var_95 cvar_95 parametric_var cornish_fisher_var tail_ratio calmar")
-    ari = f"with {GROWN} select asset, avg(r) * 252 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) * 252 / (stddev_samp(r) filter (r < 0) * sqrt(252)) sortino, min(dd) max_drawdown, exp(sum(ln(1 + r))) - 1 total_return, min(v) var_95, avg(r) filter (r <= v) cvar_95, {SKEW} skew, {KURT} kurtosis, avg(case when r > 0 then 1.0 else 0 end) * 100 winning_pct, avg(r) * 252 / abs(min(dd)) calmar from t group by asset"
-    ari_cols = "annual_return annual_volatility sharpe sortino max_drawdown total_return var_95 cvar_95 skew kurtosis winning_pct calmar"
-    register("risk_arithmetic", lambda s, d: mt.arithmetic(returns(s, d)), ari, ari_cols)
+    register("risk_arithmetic", lambda s, d: mt.arithmetic(returns(s, d)), f"with {GROWN} {ARITHMETIC}", ARITHMETIC_DOUBLES)
     register("risk_periodic", lambda s, d: mt.periodic(returns(s, d)), f"with {GROWN} select asset, exp(sum(ln(1 + r))) ** (12.0 / count(r)) - 1 cagr, stddev_pop(r) * sqrt(12) volatility, avg(r) / stddev_pop(r) * sqrt(12) sharpe, min(dd) max_drawdown, avg(case when r > 0 then 1.0 else 0 end) win_rate from t group by asset", "cagr volatility sharpe max_drawdown win_rate")
     register("evaluate_oos", lambda s, d: mt.evaluate_oos(returns(s, d)), f"with {GROWN} select asset, avg(r) / stddev_samp(r) * sqrt(252) sharpe, avg(r) * 252 / (stddev_samp(r) filter (r < 0) * sqrt(252)) sortino, avg(r) * 252 annual_return, stddev_samp(r) * sqrt(252) annual_volatility, min(dd) max_drawdown, exp(sum(ln(1 + r))) - 1 total_return from t group by asset", "sharpe sortino annual_return annual_volatility max_drawdown total_return")
     register("wins_and_losses", lambda s, d: mt.wins_and_losses(returns(s, d)), "select asset, avg(case when r > 0 then 1.0 else 0 end) win_rate, avg(r) filter (r > 0) avg_win, avg(r) filter (r < 0) avg_loss, abs(avg(r) filter (r > 0) / avg(r) filter (r < 0)) win_loss_ratio from rets group by asset", "win_rate avg_win avg_loss win_loss_ratio")

@@ -26,12 +26,12 @@ def bars(spark, sf_dir):
     """(dt, asset, open, high, low, close) of extended prices by part type."""
     from loomspan.plans.views import table
 
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("dt"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.struct("l_orderkey", "l_linenumber").alias("k"))
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("dt"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("k"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("asset"))
     return line.join(part, "l_partkey").groupBy("dt", "asset").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"))
 
 
-BARS = "bars as (select cast(l_shipdate as date) dt, p_type asset, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) as open, max(l_extendedprice / l_quantity) high, min(l_extendedprice / l_quantity) low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) as close from lineitem join part on l_partkey = p_partkey group by 1, 2)"
+BARS = "bars as (select cast(l_shipdate as date) dt, p_type asset, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) as open, max(l_extendedprice / l_quantity) high, min(l_extendedprice / l_quantity) low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) as close from lineitem join part on l_partkey = p_partkey group by 1, 2)"
 
 
 def register_all() -> None:

@@ -14,8 +14,8 @@ from loomspan.operators import metrics as mt
 from loomspan.operators import panels as pn
 from loomspan.operators import studies as sd
 from loomspan.plans.model_queries import FEATURES, labelled, oof
-from loomspan.plans.panel_queries import AGR, agent_signals
-from loomspan.plans.risk_queries import PANEL, named_weights, panel
+from loomspan.plans.panel_queries import AGR, NET, THREE, agent_signals
+from loomspan.plans.risk_queries import PANEL, arithmetic_sql, named_weights, panel
 from loomspan.plans.series_queries import W
 from loomspan.plans.views import macro, prices, returns
 
@@ -69,8 +69,11 @@ def register_all() -> None:
         targets = bt.equal_targets(p, dates).unionByName(bt.inverse_vol_targets(returns(s, d), dates))
         return mt.arithmetic(bt.strategy_returns(p, targets).select("strategy", "dt", "r"), "strategy")
 
-    register("feedback_verdict", lambda s, d: bt.verdict(strategies(s, d), "equal_weight", "inverse_vol"))
-    register("next_experiments", lambda s, d: sd.suggestions(strategies(s, d), s.createDataFrame([("ridge",), ("lasso",)], "model string"), ["ridge", "lasso", "svr", "mlp"]))
+    two = f"with {THREE.strip().replace('tg as', 'tg3 as')}, tg as (select * from tg3 where strategy <> 'sixty_forty'), {NET.strip()}, m as (with {arithmetic_sql('net', 'strategy')})"
+    fv = f"{two}, x as (select arg_max(strategy, sharpe) winner, max(sharpe) filter (strategy = 'equal_weight') base_sharpe, max(sharpe) filter (strategy = 'inverse_vol') other_sharpe from m) select *, other_sharpe - base_sharpe delta, case when other_sharpe - base_sharpe > 0.1 then 'positive' when other_sharpe > base_sharpe then 'slightly positive' when other_sharpe - base_sharpe > -0.1 then 'neutral' else 'negative' end verdict from x"
+    register("feedback_verdict", lambda s, d: bt.verdict(strategies(s, d), "equal_weight", "inverse_vol"), fv, "base_sharpe other_sharpe delta")
+    ne = f"{two} select 'untried_model' as rule, unnest(['svr', 'mlp']) detail union all select 'reduce_risk', strategy from m where max_drawdown < -0.2 union all select 'low_sharpe', strategy from m where sharpe < 0.5"
+    register("next_experiments", lambda s, d: sd.suggestions(strategies(s, d), s.createDataFrame([("ridge",), ("lasso",)], "model string"), ["ridge", "lasso", "svr", "mlp"]), ne)
     ap = f"with {AGR}, a as (select p.dt, p.asset, p.px, agr.agreement from prices p asof left join agr on p.dt >= agr.dt) select dt, asset, px, coalesce(0.3 + 0.7 * greatest(0, least(1, agreement)), 1.0) scale from a"
     register("risk_scale_asof", lambda s, d: pn.asof(prices(s, d), ag.agreement(agent_signals(s, d)), "agreement").select("dt", "asset", "px", F.coalesce(ag.risk_scale(F.col("agreement")), F.lit(1.0)).alias("scale")), ap, "px scale")
     mg = f"with l as (select dt, arg_max(value, dt) as value from macro where series = '1-URGENT' group by dt), q as (select p.*, l.value from prices p asof left join l on p.dt >= l.dt) select dt, asset, px, case when coalesce(value, 20.0) > 260000 then 'crisis' when coalesce(value, 20.0) < 240000 then 'calm' else 'normal' end regime from q"

@@ -47,8 +47,9 @@ def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.dropDuplicates([key])
 
 
-def count_batches(actions: DataFrame, size: int = 5, key: str = "platform", idle: str = "10 seconds") -> DataFrame:
-    """Every `size` actions of a key make a row (key, n, first_id, last_id); what is left after an idle time makes a short one.
+def count_batches(actions: DataFrame, size: int = 5, key: str = "platform", idle: int = 10_000) -> DataFrame:
+    """Every `size` actions of a key make a row (key, n, first_id, last_id); what is left after `idle` milliseconds makes a
+    short one.
 
     State is at most size - 1 ids a key."""
 
