@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.panels import numbered
+
 #: Names of logged actions.
 ACTION_NAMES = {
     "create_post": "CREATE_POST",
@@ -84,8 +86,7 @@ def since(actions: DataFrame, high_water: int, skip=("refresh", "sign_up")) -> D
 
 def micro_batches(actions: DataFrame, size: int = 5, key: str = "platform", ignore: str = "DO_NOTHING") -> DataFrame:
     """A row for each batch of `size` actions of a key in order, the last one maybe short: number, count, first and last id."""
-    w = Window.partitionBy(key).orderBy("event_id")
-    got = actions.where(F.col("action_type") != ignore).withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    got = numbered(actions.where(F.col("action_type") != ignore), "event_id", [key]).withColumn("batch", F.floor(F.col("_no") / size).cast("long"))
     return got.groupBy(key, "batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), (F.count(F.lit(1)) < size).alias("partial"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.panels import numbered
+
 
 def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with src_name and dst_name, empty where the node is unknown."""
@@ -87,8 +89,10 @@ def first_facts(edges: DataFrame, queries: list[str], per_query: int = 20) -> Da
 
 def pages(rows: DataFrame, key: str, size: int = 100, most: int | None = None) -> DataFrame:
     """Rows numbered into cursor pages by key; at most `most` rows where a cap is wanted."""
-    out = rows.orderBy(key).limit(most) if most else rows
-    return out.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("long"))
+    if most:
+        first = rows.orderBy(key).limit(most)
+        return first.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("long"))
+    return numbered(rows, key).withColumn("page", F.floor(F.col("_no") / size).cast("long")).drop("_no")
 
 
 def entity_summary(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:

@@ -18,6 +18,29 @@ def align(frames: list[DataFrame], how: str = "inner", on: str = "dt") -> DataFr
     return reduce(lambda a, b: a.join(b, on, "inner" if how == "inner" else "full"), frames)
 
 
+def place_of(c: Column, kind: str) -> Column:
+    """A long that never falls as c rises: c itself as a number, or the first seven bytes of a string."""
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return c.cast("timestamp").cast("long") if kind in ("date", "timestamp_ntz") else c.cast("long")
+
+
+def numbered(df: DataFrame, order: str, by: list[str] | None = None, buckets: int = 200) -> DataFrame:
+    """`df` with _no, a row's number from 0 in `order` within each of few keys: no task orders a whole key.
+
+    Rows are dealt to buckets of rising order by approximate percentiles (their number bounds what reaches the driver), numbered within
+    each bucket, and shifted by the counts of the buckets before."""
+    keys, place = by or [], place_of(F.col(order), df.schema[order].dataType.simpleString())
+    cuts = df.agg(F.percentile_approx(place, [k / buckets for k in range(1, buckets)])).first()[0]
+    cut = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
+    dealt = df.withColumn("_bucket", F.coalesce(F.size(F.filter(cut, lambda c: c < place)), F.lit(-1)))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)) - 1
+    return dealt.withColumn("_own", own).join(offsets, [*keys, "_bucket"]).withColumn("_no", F.col("_from") + F.col("_own")).drop("_bucket", "_own", "_from")
+
+
 def asof(left: DataFrame, right: DataFrame, value: str, on: str = "dt", by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """left with the last non-null `value` of right at or before its time (strict: before). by: keys both sides share.
 

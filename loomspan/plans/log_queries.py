@@ -29,6 +29,13 @@ def vintages(s, d):
 VINT = "vint as (select series, dt, value, known_from, known_until from (select o_orderpriority series, cast(o_orderdate as date) dt, min(cast(o_totalprice as double)) as value, cast(o_orderdate as date) + 1 known_from, cast(o_orderdate as date) + 30 known_until from orders group by all union all select o_orderpriority, cast(o_orderdate as date), max(cast(o_totalprice as double)), cast(o_orderdate as date) + 30, null from orders group by all))"
 
 
+NORMAL = r"""
+with t as (select doc_id, regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') t from documents),
+j as (select doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), chr(10)) t from t)
+select doc_id, sha256(regexp_replace(t, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) digest from j
+"""
+
+
 def register_all() -> None:
     names = "case action_type when 'follow' then 'FOLLOW' when 'mute' then 'MUTE' else upper(action_type) end"
     register("action_names", lambda s, d: actions(s, d).select("event_id", ac.named(F.col("action_type")).alias("action")), f"select event_id, {names} action from actions")
@@ -66,11 +73,15 @@ def register_all() -> None:
     add = "case when contains(lower(t), 'urgent') then 110 else 0 end"
     register("panorama_search", lambda s, d: gr.search(edges(s, d), ["fact", "name"], "urgent", ["fact"], 50, True).select("fact", "score"), f"select fact, {add} score from (select *, fact || ' ' || name t from edges) where {add} > 0 order by score desc, fact limit 50")
     register("temporal_split", lambda s, d: gr.temporal_split(edges(s, d), "1997-01-01").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("shown").alias("first_shown")), "with q as (select coalesce(invalid_at <= date '1997-01-01', false) old, * from edges) select case when old then 'historical' else 'active' end state, count(*) n, min(case when old then '[' || coalesce(valid_at::varchar, 'unknown') || ' - ' || invalid_at || '] ' || fact else fact end) first_shown from q group by 1")
-    register("first_facts", lambda s, d: gr.first_facts(edges(s, d), ["urgent", "low", "order"]))
+    hit = "case when contains(lower(fact || ' ' || name), '{0}') then 100 else 0 end"
+    top = " union all ".join(f"select {i} q, * from (select fact, row_number() over (order by {hit.format(q)} desc, fact, name) p from (select distinct fact, name from edges) where {hit.format(q)} > 0) where p <= 20" for i, q in enumerate(["urgent", "low", "order"]))
+    ff = f"with t as ({top}), f as (select fact, min(q * 1000 + p) first_at from t group by 1) select fact, row_number() over (order by first_at) - 1 as position from f"
+    register("first_facts", lambda s, d: gr.first_facts(edges(s, d), ["urgent", "low", "order"]), ff)
     register("node_pages", lambda s, d: gr.pages(nodes(s, d).select("id"), "id", 100, 2000), "select id, (row_number() over (order by id) - 1) // 100 page from (select id from nodes order by id limit 2000)")
+    register("all_node_pages", lambda s, d: gr.pages(nodes(s, d).select("id"), "id", 100), "select id, (row_number() over (order by id) - 1) // 100 page from nodes")
 
     # Text.
-    register("normalised_text", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(tx.normalised(F.col("text")), 256).alias("digest")))
+    register("normalised_text", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(tx.normalised(F.col("text")), 256).alias("digest")), NORMAL)
     register("text_statistics", lambda s, d: tx.statistics(table(s, d, "documents")).select("doc_id", "chars", "lines", "words"), r"select doc_id, length(text) chars, length(text) - length(replace(text, chr(10), '')) + 1 as lines, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) words from documents")
     register("text_chunks", lambda s, d: tx.chunked(table(s, d, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("digest")))
     register("joined_documents", lambda s, d: tx.documents_joined(nodes(s, d).select(F.col("labels")[1].alias("kind"), "id", "name"), "kind", "id", "name").select("kind", F.sha2("joined", 256).alias("digest"), F.length("joined").cast("long").alias("chars")), "with q as (select labels[2] kind, '=== doc ' || row_number() over (partition by labels[2] order by id) || ': ' || id || ' ===' || chr(10) || name t, row_number() over (partition by labels[2] order by id) i from nodes) select kind, sha256(string_agg(t, chr(10) || chr(10) order by i)) digest, length(string_agg(t, chr(10) || chr(10) order by i)) chars from q group by 1")

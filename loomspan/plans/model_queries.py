@@ -11,11 +11,24 @@ from loomspan.operators import metrics as mt
 from loomspan.operators import panels as pn
 from loomspan.operators import returns as rt
 from loomspan.operators import windows as wd
+from loomspan.plans.series_queries import W
 from loomspan.plans.views import prices
 
 FEATURES = ["mom_21d", "mom_63d", "rel_strength", "vol_21d"]
 
 
+_D = f"over ({W} rows between 13 preceding and current row)"
+#: The features of `features` and the RSI by name, rows with a missing feature left out.
+LONG = f"""
+ft as (select dt, asset, px / lag(px, 21) over ({W}) - 1 mom_21d, px / lag(px, 63) over ({W}) - 1 mom_63d, px / first_value(px) over ({W}) gx,
+  px - lag(px) over ({W}) d from prices),
+vl as (select dt, asset, case when count(r) over w >= 10 then stddev_samp(r) over w end vol_21d from rets window w as ({W} rows between 20 preceding and current row)),
+rs as (select dt, asset, case when count(d) {_D} >= 14 and avg(greatest(-d, 0)) {_D} > 0 then 1.0 end rsi_14 from ft),
+ok as (select dt, asset, rsi_14 from ft join vl using (dt, asset) join rs using (dt, asset) where mom_63d is not null and vol_21d is not null),
+lng as (select asset || '_' || f feature from ok, (select unnest(['mom_21d', 'mom_63d', 'rel_strength', 'vol_21d']) f) union all select asset || '_rsi_14' from ok where rsi_14 is not null)
+""".strip()
+
+
 def features(s, d) -> DataFrame:
     """(dt, asset, features...) without missing values."""
     p = prices(s, d)
@@ -65,5 +78,8 @@ def register_all() -> None:
         rsi = wd.rsi_simple(prices(s, d)).select("dt", "asset", F.col("rsi").alias("rsi_14"))
         return pn.features_long(features(s, d).join(rsi, ["dt", "asset"]), [*FEATURES, "rsi_14"])
 
-    for name in ("all", "macro_only", "mom_vol", "macro_mom", "technical"):
-        register(f"feature_set_{name}", lambda s, d, name=name: pn.feature_set(longf(s, d), name).groupBy("feature").agg(F.count(F.lit(1)).alias("n")))
+    own = "regexp_matches(feature, '_ret_|_vol_|_mom_|_rsi_')"
+    rule = {"all": "true", "macro_only": f"not {own}", "mom_vol": "regexp_matches(feature, '_mom_|_vol_')", "macro_mom": f"(not {own} or contains(feature, '_mom_'))", "technical": "regexp_matches(feature, '_rsi_|_macd|_bb_|_ma_')"}
+    for name, where in rule.items():
+        query = lambda s, d, name=name: pn.feature_set(longf(s, d), name).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+        register(f"feature_set_{name}", query, f"with {LONG} select feature, count(*) n from lng where {where} group by 1")

@@ -209,3 +209,45 @@ def latex(df: DataFrame, caption: str = "", label: str = "", digits: int = 4, ro
     body = "\n".join(" & ".join(map(cell, r)) + r" \\" for r in got)
     head = " & ".join(map(cell, df.columns))
     return "\n".join([r"\begin{table}[htbp]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", rf"{head} \\", r"\hline", body, r"\hline", r"\end{tabular}", r"\end{table}"])
+
+
+def summary_text(metrics: DataFrame, title: str, digits: int = 4, rows: int = 200) -> str:
+    """Aligned text of a small frame: a line for each column of each row; more than `rows` rows is an error, not a cut."""
+    got = metrics.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} rows for a summary")
+    wide = max((len(c) for c in metrics.columns), default=0)
+    cell = lambda x: f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+    blocks = ["\n".join(f"{c:<{wide}} : {cell(r[c])}" for c in metrics.columns) for r in got]
+    return "\n\n".join([f"{title}\n{'=' * len(title)}", *blocks]) + "\n"
+
+
+# ---- calls that may fail, queues and catalogues of files ----------------------------------------------------------------
+
+
+def with_retry(call, tries: int = 3, delay: float = 1.0, sleep=None):
+    """call() up to `tries` times; before the k-th repeat it waits delay * 2 ** (k - 1). The last error is raised."""
+    import time
+
+    for k in range(1, tries + 1):
+        try:
+            return call()
+        except Exception:
+            if k == tries:
+                raise
+            (sleep or time.sleep)(delay * 2 ** (k - 1))
+
+
+def commands(spark: SparkSession, folder: str, schema: str = "command_id string, command_type string, args string") -> DataFrame:
+    """Commands of a folder of JSON files, one each, with modified: the oldest first. Files that don't parse are left out."""
+    got = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+    got = got.select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"))
+    return got.where(F.col("_corrupt_record").isNull() & F.col("command_id").isNotNull()).drop("_corrupt_record").orderBy("modified", "file")
+
+
+def model_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, model, ticker, kind) of files model_ticker_kind.*, kind being ret or fwd; contents are not read."""
+    name = r"([^/_]+)_([^/_]+)_(ret|fwd)\.[^/]*$"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    part = lambda i: F.regexp_extract("path", name, i)
+    return files.where(F.col("path").rlike(name)).select("path", part(1).alias("model"), part(2).alias("ticker"), part(3).alias("kind"))

@@ -47,9 +47,9 @@ def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.dropDuplicates([key])
 
 
-def count_batches(actions: DataFrame, size: int = 5, key: str = "platform", idle: int = 10_000) -> DataFrame:
-    """Every `size` actions of a key make a row (key, n, first_id, last_id); what is left after `idle` milliseconds makes a
-    short one.
+def count_batches(actions: DataFrame, size: int = 5, key: str = "platform", idle: int | None = None) -> DataFrame:
+    """Every `size` actions of a key make a row (key, n, first_id, last_id); with `idle`, what is left after so many milliseconds
+    without new ones makes a short one (for streams that run on: a trigger for what is there now would wait for it without end).
 
     State is at most size - 1 ids a key."""
 
@@ -65,12 +65,13 @@ def count_batches(actions: DataFrame, size: int = 5, key: str = "platform", idle
         full = [held[a : a + size] for a in range(0, len(held) - len(held) % size, size)]
         held = held[len(full) * size :]
         state.update((held,))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         if full:
             yield pd.DataFrame({key: name[0], "n": size, "first_id": [b[0] for b in full], "last_id": [b[-1] for b in full]})
 
     got = actions.where(F.col("action_type") != "DO_NOTHING").select(key, "event_id")
-    return got.groupBy(key).applyInPandasWithState(run, f"{key} string, n long, first_id long, last_id long", "ids array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return got.groupBy(key).applyInPandasWithState(run, f"{key} string, n long, first_id long, last_id long", "ids array<bigint>", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def progress(actions: DataFrame) -> DataFrame:

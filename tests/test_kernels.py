@@ -86,3 +86,17 @@ def test_models_learn(name):
     y = 2 * x[:, 0] - x[:, 1] + 0.1 * RNG.normal(size=400)
     p = fc.MODELS[name]().fit(x[:300], y[:300]).predict(x[300:])
     assert np.corrcoef(p, y[300:])[0, 1] > 0.8
+
+
+def test_views_and_covariance_ahead():
+    from loomspan.operators import research as rs
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.01, (500, 3)) @ np.array([[1, 0.2, 0], [0, 1, 0.3], [0, 0, 1]])
+    cov, market = np.cov(x.T) * 252, np.full(3, 1 / 3)
+    none = rs.view_weights(cov, market, np.eye(3)[:1], [2.5 * cov[0] @ market], rules=None)
+    more = rs.view_weights(cov, market, np.eye(3)[:1], [2.5 * cov[0] @ market + 0.05])
+    assert more[0] > none[0] and abs(more.sum() - 1) < 1e-9
+    ahead = rs.forward_covariance(x, np.sqrt(np.diag(cov)))
+    past = rs.forward_covariance(x, np.zeros(3), blend=0.0)
+    assert np.linalg.eigvalsh(ahead).min() > -1e-12 and np.allclose(ahead, past, rtol=0.2)

@@ -1,6 +1,7 @@
 """Sources and sinks on small files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,29 @@ def test_text_functions(spark):
     j = spark.createDataFrame([('{"a": 1}',), ('{"a": [1',), (None,)], "j string")
     assert [r["j"] for r in tx.repair_json(j, "j").collect()].count(None) == 1
     assert d.select(tx.gender(F.lit(" Woman ")).alias("g"), tx.percent(F.lit(0.1234)).alias("p")).first()[:] == ("female", "12.34%")
+
+
+def test_retry_commands_model_files_and_summary(spark, tmp_path):
+    calls, waits = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert fs.with_retry(call, 3, 0.5, waits.append) == "done" and waits == [0.5, 1.0]
+    with pytest.raises(OSError):
+        fs.with_retry(lambda: (_ for _ in ()).throw(OSError()), 2, 0, waits.append)
+    queue = tmp_path / "queue"
+    queue.mkdir()
+    for k, text in enumerate(['{"command_id": "b", "command_type": "stop"}', "{broken", '{"command_id": "a", "command_type": "go"}']):
+        (queue / f"{k}.json").write_text(text)
+        os.utime(queue / f"{k}.json", (1000 + k, 1000 + k))
+    assert [r["command_id"] for r in fs.commands(spark, str(queue)).collect()] == ["b", "a"]
+    models = tmp_path / "models"
+    models.mkdir()
+    for n in ("ridge_SPY_ret.bin", "lasso_TLT_fwd.bin", "readme.txt"):
+        (models / n).write_bytes(b"x")
+    assert sorted((r["model"], r["ticker"], r["kind"]) for r in fs.model_files(spark, str(models)).collect()) == [("lasso", "TLT", "fwd"), ("ridge", "SPY", "ret")]
+    assert fs.summary_text(spark.createDataFrame([("a", 0.5)], "name string, sharpe double"), "Runs") == "Runs\n====\n\nname   : a\nsharpe : 0.5000\n"
