@@ -48,10 +48,10 @@ def lags(s, d):
 def register_all() -> None:
     both = "o_orderstatus, o_orderpriority"
     orders = lambda s, d: table(s, d, "orders")
-    count = F.count(F.lit(1)).alias("n")
-    register("totals_cube", lambda s, d: orders(s, d).cube("o_orderstatus", "o_orderpriority").agg(count), f"select {both}, count(*) n from orders group by cube({both})")
-    sets = [[F.col("o_orderstatus")], [F.col("o_orderpriority")], []]
-    grouped = lambda s, d: orders(s, d).groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(count)
+    count = lambda: F.count(F.lit(1)).alias("n")
+    register("totals_cube", lambda s, d: orders(s, d).cube("o_orderstatus", "o_orderpriority").agg(count()), f"select {both}, count(*) n from orders group by cube({both})")
+    sets = lambda: [[F.col("o_orderstatus")], [F.col("o_orderpriority")], []]
+    grouped = lambda s, d: orders(s, d).groupingSets(sets(), "o_orderstatus", "o_orderpriority").agg(count())
     register("totals_grouping_sets", grouped, f"select {both}, count(*) n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
     register("dates_in_both", lambda s, d: prices(s, d).select("dt").intersect(macro(s, d).select("dt")), "select dt from prices intersect select dt from macro")
     register("dates_without_macro", lambda s, d: prices(s, d).select("dt").exceptAll(macro(s, d).select("dt")), "select dt from prices except all select dt from macro")
@@ -59,7 +59,7 @@ def register_all() -> None:
 
     # Lookups.
     case = " ".join(f"when asset in ({', '.join(map(repr, a))}) then '{n}'" for n, a in CLASSES.items())
-    classes = lambda s, d: prices(s, d).groupBy(rs.class_of(F.col("asset"), CLASSES).alias("class")).agg(count, F.countDistinct("asset").alias("assets"))
+    classes = lambda s, d: prices(s, d).groupBy(rs.class_of(F.col("asset"), CLASSES).alias("class")).agg(count(), F.countDistinct("asset").alias("assets"))
     register("asset_classes", classes, f"select case {case} else 'Unknown' end as class, count(*) n, count(distinct asset) assets from prices group by 1")
     register("feature_names", lambda s, d: lags(s, d).select("feature", rs.display_name(F.col("feature"), NAMES).alias("shown")), "select * from (values ('mom_lag5', 'momentum (lag 5)'), ('vol', 'volatility'), ('rate_lag21', 'rate (lag 21)'), ('vol_lag1', 'volatility (lag 1)')) v(feature, shown)")
 
