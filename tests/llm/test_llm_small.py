@@ -83,6 +83,20 @@ def test_near_duplicates_rest_goes_through_blocks(spark, texts, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 85, 100)]
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies of one text with up to an eighth of their words changed, near and beyond the threshold: no link is lost."""
+    base = [f"b{i}" for i in range(260)]
+    group = []
+    for k in range(320):
+        c = list(base)
+        for p in R.sample(range(260), R.randint(0, 8)):
+            c[p] = f"e{k}x{p}"
+        group.append(" ".join(c))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_dedup(docs(spark, group)).collect()}
+    want = [c for _, c in brute_components(group, 85, 100)]
+    assert [got[i] for i in range(len(group))] == want and len(set(want)) > 20
+
+
 def test_near_duplicates_odd_rows(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_dedup(d).collect()), key=str)
