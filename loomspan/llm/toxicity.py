@@ -248,7 +248,7 @@ class Model:
     def scorer(self):
         """A function of a list of texts. A margin is linear in the kernel values, so a token adds one number to its texts' margins;
         the numbers of the last tokens are remembered as long as the function lives."""
-        kernel, known, weights = Kernel(list(self.landmarks)), {}, self.weights.astype(np.float32)
+        kernel, known, weights = Kernel(list(self.landmarks)), {}, np.asarray(self.weights, np.float32)
 
         def scores(texts: list[str | None]) -> np.ndarray:
             margin = np.zeros(len(texts))
