@@ -29,7 +29,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .common import make_way, with_workers
 
 #: Entries of a task's memory of encoded chunks and of words and pairs; each is emptied when full, and all at the task's end.
-MEMORY = 100_000
+MEMORY = 200_000
 #: Added to the code point of a word's last symbol, so that symbols stay single characters.
 _LAST = 0xF0000
 #: White space as the tokenizer's regular expressions know it; str.split() also cuts at U+001C to U+001F.
