@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, licenses, linededup, media, neardup, sharding, toxicity, urlfilter
+from . import bpe, chat, decontam, fim, licenses, linededup, media, neardup, search, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -50,9 +50,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_line_dedup, op3_bpe_round_trip, op4_decontamination, op5_url_filter, op6_toxicity, op7_chat_format, op8_license_scan, op9_sharding, op10_media_columns)
+    for f in (
+        op1_near_dedup, op2_line_dedup, op3_bpe_round_trip, op4_decontamination, op5_url_filter, op6_toxicity, op7_chat_format,
+        op8_license_scan, op9_sharding, op10_media_columns, op11_fill_in_middle, op12_token_counts, op13_ranked_search,
+    )
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_decontamination": decontam.SQL, "op7_chat_format": chat.SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_decontamination": decontam.SQL, "op7_chat_format": chat.SQL, "op11_fill_in_middle": fim.SQL, "op13_ranked_search": search.SQL}
