@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -52,71 +52,70 @@ class Merges:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip, stand alone or are normalised are not built")
         stand = byte_symbols()
-        self.byte = {s: b for b, s in enumerate(stand)}
         if missing := [s for s in stand if s not in model["vocab"]]:
             raise ValueError(f"{len(missing)} bytes are no token")
-        self.rank: dict[tuple[bytes, bytes], int] = {}
+        #: Symbols are texts of a character a byte. Ranks by both symbols, and those of single bytes by the pair.
+        self.byte = str.maketrans({s: chr(b) for b, s in enumerate(stand)})
+        self.rank: dict[tuple[str, str], int] = {}
         for r, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[self.raw(left), self.raw(right)] = r
+            self.rank[left.translate(self.byte), right.translate(self.byte)] = r
+        self.first = {a + b: r for (a, b), r in self.rank.items() if len(a) == len(b) == 1}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.far_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.chunks: dict[str, int] = {}
-        self.pieces: dict[bytes, int] = {}
-
-    def raw(self, symbols: str) -> bytes:
-        return bytes(map(self.byte.__getitem__, symbols))
+        self.known: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
 
     def forget(self) -> None:
         """Empties what a task remembers: workers outlive it."""
-        self.chunks.clear()
+        self.known.clear()
         self.pieces.clear()
 
-    def merged(self, piece: bytes) -> int:
-        """Tokens of a piece. A symbol is known by where it begins; the next one begins where it ends."""
-        n, rank = len(piece), self.rank.get
-        end, before = list(range(1, n + 1)), list(range(-1, n))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def pair(i: int, j: int, k: int) -> None:
-            if (r := rank((piece[i:j], piece[j:k]))) is not None:
-                heappush(heap, (r, i, j, k))
-
-        for i in range(n - 1):
-            pair(i, i + 1, i + 2)
-        left = n
+    def merged(self, piece: str) -> int:
+        """Tokens of a piece, given as a character a byte. A symbol is known by where it begins; the next one begins where it ends."""
+        n, first, rank = len(piece), self.first.get, self.rank.get
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := first(piece[i : i + 2])) is not None]
+        heapify(heap)
+        end, before, left = list(range(1, n + 1)), list(range(-1, n)), n
         while heap:
             _, i, j, k = heappop(heap)
             if end[i] != j or end[j] != k:
                 continue
             end[i], end[j] = k, 0
             left -= 1
-            if i:
-                pair(before[i], i, k)
+            whole = piece[i:k]
+            if i and (r := rank((piece[(b := before[i]) : i], whole))) is not None:
+                heappush(heap, (r, b, i, k))
             if k < n:
                 before[k] = i
-                pair(i, k, end[k])
+                if (r := rank((whole, piece[k : end[k]]))) is not None:
+                    heappush(heap, (r, i, k, end[k]))
         return left
 
+    def piece(self, text: str) -> int:
+        return self.merged(text if text.isascii() else text.encode().decode("latin-1"))
+
     def chunk(self, text: str) -> int:
         if _FAR.search(text):
-            pieces = [self.raw(p) for p, _ in self.far_split.pre_tokenize_str(text)]
-        else:
-            pieces = [p.encode() for p in _PIECE.findall(text)]
+            return sum(self.merged(p.translate(self.byte)) for p, _ in self.far_split.pre_tokenize_str(text))
+        body = text[1:] if text[0] == " " else text
+        if body.isalpha():
+            return self.piece(text)
         known, total = self.pieces, 0
-        for p in pieces:
+        # A word and one closing mark is the usual case; the pattern finds the same two pieces.
+        for p in (text[:-1], text[-1]) if text[-1] in ".,;:!?" and body[:-1].isalpha() else _PIECE.findall(text):
             if (c := known.get(p)) is None:
-                c = self.merged(p)
+                c = self.piece(p)
                 if len(p) <= _SHORT:
-                    if len(known) >= MEMORY // 2:
+                    if len(known) >= MEMORY:
                         known.clear()
                     known[p] = c
             total += c
         return total
 
     def plain(self, text: str) -> int:
-        chunks, known = _CHUNK.findall(text), self.chunks
+        chunks, known = _CHUNK.findall(text), self.known
         try:
             return sum(map(known.__getitem__, chunks))
         except KeyError:
@@ -126,7 +125,7 @@ class Merges:
             if (c := known.get(x)) is None:
                 c = self.chunk(x)
                 if len(x) <= _SHORT:
-                    if len(known) >= MEMORY:
+                    if len(known) >= 2 * MEMORY:
                         known.clear()
                     known[x] = c
             total += c
