@@ -1,6 +1,7 @@
 """Fill-in-middle, token counts and ranked search against brute force, the library and odd rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -8,9 +9,10 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspan.llm import fim, search, tokencount
+from loomspan.llm import chat, fim, search, tokencount
 from loomspan.llm.bpe import vocabulary_path
 
 R = random.Random(11)
@@ -148,3 +150,57 @@ def test_search_sql_on_odd_rows(spark):
     db.register("benchmark", benchmark)
     got = [tuple(r) for r in db.execute(search.SQL).fetchall()]
     assert sorted(got, key=str) == brute_search(rows, items, 50)
+
+
+def layouts():
+    user, reply = "a</s> é🎉", "[INST] b </s>中"
+    return [
+        ({"messages": [{"role": "user", "content": user}, {"role": "assistant", "content": reply}]}, "struct<messages:array<struct<role:string,content:string>>>"),
+        ({"messages": [{"turn": 0, "role": "user", "text": user}, {"turn": 1, "role": "assistant", "text": reply}]}, "struct<messages:array<struct<turn:int,role:string,text:string>>>"),
+        ({"conversations": [{"from": "human", "value": user}, {"from": "gpt", "value": reply}]}, "struct<conversations:array<struct<from:string,value:string>>>"),
+        ({"prompt": user, "completion": reply}, "struct<prompt:string,completion:string>"),
+        ({"instruction": user, "output": reply}, "struct<instruction:string,output:string>"),
+        ({"system": "be", "prompt": user, "response": reply}, "struct<system:string,prompt:string,response:string>"),
+        ({"instruction": "be", "input": user, "output": reply}, "struct<instruction:string,input:string,output:string>"),
+    ], user, reply
+
+
+@pytest.mark.parametrize("typed", [True, False])
+def test_every_layout_goes_the_querys_path(spark, typed):
+    known, user, reply = layouts()
+    for value, kind in known:
+        d = spark.createDataFrame([(1, json.dumps(value)), (2, None)], "conv_id long, record string")
+        if typed:
+            d = d.withColumn("record", F.from_json("record", kind))
+        got = {r["conv_id"]: r for r in chat.digest(d).collect()}[1]
+        system = "be" in value.values()
+        turns = [*([("system", "be")] if system else []), ("user", user), ("assistant", reply)]
+        assert (got["n_turns"], got["loss_chars"]) == (len(turns), len(reply)), kind
+        assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got["loss_sha256"] == hashlib.sha256(reply.encode()).hexdigest()
+    hashes = [chat.format_chats(spark.createDataFrame([(json.dumps(v),)], "record string")).first()["schema_hash"] for v, _ in known]
+    same = [chat.format_chats(spark.createDataFrame([(json.dumps(v),)], "r string").select(F.from_json("r", k).alias("record"))).first()["schema_hash"] for v, k in known]
+    assert hashes == same and len(set(hashes)) == len(known)
+
+
+def test_the_loss_digest_reads_the_mask(spark):
+    rows = [(1, 0, "user", "uu[INST]"), (1, 1, "assistant", "abc</s>é"), (2, 0, "assistant", "xyz"), (2, 1, "assistant", "é🎉")]
+    records = chat.as_records(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    right = {r["conv_id"]: r for r in chat.digest(records).collect()}
+    assert right[1]["loss_chars"] == 8 and right[2]["loss_chars"] == 5
+    shift = F.transform("loss_spans", lambda s: s.withField("byte_start", s["byte_start"] - 1))
+    first = F.slice("loss_spans", 1, 1)
+    for r in chat.digest(records.where("conv_id = 2"), first).collect():
+        assert (r["loss_chars"], r["loss_sha256"]) == (3, hashlib.sha256(b"xyz").hexdigest())
+    with pytest.raises(Exception, match="not its code points|MALFORMED"):
+        chat.digest(records.where("conv_id = 1"), shift).collect()
+    only = records.where("conv_id = 2").select("conv_id", F.struct(F.slice("record.messages", 1, 1).alias("messages")).alias("record"))
+    assert chat.digest(only, shift).first()["loss_sha256"] == hashlib.sha256(b"]xy").hexdigest()
+
+
+def test_paths_to_any_depth(spark):
+    value = {"a b": 1, "x,y": {"q": [{"z": 1, "w>": "s"}, {"z": 2.5}]}, "m": [1, "a"], "e": {}, "t`k: ": None, "d.t": {"p": [[{"u": {"v": True}}]]}}
+    d = spark.createDataFrame([(json.dumps(value),), ('[{"a":1}]',), ("3",), ("{",)], "r string")
+    got = [r[0] for r in d.select(chat.paths(F.col("r"))).collect()]
+    assert got[0].split("|") == sorted(["a b", "x,y.q[].z", "x,y.q[].w>", "m[]", "e", "t`k: ", "d.t.p[][].u.v"])
+    assert got[1:] == ["[].a", "", None]
