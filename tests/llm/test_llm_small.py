@@ -206,13 +206,13 @@ def test_url_trees_learn(spark):
 def test_url_filter_trains_past_a_common_url(spark):
     from pyspark.sql import functions as F
 
-    urls = [f"http://a{i}.com/en/{i}" for i in range(40)] + [f"http://free-casino{i}.x-casino.com/en/7{i}" for i in range(40)]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    first = pages.orderBy(F.xxhash64("url")).first()["url"]
-    hot = pages.unionByName(spark.range(1000, 1100).select(F.col("id").alias("page_id"), F.lit(first).alias("url")))
-    split = hot.withColumns(dict(zip(("host", "path"), urlfilter.parts(F.col("url")), strict=True)))
+    urls = [f"http://a{i}.com/en/{i}" for i in range(40)] + [f"http://b{i}.x-site.com/en/7{i}" for i in range(40)]
+    labelled = spark.createDataFrame([(u, "block" if "x-site" in u else "allow") for u in urls], "url string, verdict string")
+    first = labelled.orderBy(F.xxhash64("url")).first()
+    hot = labelled.unionByName(spark.createDataFrame([first] * 100, labelled.schema))
+    first = first["url"]
     stats = spark.createDataFrame([("com", 1)], "_suffix string, _n long")
-    rows = urlfilter.training_rows(split, "url", None, stats, 60).collect()
+    rows = urlfilter.training_rows(hot, stats, 60).collect()
     assert len({r["_url"] for r in rows}) == 60 and {r["_y"] for r in rows} == {0.0, 1.0}
     for y in (0.0, 1.0):  # a class weighs half, a common URL as often as it has rows
         own = [r for r in rows if r["_y"] == y]
@@ -243,18 +243,22 @@ def test_url_columns_random(spark):
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
-def test_url_trees_on_held_out_urls(spark):
-    """Trees of four fifths of the given pages' labelled URLs rank the last fifth."""
+def test_url_trees_on_unseen_hosts(spark):
+    """Trees of the labelled URLs of four fifths of the hosts rank those of the last fifth, and leave hyphenated names alone."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.sql import functions as F
 
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    split = pages.withColumns(dict(zip(("host", "path"), urlfilter.parts(F.col("url")), strict=True)))
-    stats = urlfilter.featured(split, "url").groupBy("_suffix").agg(F.count(F.lit(1)).alias("_n"))
-    rows = urlfilter.training_rows(split, "url", None, stats, 10_000).cache()
-    held = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(5)) == 0
+    labelled = urlfilter.example_urls(spark).cache()
+    assert labelled.exceptAll(urlfilter.example_urls(spark)).count() == 0 and labelled.count() < urlfilter.TRAIN_ROWS
+    rows = urlfilter.training_rows(labelled, urlfilter.suffix_counts(labelled), urlfilter.TRAIN_ROWS).cache()
+    assert rows.select("host").distinct().count() > 2_000
+    held = F.pmod(F.xxhash64("host", F.lit(1)), F.lit(5)) == 0
     out = urlfilter.trees(rows.where(~held)).transform(urlfilter.assembled(rows.where(held)))
     assert BinaryClassificationEvaluator(rawPredictionCol="_raw", labelCol="_y").evaluate(out) > 0.95
+    clean = ["http://my-bakery.example.com/en-x/1", "https://the-old-book-shop.org/about", "https://www.saint-denis-news.fr/2021/le-grand-prix.html", "https://a-b.de/", "http://ice-cream.example.net/fr/12"]
+    thrown = ["http://x7f3k9q2a1b8.info/9f8a7b6c5d4e3f2a1b0c9d8e/a1b2c3d4e5f6", "http://10.3.44.12:8080/go.php?u=http%3A%2F%2Fabc12345def%2Fxx19ab83&id=31245", "http://a.b3.login-1.secure.x9k2.info/w?a=1f3a9&b=2c4d1&c=39a8f&d=4bb10&e=5d2c7&f=6a9e0"]
+    got = {r["url"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame([(u,) for u in clean + thrown], "url string")).collect()}
+    assert [got[u] for u in clean] == ["allow"] * len(clean) and [got[u] for u in thrown] == ["block"] * len(thrown)
 
 
 def test_toxicity(spark):
