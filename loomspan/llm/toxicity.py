@@ -11,8 +11,10 @@ more of a frequent one. A text's values for the landmarks map through the invers
 and a support vector machine is trained on a bounded sample of labelled texts and on copies of the toxic ones whose landmarks
 have a letter put in. Margins become probabilities by a sigmoid that is fitted out of fold.
 
+Settings are chosen by `tune`, which sees the training rows alone: each fifth of them is scored by a model of the other four.
+
 Null and empty texts have zero values and get the score that gives. Labels that are null don't train; several labels of a
-document count as toxic when one is. Without labels of both classes every score is the share of toxic ones (0 for none). Texts
+document count as toxic when one is, and of several texts of one id the greatest trains. Without labels of both classes every score is the share of toxic ones (0 for none). Texts
 and tokens of any length are scored whole. Repeated rows get equal scores. `score` adds _score; a column of that name
 becomes _score_0.
 """
@@ -23,7 +25,9 @@ import math
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +45,7 @@ LANDMARKS = 128
 DECAY = 0.5
 LAMBDA = 0.95
 POWERS = (3, 10)
+COST = 1000.0
 #: Letters up to which a token's subsequences are listed one by one; longer ones are summed letter by letter.
 SHORT = 16
 #: Tokens whose value a task remembers, and the longest of them.
@@ -53,6 +58,17 @@ _MARKS = "!" + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() an
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What `tune` chooses: see the constants of these names."""
+
+    landmarks: int = LANDMARKS
+    decay: float = DECAY
+    lam: float = LAMBDA
+    powers: tuple[int, ...] = POWERS
+    cost: float = COST
+
+
 @lru_cache(maxsize=4096)
 def _letter(c: str) -> int:
     """1 to 26: a letter without its accents; 27 to 63: other letters, by a remainder; 0: no letter."""
@@ -91,15 +107,15 @@ def altered(token: str, key: object) -> str:
     return token[:at] + chr(97 + (h >> 16) % 26) + token[at:]
 
 
-@lru_cache(maxsize=SHORT + 1)
-def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2 * SHORT)
+def _places(n: int, lam: float = LAMBDA) -> tuple[np.ndarray, np.ndarray]:
     c = np.array(list(combinations(range(n), _ORDER)), np.int64).reshape(-1, _ORDER)
-    return c, LAMBDA ** (c[:, -1] - c[:, 0] + 1.0)
+    return c, lam ** (c[:, -1] - c[:, 0] + 1.0)
 
 
-def _features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(letters: np.ndarray, lam: float = LAMBDA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, weight) of the different subsequences of tokens of one length up to SHORT, each row of unit norm."""
-    places, weight = _places(letters.shape[1])
+    places, weight = _places(letters.shape[1], lam)
     x = letters.astype(np.int64)
     codes = (x[:, places[:, 0]] << 2 * _BITS) | (x[:, places[:, 1]] << _BITS) | x[:, places[:, 2]]
     order = np.argsort(codes, 1)
@@ -114,7 +130,7 @@ def _features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, codes[at], total / norm[row]
 
 
-def _long_features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _long_features(letters: np.ndarray, lam: float = LAMBDA) -> tuple[np.ndarray, np.ndarray]:
     """(code, weight) of one token of any length, of unit norm, in time that grows with the length."""
     there, letters = np.unique(letters, return_inverse=True)
     k = len(there)
@@ -123,9 +139,9 @@ def _long_features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for x in letters.tolist():
         three[x] += flat
         two[:, x] += one
-        two *= LAMBDA
+        two *= lam
         one[x] += 1
-        one *= LAMBDA
+        one *= lam
     total = three.T.reshape(-1)  # from (third, first and second) to the code's order
     held = np.flatnonzero(total)
     there = there.astype(np.int64)
@@ -136,8 +152,8 @@ def _long_features(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Kernel:
     """Normalised gap-weighted kernel of tokens against landmarks, exact for tokens of any length."""
 
-    def __init__(self, landmarks: list[str]):
-        self.m = len(landmarks)
+    def __init__(self, landmarks: list[str], lam: float = LAMBDA):
+        self.m, self.lam = len(landmarks), lam
         parts = [self._one(s) for s in landmarks]
         code = np.concatenate([c for c, _ in parts] or [np.empty(0, np.int64)])
         order = np.argsort(code, kind="stable")
@@ -153,7 +169,7 @@ class Kernel:
         x = self._lettered(token)
         if len(x) < _ORDER:
             return np.empty(0, np.int64), np.empty(0)
-        return _features(x[None])[1:] if len(x) <= SHORT else _long_features(x)
+        return _features(x[None], self.lam)[1:] if len(x) <= SHORT else _long_features(x, self.lam)
 
     def _against(self, row: np.ndarray, code: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
         count = self.start[code + 1] - self.start[code]
@@ -176,18 +192,18 @@ class Kernel:
         start = np.cumsum(size) - size
         for n in np.unique(size[(size >= _ORDER) & (size <= SHORT)]).tolist():
             for who in np.array_split(who := np.flatnonzero(size == n), -(-len(who) // 512)):
-                out[who] = self._against(*_features(flat[start[who, None] + np.arange(n)]), len(who))
+                out[who] = self._against(*_features(flat[start[who, None] + np.arange(n)], self.lam), len(who))
         for k in np.flatnonzero(size > SHORT).tolist():
-            code, weight = _long_features(flat[start[k] : start[k] + size[k]])
+            code, weight = _long_features(flat[start[k] : start[k] + size[k]], self.lam)
             out[k] = self._against(np.zeros(len(code), np.int64), code, weight, 1)[0]
         return out
 
 
-def powers(values: np.ndarray) -> np.ndarray:
+def powers(values: np.ndarray, to: Sequence[int] = POWERS) -> np.ndarray:
     """Columns of token kernels to columns of each power of them."""
     x = np.asarray(values)
     out, done, last = [], np.ones_like(x), 0
-    for p in POWERS:  # in rising order, by products: the general power is slow
+    for p in to:  # in rising order, by products: the general power is slow
         base, left = x, p - last
         while left:
             if left & 1:
@@ -198,12 +214,12 @@ def powers(values: np.ndarray) -> np.ndarray:
     return np.hstack(out)
 
 
-def text_row(kernel: Kernel, tokens: set[str]) -> np.ndarray:
+def text_row(kernel: Kernel, tokens: set[str], to: Sequence[int] = POWERS) -> np.ndarray:
     """A text's kernel values for the landmarks, one for each power and landmark."""
-    return powers(kernel.values(sorted(tokens)).astype(float)).sum(0) / math.sqrt(max(1, len(tokens)))
+    return powers(kernel.values(sorted(tokens)).astype(float), to).sum(0) / math.sqrt(max(1, len(tokens)))
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, steps: int = 50) -> np.ndarray:
+def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = 50) -> np.ndarray:
     """Weights (the last for a constant 1) of a linear machine with squared hinge loss, by Newton steps; y is -1 or 1."""
     x = np.hstack((x, np.ones((len(x), 1))))
     share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * cost / len(y)
@@ -242,13 +258,13 @@ def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     """Landmarks, and weights that take a text's kernel values to a margin; the score is a sigmoid of it."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, constant: float, a: float, b: float):
-        self.landmarks, self.weights, self.constant, self.a, self.b = tuple(landmarks), weights, constant, a, b
+    def __init__(self, landmarks: list[str], weights: np.ndarray, constant: float, a: float, b: float, settings: Settings = Settings()):  # noqa: B008
+        self.landmarks, self.weights, self.constant, self.a, self.b, self.settings = tuple(landmarks), weights, constant, a, b, settings
 
     def scorer(self):
         """A function of a list of texts. A margin is linear in the kernel values, so a token adds one number to its texts' margins;
         the numbers of the last tokens are remembered as long as the function lives."""
-        kernel, known, weights = Kernel(list(self.landmarks)), {}, np.asarray(self.weights, np.float32)
+        kernel, known, weights = Kernel(list(self.landmarks), self.settings.lam), {}, np.asarray(self.weights, np.float32)
 
         def scores(texts: list[str | None]) -> np.ndarray:
             margin = np.zeros(len(texts))
@@ -259,7 +275,7 @@ class Model:
                 new = list(set().union(*sets))
             for a in range(0, len(new), 4096):
                 part = new[a : a + 4096]
-                known.update(zip(part, (powers(kernel.values(part)) @ weights).tolist(), strict=True))
+                known.update(zip(part, (powers(kernel.values(part), self.settings.powers) @ weights).tolist(), strict=True))
             for k, s in enumerate(sets):
                 margin[k] = math.fsum(map(known.__getitem__, s)) / math.sqrt(max(1, len(s)))
             for t in new:
@@ -278,9 +294,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def covering(tokens: list[str], odds: np.ndarray, token: np.ndarray, doc: np.ndarray, most: int) -> list[str]:
+def covering(tokens: list[str], odds: np.ndarray, token: np.ndarray, doc: np.ndarray, most: int, decay: float = DECAY) -> list[str]:
     """At most `most` of `tokens`, each the one with the greatest odds * weight of the documents that hold it. token and doc are
-    pairs of numbers: who holds what. Documents weigh 1 at first and DECAY times as much after each choice they hold."""
+    pairs of numbers: who holds what. Documents weigh 1 at first and `decay` times as much after each choice they hold."""
     weight, free, out = np.ones(int(doc.max(initial=-1)) + 1), np.ones(len(tokens), bool), []
     order = np.lexsort((doc, token))
     token, doc = token[order], doc[order]
@@ -289,37 +305,38 @@ def covering(tokens: list[str], odds: np.ndarray, token: np.ndarray, doc: np.nda
         best = int(np.argmax(np.where(free, gain, -np.inf)))
         free[best] = False
         out.append(tokens[best])
-        weight[doc[token == best]] *= DECAY
+        weight[doc[token == best]] *= decay
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, own: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+def machine(x: np.ndarray, y: np.ndarray, own: np.ndarray, fold: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float, float, float]:
     """(weights for kernel values, constant, a, b). own: the landmarks' kernel matrix, a block for each power; fold: which fifth a
     row is in, so that the sigmoid is fitted to margins of machines that have not seen the row."""
     m = own.shape[0]
-    to = np.zeros((len(POWERS) * m, len(POWERS) * m))
-    for k in range(len(POWERS)):
+    to = np.zeros((own.shape[1], own.shape[1]))
+    for k in range(own.shape[1] // m):
         block = own[:, k * m : (k + 1) * m]
         power, turn = np.linalg.eigh((block + block.T) / 2)
         to[k * m : (k + 1) * m, k * m : (k + 1) * m] = turn * np.where(power > 1e-3, 1 / np.sqrt(np.maximum(power, 1e-3)), 0) @ turn.T
     z = x @ to
-    w = support_vectors(z, y)
+    w = support_vectors(z, y, cost)
     margin = z @ w[:-1] + w[-1]
     for f in range(5):
         rest = fold != f
         if (~rest).any() and len(set(y[rest])) == 2:
-            v = support_vectors(z[rest], y[rest])
+            v = support_vectors(z[rest], y[rest], cost)
             margin[~rest] = z[~rest] @ v[:-1] + v[-1]
     a, b = sigmoid_fit(margin, y)
     return to @ w[:-1], float(w[-1]), a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int | None = None, settings: Settings = Settings()) -> Model:  # noqa: B008
     """Trains on at most train_rows labelled documents that aren't held out. What reaches the driver is as bounded: which toxic
     documents hold which candidate tokens, landmarks, and a row of kernel values for each text and altered copy."""
     spark = docs.sparkSession
     with_workers(spark)
     tables = Tables(spark)
+    settings = settings if landmarks is None else replace(settings, landmarks=landmarks)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
@@ -342,30 +359,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landma
     holds = able["docs"].combine_chunks()
     token = np.repeat(np.arange(len(able)), pc.list_value_length(holds).to_numpy(zero_copy_only=False))
     doc = np.unique(pc.list_flatten(holds).to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    names = covering(able["token"].to_pylist(), able["odds"].to_numpy(), token, doc, landmarks)
+    names = covering(able["token"].to_pylist(), able["odds"].to_numpy(), token, doc, settings.landmarks, settings.decay)
     if not names:
         share = up / (up + down)
         return Model([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
     chosen = frozenset(names)
 
     def valued(batches):
-        kernel = Kernel(names)
+        kernel = Kernel(names, settings.lam)
         for b in batches:
             out = []
             for toxic, text, doc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 own = tokens_of(text.as_py())
-                out.append((toxic, doc, text_row(kernel, own)))
+                out.append((toxic, doc, text_row(kernel, own, settings.powers)))
                 if toxic and (hit := {t for t in own if form(t) in chosen}):
-                    out.append((toxic, doc, text_row(kernel, (own - hit) | {altered(form(t), doc) for t in hit})))
+                    out.append((toxic, doc, text_row(kernel, (own - hit) | {altered(form(t), doc) for t in hit}, settings.powers)))
             flat = pa.array(np.concatenate([x[2] for x in out]) if out else np.empty(0))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.FixedSizeListArray.from_arrays(flat, len(POWERS) * len(names)).cast(pa.list_(pa.float64()))], names=["toxic", "doc", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.FixedSizeListArray.from_arrays(flat, len(settings.powers) * len(names)).cast(pa.list_(pa.float64()))], names=["toxic", "doc", "x"])
 
     rows = texts.mapInArrow(valued, "toxic int, doc long, x array<double>").orderBy("doc", "x").toArrow()
     tables.drop(texts)
     x = pc.list_flatten(rows["x"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
     y, doc = 2.0 * rows["toxic"].to_numpy() - 1, rows["doc"].to_numpy()
-    weights, constant, a, b = machine(x, y, powers(Kernel(names).values(names)), doc % 5)
-    return Model(names, weights, constant, a, b)
+    weights, constant, a, b = machine(x, y, powers(Kernel(names, settings.lam).values(names), settings.powers), doc % 5, settings.cost)
+    return Model(names, weights, constant, a, b, settings)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -385,6 +402,29 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def tune(docs: DataFrame, labels: DataFrame, settings: Sequence[Settings], folds: int = 5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(settings, found, missed, flagged, passed, f1, loss) for each of `settings`: documents that aren't held out, each judged by a model
+    that is fitted without its fold of them. Labels of held-out documents are never read. One model a setting and fold is fitted."""
+    spark = docs.sparkSession
+    tables = Tables(spark)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).withColumn("fold", fold)
+    sample = tables.keep(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "sample")
+    rows = []
+    for s in settings:
+        judged = []
+        for k in range(folds):
+            rest = sample.where(F.col("fold") != k)
+            model = fit(rest.select("doc_id", "text"), rest.select("doc_id", "toxic"), train_rows, settings=s)
+            judged.append(score(sample.where(F.col("fold") == k), model).select("toxic", "_score"))
+        p, toxic = F.greatest(F.least("_score", F.lit(1 - 1e-6)), F.lit(1e-6)), F.col("toxic") == 1
+        hit = F.col("_score") >= 0.5
+        n = reduce(DataFrame.unionByName, judged).agg(*[F.count_if(c).alias(name) for name, c in (("found", toxic & hit), ("missed", toxic & ~hit), ("flagged", ~toxic & hit), ("passed", ~toxic & ~hit))], F.avg(-F.log(F.when(toxic, p).otherwise(1 - p))).alias("loss")).first()
+        rows.append((str(s), n["found"], n["missed"], n["flagged"], n["passed"], 2 * n["found"] / max(1, 2 * n["found"] + n["missed"] + n["flagged"]), n["loss"]))
+    return spark.createDataFrame(rows, "settings string, found long, missed long, flagged long, passed long, f1 double, loss double")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, held_out, score, predicted."""
     model = fit(docs, labels)
