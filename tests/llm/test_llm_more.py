@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspan.llm import chat, fim, search, tokencount
+from loomspan.llm import chat, fim, search, tokencount, toxicity
 from loomspan.llm.bpe import vocabulary_path
 
 R = random.Random(11)
@@ -204,3 +204,61 @@ def test_paths_to_any_depth(spark):
     got = [r[0] for r in d.select(chat.paths(F.col("r"))).collect()]
     assert got[0].split("|") == sorted(["a b", "x,y.q[].z", "x,y.q[].w>", "m[]", "e", "t`k: ", "d.t.p[][].u.v"])
     assert got[1:] == ["[].a", "", None]
+
+
+def brute_kernel(a, b, lam):
+    """The normalised gap-weighted kernel of three letters, by its definition: all triples of places."""
+    from itertools import combinations
+
+    def features(s):
+        out = {}
+        for p in combinations(range(len(s)), 3):
+            key = tuple(s[i] for i in p)
+            out[key] = out.get(key, 0) + lam ** (p[-1] - p[0] + 1)
+        return out
+
+    x, y = features(a), features(b)
+    dot = lambda u, v: sum(w * v.get(k, 0) for k, w in u.items())
+    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) if x and y else 0.0
+
+
+def toxic_fixture(spark):
+    pick = random.Random(5)
+    plain = [f"{a}{b}{c}" for a in ("bar", "lon", "mit", "ser") for b in ("ta", "li", "no") for c in ("m", "sk", "pel")]
+    insults = ["wobblehead", "grimskull", "snotface"]
+    rows, labels = [], []
+    for i in range(260):
+        words = [pick.choice(plain) for _ in range(12)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words[3] = pick.choice(insults)
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_scores_are_the_kernels(spark):
+    docs_, labels = toxic_fixture(spark)
+    settings = toxicity.Settings(landmarks=4, powers=(2, 5), lam=0.9)
+    model = toxicity.fit(docs_, labels, settings=settings)
+    texts = ["barta wobbleehead monol", "grimskull", "w o b b l e h e a d lonlisk", "", None, "barta lonli mitno", "snotface! snot-face barta"]
+    got = [r["_score"] for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    for text, score in zip(texts, got, strict=True):
+        own = toxicity.tokens_of(text)
+        margin = 0.0
+        for t in own:
+            k = [brute_kernel(toxicity.form(t), s, 0.9) for s in model.landmarks]
+            margin += sum(w * v for w, v in zip(model.weights, [x**2 for x in k] + [x**5 for x in k], strict=True))
+        margin /= math.sqrt(max(1, len(own)))
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.a * (margin + model.constant) + model.b))), abs=1e-4), text
+    assert got[0] > 0.5 > got[5]
+
+
+def test_tuning_never_reads_held_out_labels(spark):
+    docs_, labels = toxic_fixture(spark)
+    choices = [toxicity.Settings(landmarks=3), toxicity.Settings(landmarks=2, powers=(4,))]
+    first = toxicity.tune(docs_, labels, choices, folds=2).collect()
+    other = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert first == toxicity.tune(docs_, other, choices, folds=2).collect()
+    rest = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert all(r["found"] + r["missed"] + r["flagged"] + r["passed"] == rest for r in first) and first[0]["f1"] > 0.9
