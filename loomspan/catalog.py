@@ -31,8 +31,8 @@ def register(name: str, query: Query, sql: str | None = None, doubles: str = "")
     QUERIES[name].__name__ = name
     if sql:
         body = sql.strip()
-        own = body.startswith("with ")
-        body = f"with {views.SQL.strip()}, {body[5:]}" if own else f"with {views.SQL.strip()} {body}"
+        start = next((w for w in ("with recursive ", "with ") if body.startswith(w)), "")
+        body = f"{start or 'with '}{views.SQL.strip()}{', ' if start else ' '}{body[len(start):]}"
         cols = ", ".join(f"round(cast({c} as double), {DIGITS}) + 0.0 as {c}" for c in doubles.split())
         ORACLES[name] = f"select * replace ({cols}) from ({body})" if cols else body
 
@@ -40,7 +40,7 @@ def register(name: str, query: Query, sql: str | None = None, doubles: str = "")
 def load() -> None:
     """Registers every query once."""
     if not QUERIES:
-        from loomspan.plans import log_queries, model_queries, panel_queries, research_queries, risk_queries, series_queries, study_queries
+        from loomspan.plans import linear_queries, log_queries, model_queries, panel_queries, research_queries, risk_queries, series_queries, study_queries
 
-        for module in (series_queries, risk_queries, panel_queries, log_queries, model_queries, study_queries, research_queries):
+        for module in (series_queries, risk_queries, panel_queries, log_queries, model_queries, study_queries, research_queries, linear_queries):
             module.register_all()

@@ -180,12 +180,14 @@ class Constraints:
         return self.held + np.sign(d) * np.maximum(np.abs(d) - t, 0)
 
 
-def minimise(gradient: Callable, step: float, rules: Constraints, start: np.ndarray | None = None, rounds: int = 2000) -> np.ndarray:
-    """Accelerated projected gradients with restarts."""
+def minimise(gradient: Callable, step: float, rules: Constraints, start: np.ndarray | None = None, rounds: int = 2000, finish: Callable | None = None) -> np.ndarray:
+    """Accelerated projected gradients with restarts. finish(x), asked now and then, is the optimum if x tells which one it is, else None."""
     x = rules.project(np.full(rules.n, 1 / rules.n) if start is None else start)
     y, t = x, 1.0
-    for _ in range(rounds):
+    for k in range(rounds):
         new = rules.project(y - step * gradient(y))
+        if finish and k % 20 == 19 and (done := finish(new)) is not None:
+            return done
         if (y - new) @ (new - x) > 0:
             t = 1.0
         s = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -202,8 +204,27 @@ def _largest(cov: np.ndarray) -> float:
 
 def mean_variance(mu, cov, aversion: float = 2.0, rules: Constraints | None = None) -> np.ndarray:
     """Largest mu w - aversion / 2 w S w."""
-    rules = rules or Constraints(len(mu))
-    return minimise(lambda w: aversion * cov @ w - mu, 1 / max(1e-9, aversion * _largest(cov)), rules)
+    rules, mu, cov = rules or Constraints(len(mu)), np.asarray(mu, float), np.asarray(cov, float)
+
+    def finish(x: np.ndarray) -> np.ndarray | None:
+        """The optimum with x's assets at bounds, if it is feasible and no asset at a bound would rather leave it."""
+        free = (x > rules.lo + 1e-6) & (x < rules.hi - 1e-6)
+        n, w = int(free.sum()), np.where(free, 0.0, np.where(x <= rules.lo + 1e-6, rules.lo, rules.hi))
+        if not n:
+            return None
+        system = np.zeros((n + 1, n + 1))
+        system[:n, :n], system[n, :n], system[:n, n] = aversion * cov[np.ix_(free, free)], 1, 1
+        try:
+            got = np.linalg.solve(system, np.append(mu[free] - aversion * cov[free] @ w, 1 - w.sum()))
+        except np.linalg.LinAlgError:
+            return None
+        w[free] = got[:n]
+        slack = mu - aversion * cov @ w - got[n]
+        inside = (w >= rules.lo - 1e-9).all() and (w <= rules.hi + 1e-9).all()
+        return np.clip(w, rules.lo, rules.hi) if inside and (slack[~free & (w <= rules.lo)] <= 1e-9).all() and (slack[~free & (w >= rules.hi)] >= -1e-9).all() else None
+
+    plain = not rules.groups and rules.held is None
+    return minimise(lambda w: aversion * cov @ w - mu, 1 / max(1e-9, aversion * _largest(cov)), rules, finish=finish if plain else None)
 
 
 def minimum_variance(cov, rules: Constraints | None = None) -> np.ndarray:
@@ -355,7 +376,7 @@ STRATEGIES: dict[str, Callable] = {
 
 
 def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None = None, lookback: int = DEFAULT.lookback, method: str = "shrinkage", least: int = 20, days: int = DEFAULT.days, strategy_fns: dict[str, Callable] | None = None) -> DataFrame:
-    """(strategy, dt, asset, weight) for each rebalance date: each date's window is one Arrow group, dates solve in parallel.
+    """(strategy, dt, asset, weight) for each rebalance date: a date's window and a strategy are one Arrow group, and all solve in parallel.
 
     dates: (dt, i) numbered rows of the calendar. A window is `lookback` rows before the date, for assets with a return on a fifth of
     them or more; on the others they stand still."""
@@ -370,19 +391,21 @@ def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None
     window = panel.join(F.broadcast(at), (F.col("j") < F.col("i")) & (F.col("j") >= F.col("i") - lookback))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, on = pdf["strategy"].iloc[0], pdf["on"].iloc[0]
         wide = pdf.pivot_table(index="j", columns="asset", values="r", aggfunc="first").sort_index()
         wide = wide.loc[:, wide.notna().mean() >= 0.2].fillna(0.0)
         out = []
         if len(wide) >= least and wide.shape[1]:
             x = wide.to_numpy(float)
-            mu, cov = x.mean(0) * days, covariance(x, method, days)
-            for name in names:
-                w = fns[name](mu, cov, x)
-                w = np.full(len(mu), 1 / len(mu)) if w is None else w
-                out += [(name, pdf["on"].iloc[0], a, float(v)) for a, v in zip(wide.columns, w, strict=True)]
+            mu = x.mean(0) * days
+            w = fns[name](mu, covariance(x, method, days), x)
+            w = np.full(len(mu), 1 / len(mu)) if w is None else w
+            out = [(name, on, a, float(v)) for a, v in zip(wide.columns, w, strict=True)]
         return pd.DataFrame(out, columns=["strategy", "dt", "asset", "weight"])
 
-    return window.select("on", "j", "asset", "r").groupBy("on").applyInPandas(run, "strategy string, dt date, asset string, weight double")
+    each = window.select("on", "j", "asset", "r", F.explode(F.array(*map(F.lit, names))).alias("strategy"))
+    # A row a strategy, date and asset: kept, as a backtest reads its targets several times and would solve anew.
+    return each.groupBy("on", "strategy").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()
 
 
 # ---- statistics of given weights, in SQL --------------------------------------------------------------------------------

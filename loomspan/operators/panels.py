@@ -226,6 +226,29 @@ def blocking_splits(spark: SparkSession, n: int, folds: int = DEFAULT.cv[0], win
     return spark.range(folds).select(F.col("id").alias("fold"), start.cast("long").alias("train_start"), (i * size).alias("train_end"), (i * size).alias("test_start"), ((i + 1) * size).alias("test_end"))
 
 
+#: Kinds of splits by name: folds of a calendar of n dates, and their half-open ranges as expressions of the fold i and n.
+SPLITS = {
+    "expanding": lambda i, n, folds=DEFAULT.cv[0], first=DEFAULT.cv[1], test=DEFAULT.cv[2], gap=DEFAULT.cv[3]: (F.lit(folds), F.lit(0), first + i * test, first + i * test + gap, F.least(first + (i + 1) * test + gap, n)),
+    "walk_forward": lambda i, n, train=DEFAULT.walk[0], test=DEFAULT.walk[1], step=DEFAULT.walk[2], gap=DEFAULT.walk[3]: (F.floor((n - train - gap - test) / step) + 1, i * step, i * step + train, i * step + train + gap, i * step + train + gap + test),
+    "purged": lambda i, n, folds=DEFAULT.cv[0], embargo=DEFAULT.cv[3]: (F.lit(folds), F.lit(0), (i + 1) * F.floor(n / (folds + 1)) - embargo, (i + 1) * F.floor(n / (folds + 1)), (i + 2) * F.floor(n / (folds + 1))),
+    "blocking": lambda i, n, folds=DEFAULT.cv[0], window=None: (F.lit(folds), F.greatest(F.lit(0), (i + 1) * F.floor(n / (folds + 1)) - window) if window else F.lit(0), (i + 1) * F.floor(n / (folds + 1)), (i + 1) * F.floor(n / (folds + 1)), (i + 2) * F.floor(n / (folds + 1))),
+}
+
+
+def calendar_splits(panel: DataFrame, kind: str, **sizes: int) -> DataFrame:
+    """Folds of a panel's own calendar: row ranges as the functions above give them, and the first and last date of each part. A fold
+    without rows to train on or to test is left out. The calendar is one row, an array as long as there are dates."""
+    days = panel.agg(F.array_sort(F.collect_set("dt")).alias("_days")).withColumn("_n", F.size("_days").cast("long"))
+    count = SPLITS[kind](F.lit(0), F.col("_n"), **sizes)[0].cast("int")
+    folds = days.withColumn("fold", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")))).withColumn("fold", F.col("fold").cast("long"))
+    names = ["train_start", "train_end", "test_start", "test_end"]
+    out = folds.withColumns({n: c.cast("long") for n, c in zip(names, SPLITS[kind](F.col("fold"), F.col("_n"), **sizes)[1:], strict=True)})
+    out = out.where((F.col("train_start") < F.col("train_end")) & (F.col("test_start") < F.least("test_end", "_n")))
+    at = lambda c: F.get("_days", F.col(c).cast("int"))
+    last = lambda c: F.get("_days", (F.least(F.col(c), F.col("_n")) - 1).cast("int"))
+    return out.select("fold", *names, at("train_start").alias("train_from"), last("train_end").alias("train_to"), at("test_start").alias("test_from"), last("test_end").alias("test_to"))
+
+
 def rows_of_split(panel: DataFrame, splits: DataFrame, key: str = "asset") -> DataFrame:
     """Rows of each fold with their role; splits is a table of a few rows."""
     numbered = panel.withColumn("i", (F.row_number().over(by_time(key)) - 1).cast("long"))

@@ -99,19 +99,68 @@ def signal_targets(signals: DataFrame, name: str = "agents") -> DataFrame:
     return signals.select(F.lit(name).alias("strategy"), "dt", "asset", F.when(total > 0, up / total).otherwise(1 / n).alias("weight"))
 
 
-def regime(level: Column, high: Column, spread: Column) -> Column:
-    """crisis where the level is high, caution where the spread is negative, else calm."""
-    return F.when(level > high, "crisis").when(spread < 0, "caution").otherwise("calm")
-
-
-def regime_signal(state: Column, momentum: Column) -> Column:
-    """An agent that turns against momentum in a crisis, halves it in caution and follows it in calm."""
-    return F.when(state == "crisis", -momentum).when(state == "caution", momentum / 2).otherwise(momentum)
-
-
-def adaptive_confidence(skill: Column, base: float = 0.5) -> Column:
-    """An agent's confidence from its mean information coefficient so far: base, moved by it, between 0.1 and 0.9."""
-    return F.greatest(F.lit(0.1), F.least(F.lit(0.9), base + F.coalesce(skill, F.lit(0.0))))
+#: What an agent gives to each class of assets in each state of the market.
+STATE_WEIGHTS = {
+    "defensive": {"equity": -0.03, "bond": 0.04, "alt": 0.02},
+    "risk_on": {"equity": 0.04, "bond": -0.02, "alt": 0.01},
+    "balanced": {"equity": 0.01, "bond": 0.01, "alt": 0.005},
+}
+
+
+def market_state(level: Column, spread: Column, high: float = 25.0, low: float = 15.0, inverted: float = -0.5, unknown: float = 20.0) -> Column:
+    """defensive above `high`, risk_on below `low`, else balanced; a spread below `inverted` makes it one step more defensive. An unknown
+    level counts as `unknown`, an unknown spread changes nothing."""
+    at = F.coalesce(level, F.lit(unknown))
+    deep = F.coalesce(spread < inverted, F.lit(False))
+    return F.when(at > high, "defensive").when(at < low, F.when(deep, "balanced").otherwise("risk_on")).otherwise(F.when(deep, "defensive").otherwise("balanced"))
+
+
+def state_signal(state: Column, asset: Column, classes: dict[str, list[str]], tilts: dict[str, dict[str, float]], confidence: float = 1.0) -> Column:
+    """The weight of the asset's class in the state (an asset of no class is equity) and the state's own tilt of the asset, times the
+    agent's confidence."""
+    kind = F.when(class_of(asset, classes) == "Unknown", "equity").otherwise(class_of(asset, classes))
+    pick = lambda table, key: F.coalesce(F.element_at(F.create_map(*[c for k, v in table.items() for c in (F.lit(k), F.lit(v))]), key), F.lit(0.0))
+    none = F.lit(0.0)
+    base = reduce(lambda rest, s: F.when(state == s, pick(STATE_WEIGHTS[s], kind)).otherwise(rest), STATE_WEIGHTS, none)
+    tilt = reduce(lambda rest, s: F.when(state == s, pick(tilts[s], asset)).otherwise(rest), tilts, none)
+    return (base + tilt) * confidence
+
+
+def track_record(signals: DataFrame, outcomes: DataFrame, by: str = "agent") -> DataFrame:
+    """(by, dt, ic): the correlation over assets of an agent's signals of a round with what came of them; null where either doesn't vary.
+    signals: (by, dt, asset, signal); outcomes: (dt, asset, actual)."""
+    both = signals.join(outcomes, ["dt", "asset"])
+    varies = (F.stddev_pop("signal") > 1e-12) & (F.stddev_pop("actual") > 1e-12)
+    return both.groupBy(by, "dt").agg(F.when(varies, F.corr("signal", "actual")).alias("ic"))
+
+
+def adapted(records: DataFrame, by: str = "agent", base: float = 0.6, rate: float = 0.1, window: int = 10, least: float = 0.1, most: float = 0.95, start: float | None = None) -> DataFrame:
+    """(by, dt, confidence, blend) of an agent in each round, by its record (by, dt, ic) of the rounds before.
+
+    Confidence rises by half the rate (up to `most`) when the mean of the last `window` rounds is above 0.05, falls by the rate (down to
+    `least`) when it is below -0.05, and else goes a tenth of the way back to `base`. The blend of momentum (1) and its contrary (0)
+    begins at 0.5 and moves by 0.05, between 0.1 and 0.9, towards the one that did better in the last five rounds, once there are
+    five. A round is a calendar's, so an agent's history is one fold."""
+    w = Window.partitionBy(by).orderBy("dt")
+    recent = F.coalesce(F.avg("ic").over(w.rowsBetween(-window, -1)), F.lit(0.0))
+    last = w.rowsBetween(-5, -1)
+    better = F.when(F.count(F.lit(1)).over(last) >= 5, F.signum(F.avg(F.coalesce("ic", F.lit(0.0))).over(last))).otherwise(0.0)
+    moves = records.select(by, "dt", F.when(recent > 0.05, 1).when(recent < -0.05, -1).otherwise(0).alias("up"), better.alias("to"))
+    rounds = moves.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dt", "up", "to"))).alias("rounds"))
+    day = records.schema["dt"].dataType.simpleString()
+    begin = F.struct(F.lit(base if start is None else start).alias("c"), F.lit(0.5).alias("b"), F.array().cast(f"array<struct<dt:{day},confidence:double,blend:double>>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        c = F.when(r["up"] > 0, F.least(s["c"] + rate * 0.5, F.lit(most))).when(r["up"] < 0, F.greatest(s["c"] - rate, F.lit(least))).otherwise(s["c"] + (base - s["c"]) * 0.1)
+        b = F.when(r["to"] > 0, F.least(s["b"] + 0.05, F.lit(0.9))).when(r["to"] < 0, F.greatest(s["b"] - 0.05, F.lit(0.1))).otherwise(s["b"])
+        return F.struct(c.alias("c"), b.alias("b"), F.concat(s["out"], F.array(F.struct(r["dt"].alias("dt"), c.alias("confidence"), b.alias("blend")))).alias("out"))
+
+    return rounds.select(by, F.explode(F.aggregate("rounds", begin, step, lambda s: s["out"])).alias("r")).select(by, "r.*")
+
+
+def blended_signal(momentum: Column, blend: Column, confidence: Column) -> Column:
+    """Momentum and its contrary in shares of blend and 1 - blend, times confidence."""
+    return (blend * momentum + (1 - blend) * -momentum) * confidence
 
 
 def forward_covariance(x: np.ndarray, forecast: np.ndarray, blend: float = 0.3, days: int = DEFAULT.days) -> np.ndarray:
@@ -150,4 +199,5 @@ def forecast_targets(predictions: DataFrame, returns: DataFrame, dates: DataFram
         w = mean_variance(mu, covariance(x, days=days), aversion, Constraints(len(mu)).box(0.0, max(cap, 1 / len(mu))))
         return pd.DataFrame({"strategy": "optimised_forecast", "dt": pdf["on"].iloc[0], "asset": wide.columns, "weight": w})
 
-    return rows.groupBy("on").applyInPandas(run, "strategy string, dt date, asset string, weight double")
+    # A row a date and asset: kept, as a backtest reads its targets several times and would solve anew.
+    return rows.groupBy("on").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()

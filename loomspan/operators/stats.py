@@ -100,52 +100,6 @@ def diebold_mariano(pairs: DataFrame, h: int = 1) -> DataFrame:
     return d.groupBy("a", "b").agg((F.avg("_d") / F.sqrt(var)).alias("dm"), n.alias("n"))
 
 
-def factor_regression(rows: DataFrame, factors: list[str], key: str = "asset", y: str = "r", days: int = 252) -> DataFrame:
-    """Least squares of y on a constant and factors: a row a key and term with beta, robust (HC1) error, t and p, and R squared.
-
-    Spark sums the cross products; only a (k + 1) square matrix a key is solved. The robust middle is a second sum over the rows."""
-    terms = ["const", *factors]
-    k = len(terms)
-    x = rows.dropna(subset=[y, *factors]).withColumn("const", F.lit(1.0))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = x.groupBy(key).agg(F.array(*[F.sum(F.col(terms[i]) * F.col(terms[j])) for i, j in pairs]).alias("xx"), F.array(*[F.sum(F.col(t) * F.col(y)) for t in terms]).alias("xy"), F.count(y).alias("n"), F.var_pop(y).alias("vy"))
-
-    @F.pandas_udf("array<double>")
-    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(xx, xy, strict=True):
-            m = np.zeros((k, k))
-            for (i, j), v in zip(pairs, a, strict=True):
-                m[i, j] = m[j, i] = v
-            out.append(np.linalg.lstsq(m, np.asarray(b, float), rcond=None)[0])
-        return pd.Series(out)
-
-    fitted = sums.withColumn("beta", solve("xx", "xy"))
-    res = x.join(fitted.select(key, "beta"), key)
-    e = F.col(y) - sum((F.col(t) * F.col("beta")[i] for i, t in enumerate(terms)), F.lit(0.0))
-    res = res.withColumn("_e2", e * e)
-    middle = res.groupBy(key).agg(F.array(*[F.sum(F.col(terms[i]) * F.col(terms[j]) * F.col("_e2")) for i, j in pairs]).alias("mid"), F.sum("_e2").alias("sse"))
-
-    def finish(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                m, mid = np.zeros((k, k)), np.zeros((k, k))
-                for (i, j), v, u in zip(pairs, r.xx, r.mid, strict=True):
-                    m[i, j] = m[j, i] = v
-                    mid[i, j] = mid[j, i] = u
-                inv = np.linalg.pinv(m)
-                se = np.sqrt(np.maximum(0, np.diag(inv @ mid @ inv) * r.n / (r.n - k)))
-                r2 = 1 - r.sse / (r.vy * r.n)
-                for i, t in enumerate(terms):
-                    tv = r.beta[i] / se[i] if se[i] > 0 else 0.0
-                    rows.append((getattr(r, key), t, r.beta[i], se[i], tv, t_two_sided(tv, r.n - k), r2, 1 - (1 - r2) * (r.n - 1) / (r.n - k)))
-            yield pd.DataFrame(rows, columns=[key, "term", "beta", "se", "t", "p_value", "r2", "adj_r2"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return fitted.join(middle, key).mapInPandas(finish, f"{key} {kind}, term string, beta double, se double, t double, p_value double, r2 double, adj_r2 double")
-
-
 def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
     e = y - x @ beta
@@ -246,17 +200,6 @@ def pair_tests(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").applyInPandas(run, "a string, b string, f double, lag long, p_value double, coint double, cointegrated boolean")
 
 
-def gram(panel: DataFrame, names: list[str], value: str = "value", key: str = "asset") -> np.ndarray:
-    """Sums of products over the dates that all names have: one aggregation, a names x names matrix on the driver."""
-    wide = panel.groupBy("dt").pivot(key, names).agg(F.first(value)).dropna()
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = wide.agg(*[F.sum(F.col(f"`{names[i]}`") * F.col(f"`{names[j]}`")) for i, j in pairs]).first()
-    out = np.zeros((len(names), len(names)))
-    for (i, j), v in zip(pairs, row, strict=True):
-        out[i, j] = out[j, i] = v or 0.0
-    return out
-
-
 def inflation(g: np.ndarray) -> np.ndarray:
     """Variance inflation without constant, from the Gram matrix."""
     return np.diag(g) * np.diag(np.linalg.pinv(g))
@@ -273,97 +216,11 @@ def drop_inflated(g: np.ndarray, names: list[str], threshold: float = 10.0) -> l
     return [names[i] for i in left]
 
 
-def _draws(seed: int, rep: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[seed, rep]))
-
-
-def block_bootstrap(returns: DataFrame, statistic: str = "sharpe", reps: int = 1000, block: int = 21, circular: bool = False, seed: int = 42, key: str = "asset", days: int = 252, per_task: int = 250) -> DataFrame:
-    """(key, rep, value). Replicates are seeded by number, so a lost task draws the same again; they spread over tasks.
-
-    block 1 draws single rows. A task holds one key's series, its history."""
-    series = returns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dt", "r"))).alias("s")).select(key, F.col("s.r").alias("x"))
-    work = series.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(per_task))).alias("first")).repartition(key, "first")
-
-    def one(x: np.ndarray, rng) -> float:
-        n = len(x)
-        b = min(block, n)
-        k = -(-n // b)
-        start = rng.integers(0, n if circular else n - b + 1, k)
-        at = (start[:, None] + np.arange(b)).ravel()[:n]
-        y = x[at % n]
-        if statistic == "sharpe":
-            s = y.std(ddof=1) if n > 1 else 0.0
-            return float(y.mean() / s * math.sqrt(days)) if s > 1e-12 else 0.0
-        if statistic == "mean":
-            return float(y.mean())
-        if statistic == "total":
-            return float(np.prod(1 + y) - 1)
-        g = np.cumprod(1 + y)
-        return float((g / np.maximum.accumulate(g) - 1).min())
-
-    def run(batches):
-        for pdf in batches:
-            for name, x, first in pdf.itertuples(index=False):
-                x = np.asarray(x, float)
-                ids = range(first, min(first + per_task, reps))
-                yield pd.DataFrame({key: name, "rep": list(ids), "value": [one(x, _draws(seed, i)) for i in ids]})
-
-    kind = returns.schema[key].dataType.simpleString()
-    return work.mapInPandas(run, f"{key} {kind}, rep long, value double")
-
-
 def interval(draws: DataFrame, level: float = 0.95, key: str = "asset") -> DataFrame:
     a = (1 - level) / 2
     return draws.groupBy(key).agg(F.avg("value").alias("mean"), F.expr(f"percentile(value, {a}D)").alias("lo"), F.expr(f"percentile(value, {1 - a}D)").alias("hi"), F.count("value").alias("reps"))
 
 
-def monte_carlo_stress(returns: DataFrame, reps: int = 1000, horizon: int = 252, block: int = 21, levels=(0.01, 0.05, 0.5), seed: int = 42, key: str = "asset", days: int = 252) -> DataFrame:
-    """Quantiles over block-drawn paths of `horizon` rows: end value, annual return, volatility (population), deepest fall."""
-    series = returns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dt", "r"))).alias("s")).select(key, F.col("s.r").alias("x"))
-    work = series.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(100))).alias("first")).repartition(key, "first")
-
-    def run(batches):
-        for pdf in batches:
-            for name, x, first in pdf.itertuples(index=False):
-                x, rows = np.asarray(x, float), []
-                b = min(block, len(x))
-                for i in range(first, min(first + 100, reps)):
-                    start = _draws(seed, i).integers(0, len(x) - b + 1, -(-horizon // b))
-                    y = x[(start[:, None] + np.arange(b)).ravel()[:horizon]]
-                    g = np.cumprod(1 + y)
-                    rows.append((name, i, g[-1], y.mean() * days, y.std() * math.sqrt(days), (g / np.maximum.accumulate(g) - 1).min()))
-                yield pd.DataFrame(rows, columns=[key, "rep", "terminal", "annual_return", "volatility", "max_drawdown"])
-
-    kind = returns.schema[key].dataType.simpleString()
-    paths = work.mapInPandas(run, f"{key} {kind}, rep long, terminal double, annual_return double, volatility double, max_drawdown double")
-    cols = ["terminal", "annual_return", "volatility", "max_drawdown"]
-    return paths.groupBy(key).agg(*[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.expr(f"percentile({c}, {q}D)").alias(f"{c}_q{int(q * 100)}") for c in cols for q in levels])
-
-
-def sharpe_difference(pairs: DataFrame) -> DataFrame:
-    """Difference of Sharpe ratios of each pair, with a Bartlett variance of the four moments and a normal p-value."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        x, y = pdf["ra"].to_numpy(float), pdf["rb"].to_numpy(float)
-        n = len(x)
-        m = np.array([x.mean(), y.mean(), (x * x).mean(), (y * y).mean()])
-        vx, vy = m[2] - m[0] ** 2, m[3] - m[1] ** 2
-        diff = m[0] / math.sqrt(vx) - m[1] / math.sqrt(vy)
-        grad = np.array([m[2] / vx**1.5, -m[3] / vy**1.5, -0.5 * m[0] / vx**1.5, 0.5 * m[1] / vy**1.5])
-        v = np.stack([x, y, x * x, y * y], 1) - m
-        lags = int(n ** (1 / 3))
-        psi = v.T @ v / n
-        for k in range(1, lags + 1):
-            c = v[k:].T @ v[:-k] / n
-            psi += (1 - k / (lags + 1)) * (c + c.T)
-        se = math.sqrt(max(0.0, grad @ psi @ grad / n))
-        z = diff / se if se > 0 else 0.0
-        return pd.DataFrame([{"a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "diff": diff, "se": se, "z": z, "p_value": 2 * (1 - normal_cdf(abs(z)))}])
-
-    return pairs.groupBy("a", "b").applyInPandas(run, "a string, b string, diff double, se double, z double, p_value double")
-
-
 def stars(p):
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
 

@@ -14,6 +14,7 @@ from loomspan.config import DEFAULT
 from loomspan.operators import allocation as al
 from loomspan.operators import backtest as bt
 from loomspan.operators import forecasts as fc
+from loomspan.operators import linear as ln
 from loomspan.operators import panels as pn
 from loomspan.operators.returns import by_time
 
@@ -26,22 +27,6 @@ def excess_returns(returns: DataFrame, rates: DataFrame, days: int = DEFAULT.day
     return returns.join(dates.select("dt", known.alias("_rate")), "dt").withColumn("excess", F.col("r") - F.col("_rate") / 100 / days).drop("_rate")
 
 
-def rolling_rank_ic(panel: DataFrame, n: int = 63, least: int = 10, key: str = "asset") -> DataFrame:
-    """Rank correlation of p and y over the key's last n rows before the row, with averaged ties; a frame holds n pairs at most."""
-    frame = by_time(key).rowsBetween(-n, -1)
-    held = panel.withColumn("_f", F.collect_list(F.struct("p", "y")).over(frame)).where(F.size("_f") >= least)
-
-    @F.pandas_udf("double")
-    def ic(frames: pd.Series) -> pd.Series:
-        def one(rows) -> float | None:
-            x, y = (pd.Series(np.asarray([r[c] for r in rows], float)).rank() for c in ("p", "y"))
-            return float(x.corr(y)) if x.std() > 0 and y.std() > 0 else None
-
-        return pd.Series([one(f) for f in frames], dtype="float64")
-
-    return held.select(key, "dt", ic("_f").alias("rank_ic"))
-
-
 def rank_consensus(scores: DataFrame, item: str = "feature", by: str = "model", value: str = "value") -> DataFrame:
     """Mean rank of each item over models, the best first."""
     r = scores.withColumn("_r", F.rank().over(Window.partitionBy(by).orderBy(F.desc(value))))
@@ -196,8 +181,10 @@ def intervals(oof: DataFrame, level: float = 0.9, key: str = "asset") -> DataFra
 def walk_forward(table: DataFrame, features: list[str], model: str = "ridge", every_months: int = 3, least: int = 100, horizon: int = 0, key: str = "asset") -> DataFrame:
     """(key, dt, p): retrained at the start of each period on rows before it (`horizon` rows before, where labels look ahead).
 
-    A row is scored by the model of its own period. Each key and period is a group: its history up to then."""
-    t = table.withColumn("_m", (F.floor((F.year("dt") * 12 + F.month("dt") - 1) / every_months)).cast("long"))
+    Ridge models come from running sums of products. Others see their rows: each key and period is a group, its history up to then."""
+    if model == "ridge":
+        return ln.walk_forward(table, features, every_months, least, horizon, key=key)
+    t = table.withColumn("_m", ln.period(every_months))
     t = t.withColumn("_i", F.row_number().over(by_time(key)))
     periods = t.groupBy(key, F.col("_m").alias("period")).agg(F.min("_i").alias("_first"))
     rows = t.join(periods, key).where((F.col("_m") == F.col("period")) | (F.col("_i") < F.col("_first") - horizon))
@@ -224,18 +211,27 @@ def by_prediction(predictions: DataFrame, dates: DataFrame, cap: float = DEFAULT
     return out.select(F.lit(name).alias("strategy"), "dt", "asset", (F.col("_w") / F.sum("_w").over(w)).alias("weight"))
 
 
-def forecast_backtest(table: DataFrame, prices: DataFrame, features: list[str], model: str = "ridge", every: int = DEFAULT.rebalance, bps: float = DEFAULT.cost_bps, agreement: DataFrame | None = None) -> DataFrame:
-    """Walk-forward predictions to targets to net returns; with (dt, agreement), targets are blended to equal weights by its risk
-    scale, the latest known at the date."""
+def forecast_backtest(table: DataFrame, prices: DataFrame, features: list[str], model: str = "ridge", every: int = DEFAULT.rebalance, bps: float = DEFAULT.cost_bps) -> DataFrame:
+    """Walk-forward predictions to targets in proportion to them to net returns."""
+    p = walk_forward(table, features, model, horizon=21)
+    dates = pn.rebalance_dates(p.select("dt").distinct(), every, 0)
+    return bt.strategy_returns(prices, by_prediction(p, dates), bps)
+
+
+def integrated_targets(table: DataFrame, returns: DataFrame, features: list[str], agreement: DataFrame | None, model: str = "ridge", every: int = DEFAULT.rebalance, horizon: int = 21, aversion: float = 5.0, cap: float = 0.35) -> DataFrame:
+    """(strategy, dt, asset, weight): walk-forward predictions, annualised, against the shrunk covariance of the rows before under a
+    weight cap: "optimised_forecast". With (dt, agreement), a second strategy, "integrated", has these weights blended to equal ones by its
+    risk scale, the latest known at the date."""
     from loomspan.operators import agents as ag
+    from loomspan.operators import research as rs
 
-    p = walk_forward(table, features, model, horizon=21)
+    p = walk_forward(table, features, model, horizon=horizon)
     dates = pn.rebalance_dates(p.select("dt").distinct(), every, 0)
-    targets = by_prediction(p, dates)
-    if agreement is not None:
-        scaled = pn.asof(targets, agreement, "agreement").withColumn("scale", F.coalesce(ag.risk_scale(F.col("agreement")), F.lit(1.0)))
-        targets = ag.blend_to_equal(scaled).select("strategy", "dt", "asset", "weight")
-    return bt.strategy_returns(prices, targets, bps)
+    targets = rs.forecast_targets(p, returns, dates, horizon, aversion=aversion, cap=cap, shrink=0.0)
+    if agreement is None:
+        return targets
+    scaled = pn.asof(targets, agreement, "agreement").withColumn("scale", F.coalesce(ag.risk_scale(F.col("agreement")), F.lit(1.0)))
+    return targets.unionByName(ag.blend_to_equal(scaled).select(F.lit("integrated").alias("strategy"), "dt", "asset", "weight"))
 
 
 def macro_signal(level: Column, spread: Column, high: float, tilt: Column) -> Column:

@@ -128,11 +128,19 @@ def register_all() -> None:
     cells = ", ".join(f"max(ret) filter (month(month) = {k}) m{k}" for k in range(1, 13))
     register("month_table", lambda s, d: pn.month_table(returns(s, d)), f"{mon} select asset, year(month)::int as year, {cells}, exp(sum(ln(1 + ret))) - 1 ytd from m group by 1, 2", " ".join(f"m{k}" for k in range(1, 13)) + " ytd")
     register("rebalance_dates", lambda s, d: bt.schedule(prices(s, d)), f"with {CAL} select dt, i from cal where i >= 756 and (i - 756) % 21 = 0")
-    n = 1500
-    register("expanding_splits", lambda s, d: pn.expanding_splits(s, n), f"select i fold, 0::bigint train_start, 756 + i * 63 train_end, 761 + i * 63 test_start, least(824 + i * 63, {n}) test_end from range(5) t(i) where 761 + i * 63 < {n}")
-    register("walk_forward_splits", lambda s, d: pn.walk_forward_splits(s, n), f"select i fold, i * 21 train_start, i * 21 + 756 train_end, i * 21 + 761 test_start, i * 21 + 782 test_end from range(200) t(i) where i * 21 + 782 <= {n}")
-    register("purged_splits", lambda s, d: pn.purged_splits(s, n), f"select i fold, 0::bigint train_start, (i + 1) * {n // 6} - 5 train_end, (i + 1) * {n // 6} test_start, (i + 2) * {n // 6} test_end from range(5) t(i)")
-    register("blocking_splits", lambda s, d: pn.blocking_splits(s, n, window=300), f"select i fold, greatest(0, (i + 1) * {n // 6} - 300)::bigint train_start, (i + 1) * {n // 6} train_end, (i + 1) * {n // 6} test_start, (i + 2) * {n // 6} test_end from range(5) t(i)")
+    kinds = {
+        "expanding": ("range(5)", "0", "756 + i * 63", "761 + i * 63", "least(824 + i * 63, n)", {}),
+        "walk_forward": ("range(400)", "i * 21", "i * 21 + 756", "i * 21 + 761", "i * 21 + 782", {}),
+        "purged": ("range(5)", "0", "(i + 1) * (n // 6) - 5", "(i + 1) * (n // 6)", "(i + 2) * (n // 6)", {}),
+        "blocking": ("range(5)", "greatest(0, (i + 1) * (n // 6) - 300)", "(i + 1) * (n // 6)", "(i + 1) * (n // 6)", "(i + 2) * (n // 6)", {"window": 300}),
+    }
+    for kind, (folds, a, b, t, u, sizes) in kinds.items():
+        whole = "u <= n" if kind == "walk_forward" else "t < n"
+        sql = f"""with c as (select list(dt order by dt) as dts, count(*) n from (select distinct dt from prices)),
+f as (select i, n, dts, {a} a, {b} b, {t} t, {u} u from c, {folds} r(i))
+select i fold, a::bigint train_start, b::bigint train_end, t::bigint test_start, u::bigint test_end, dts[a + 1] train_from, dts[b] train_to,
+  dts[t + 1] test_from, dts[least(u, n)] test_to from f where a < b and {whole}"""
+        register(f"{kind}_splits", lambda s, d, kind=kind, sizes=sizes: pn.calendar_splits(prices(s, d), kind, **sizes), sql)
     register("split_rows", lambda s, d: pn.rows_of_split(returns(s, d), pn.blocking_splits(s, 600)).groupBy("asset", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r")), f"with q as (select *, row_number() over ({W}) - 1 i from rets), sp as (select f fold, 0 a, (f + 1) * 100 b, (f + 1) * 100 c, (f + 2) * 100 d from range(5) t(f)), j as (select asset, fold, case when i >= c and i < d then 'test' else 'train' end role, r from q join sp on (i >= a and i < b) or (i >= c and i < d)) select asset, fold, role, count(*) n, avg(r) mean_r from j group by all", "mean_r")
     register("label_table", lambda s, d: pn.label_table(prices(s, d), prices(s, d)), f"select * from (select dt, asset, px, lead(px, 21) over ({W}) / px - 1 y from prices) where y is not null", "px y")
 

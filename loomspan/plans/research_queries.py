@@ -42,7 +42,15 @@ def swarm_returns(s, d):
 
 
 def lags(s, d):
-    return s.createDataFrame([("mom_lag5",), ("vol",), ("rate_lag21",), ("vol_lag1",)], "feature string")
+    """Feature names from the parts' types and sizes: some with a lag."""
+    base = F.when(F.col("p_size") % 2 == 0, "mom").when(F.col("p_size") % 3 == 0, "vol").otherwise(F.lower("p_type"))
+    name = F.when(F.col("p_size") < 40, F.concat(base, F.lit("_lag"), "p_size")).otherwise(base)
+    return table(s, d, "part").select(name.alias("feature"))
+
+
+LAGS = """fe as (select p_size, case when p_size % 2 = 0 then 'mom' when p_size % 3 = 0 then 'vol' else lower(p_type) end base from part),
+fn as (select base || case when p_size < 40 then '_lag' || p_size else '' end feature,
+  case base when 'mom' then 'momentum' when 'vol' then 'volatility' else base end || case when p_size < 40 then ' (lag ' || p_size || ')' else '' end shown from fe)"""
 
 
 def register_all() -> None:
@@ -61,7 +69,8 @@ def register_all() -> None:
     case = " ".join(f"when asset in ({', '.join(map(repr, a))}) then '{n}'" for n, a in CLASSES.items())
     classes = lambda s, d: prices(s, d).groupBy(rs.class_of(F.col("asset"), CLASSES).alias("class")).agg(count(), F.countDistinct("asset").alias("assets"))
     register("asset_classes", classes, f"select case {case} else 'Unknown' end as class, count(*) n, count(distinct asset) assets from prices group by 1")
-    register("feature_names", lambda s, d: lags(s, d).select("feature", rs.display_name(F.col("feature"), NAMES).alias("shown")), "select * from (values ('mom_lag5', 'momentum (lag 5)'), ('vol', 'volatility'), ('rate_lag21', 'rate (lag 21)'), ('vol_lag1', 'volatility (lag 1)')) v(feature, shown)")
+    shown = lambda s, d: lags(s, d).groupBy("feature", rs.display_name(F.col("feature"), NAMES).alias("shown")).agg(count())
+    register("feature_names", shown, f"with {LAGS} select feature, shown, count(*) n from fn group by 1, 2")
 
     def profiles(s, d):
         stance, bio = rs.persona(F.col("labels")[1], F.col("name"), PERSONAS, ("neutral", "{} watches."))
@@ -93,26 +102,6 @@ def register_all() -> None:
     own = "select 'agents' strategy, dt, min(g) - sum(abs(w - w * (1 + r) / (1 + g))) * 10 / 1e4 r, sum(abs(w - w * (1 + r) / (1 + g))) turnover from j join gs using (dt) group by dt"
     register("swarm_only_backtest", swarm_returns, f"with {AG}, {up}, {sp}, {j} {own}", "r turnover")
 
-    def regimes(s, d):
-        level = macro(s, d).groupBy("dt").agg(F.avg("value").alias("level"))
-        w = Window.orderBy("dt")  # over dates: a calendar
-        level = level.withColumns({"spread": F.col("level") - F.lag("level").over(w), "high": F.lit(180000.0)})
-        state = level.select("dt", rs.regime(F.col("level"), F.col("high"), F.col("spread")).alias("state"))
-        mom = rt.momentum(prices(s, d), (21,)).select("dt", "asset", "mom_21d").where(F.col("mom_21d").isNotNull())
-        return mom.join(state, "dt").select("dt", "asset", "state", rs.regime_signal(F.col("state"), F.col("mom_21d")).alias("signal"))
-
-    lv = "lv as (select dt, avg(value) level from macro group by 1), st as (select dt, case when level > 180000 then 'crisis' when level < lag(level) over (order by dt) then 'caution' else 'calm' end state from lv)"
-    mo = f"mo as (select * from (select dt, asset, px / lag(px, 21) over ({W}) - 1 m from prices) where m is not null)"
-    register("regime_agent", regimes, f"with {lv}, {mo} select dt, asset, state, case state when 'crisis' then -m when 'caution' then m / 2 else m end signal from mo join st using (dt)", "signal")
-
-    def adaptive(s, d):
-        w = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
-        got = returns(s, d).withColumn("skill", F.avg("r").over(w) * 100)
-        return got.select("asset", "dt", rs.adaptive_confidence(F.col("skill")).alias("confidence"))
-
-    skill = f"coalesce(avg(r) over ({W} rows between unbounded preceding and 1 preceding) * 100, 0)"
-    register("adaptive_agent", adaptive, f"select asset, dt, greatest(0.1, least(0.9, 0.5 + {skill})) confidence from rets", "confidence")
-
     def optimised(s, d):
         r = returns(s, d)
         p = sd.walk_forward(labelled(s, d), FEATURES, horizon=21)

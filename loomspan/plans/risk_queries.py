@@ -102,20 +102,6 @@ def register_all() -> None:
     register("significance_stars", lambda s, d: st.jarque_bera(returns(s, d)).select("asset", st.stars(F.col("p_value")).alias("stars")), f"with q as (select asset, exp(-count(r) / 12.0 * (({SKEW})**2 + ({KURT})**2 / 4)) p from rets group by 1) select asset, case when p < 0.01 then '***' when p < 0.05 then '**' when p < 0.1 then '*' else '' end stars from q")
     register("stationarity_report", lambda s, d: st.stationarity_report(prices(s, d)))
     register("pair_tests", lambda s, d: st.pair_tests(wd.pairs(returns(s, d))))
-    register("sharpe_difference", lambda s, d: st.sharpe_difference(wd.pairs(returns(s, d))))
-    register("bootstrap_interval", lambda s, d: st.interval(st.block_bootstrap(returns(s, d), reps=1000, block=1)))
-    register("block_bootstrap_sharpe", lambda s, d: st.interval(st.block_bootstrap(returns(s, d), reps=1000)))
-    register("circular_bootstrap", lambda s, d: st.interval(st.block_bootstrap(returns(s, d), "total", reps=500, circular=True)))
-    register("monte_carlo_stress", lambda s, d: st.monte_carlo_stress(returns(s, d), reps=200))
-
-    def factor_rows(s, d):
-        r = returns(s, d)
-        wide = r.groupBy("dt").pivot("asset", ["ECONOMY", "SMALL", "LARGE"]).agg(F.first("r")).select("dt", "ECONOMY", (F.col("SMALL") - F.col("LARGE")).alias("SMB"))
-        return r.join(wide, "dt")
-
-    register("factor_regression", lambda s, d: st.factor_regression(factor_rows(s, d), ["SMB", "ECONOMY"]))
-    vifs = lambda s, d: (lambda names: s.createDataFrame(list(zip(names, map(float, st.inflation(st.gram(returns(s, d), names, "r"))), strict=True)), "asset string, vif double"))(["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
-    register("variance_inflation", vifs)
 
     # Covariances and weights.
     register("covariance_matrix", lambda s, d: al.covariance_long(returns(s, d)), f"with {COV} select * from cov", "cov")

@@ -13,7 +13,7 @@ from loomspan.operators import forecasts as fc
 from loomspan.operators import metrics as mt
 from loomspan.operators import panels as pn
 from loomspan.operators import studies as sd
-from loomspan.plans.model_queries import FEATURES, labelled, oof
+from loomspan.plans.model_queries import FEATURES, features, labelled, oof
 from loomspan.plans.panel_queries import AGR, NET, THREE, agent_signals
 from loomspan.plans.risk_queries import PANEL, arithmetic_sql, named_weights, panel
 from loomspan.plans.series_queries import W
@@ -29,7 +29,6 @@ def rates(s, d):
 def register_all() -> None:
     ex = "with rt as (select dt, value / 100000 rate from macro where series = '3-MEDIUM'), d as (select distinct dt from rets), j as (select d.dt, rate from d left join rt using (dt)), k as (select dt, coalesce(last_value(rate ignore nulls) over (order by dt), first_value(rate ignore nulls) over (order by dt rows between current row and unbounded following)) rate from j) select asset, dt, r, r - rate / 100 / 252 excess from rets join k using (dt)"
     register("excess_returns", lambda s, d: sd.excess_returns(returns(s, d), rates(s, d)), ex, "r excess")
-    register("rolling_rank_ic", lambda s, d: sd.rolling_rank_ic(panel(s, d)))
     lead = f"with m as (select series, date_trunc('month', dt) mo, arg_max(value, dt) v from macro group by 1, 2), c as (select *, v / lag(v) over (partition by series order by mo) - 1 chg from m), r as (select asset, date_trunc('month', dt) mo, sum(r) s from rets group by 1, 2), a as (select *, lead(s) over (partition by asset order by mo) ahead from r) select asset, series, corr(chg, ahead) corr, count(*) n from a join c using (mo) where chg is not null and ahead is not null group by 1, 2"
     register("lead_correlation", lambda s, d: sd.lead_correlation(returns(s, d), macro(s, d)), lead, "corr")
     register("quality_report", lambda s, d: sd.quality_report(prices(s, d), ["asset", "dt"], ["px"]), "select 'px' as column, count(*) filter (px is null) nulls, count(*) filter (isinf(px)) infinite, count(*) filter (px = 0) zeros, min(px) = max(px) constant, count(*) as rows from prices")
@@ -58,9 +57,12 @@ def register_all() -> None:
     register("random_search", lambda s, d: sd.random_search(labelled(s, d), pn.expanding_splits(s, 1500, 3, 300, 63), FEATURES, grid))
     register("ic_weighted_ensemble", lambda s, d: pn.weighted_ensemble(o := oof(s, d), sd.ic_weights(o).select([F.col(c).alias(c) for c in ("model", "asset", "weight")])))
     register("prediction_intervals", lambda s, d: sd.intervals(oof(s, d, ("ridge",))))
-    register("walk_forward_forecasts", lambda s, d: sd.walk_forward(labelled(s, d), FEATURES))
     register("forecast_backtest", lambda s, d: mt.arithmetic(sd.forecast_backtest(labelled(s, d), prices(s, d), FEATURES).select("strategy", "dt", "r"), "strategy"))
-    register("integrated_backtest", lambda s, d: mt.arithmetic(sd.forecast_backtest(labelled(s, d), prices(s, d), FEATURES, agreement=ag.agreement(agent_signals(s, d))).select("strategy", "dt", "r"), "strategy"))
+
+    def integrated(s, d):
+        return sd.integrated_targets(pn.label_table(features(s, d), prices(s, d)), returns(s, d), FEATURES, ag.agreement(agent_signals(s, d)))
+
+    register("integrated_backtest", lambda s, d: mt.arithmetic(bt.strategy_returns(prices(s, d), integrated(s, d)).select("strategy", "dt", "r"), "strategy"))
     register("rank_consensus", lambda s, d: sd.rank_consensus(fc.importance(labelled(s, d), "ridge", FEATURES).select(F.col("asset").alias("model"), "feature", "value")))
 
     def strategies(s, d):
