@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,27 +31,32 @@ SEPARATORS = ["。", "！", "？", ".\n", "!\n", "?\n", "\n\n", ". ", "! ", "? "
 
 
 def chunks(text: str | None, size: int = DEFAULT.chunk[0], overlap: int = DEFAULT.chunk[1]) -> Iterator[tuple[int, str]]:
-    """(number, chunk). A chunk ends after the last separator of the first kind that stands beyond 30 % of its size; the next one
-    starts `overlap` characters before that end. Blank chunks go."""
-    if not text or not text.strip():
-        return
-    at, k = 0, 0
+    """(number, chunk). A text of up to `size` characters is one chunk as it is. A chunk of a longer one ends after the last separator of
+    the first kind that stands beyond 30 % of its size and is stripped; the next one starts `overlap` characters before that end.
+    Blank chunks go."""
     if overlap >= size:
         raise ValueError("overlap must be below size")
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            for mark in SEPARATORS:
-                found = text.rfind(mark, at, end)
-                if found - at > size * 0.3:
-                    end = found + len(mark)
-                    break
-        if part := text[at:end].strip():
-            yield k, part
-            k += 1
-        if end >= len(text):
+    if not text or not text.strip():
+        return
+    if len(text) <= size:
+        yield 0, text
+        return
+    # All places of each separator once, then the last one inside each chunk by bisection.
+    places = [(len(mark), [m.start() for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in SEPARATORS if mark in text]
+    number, begin = 0, 0
+    while True:
+        limit = begin + size
+        if limit >= len(text):
+            limit = len(text)
+        else:
+            last = ((starts[j - 1], width) for width, starts in places if (j := bisect_right(starts, limit - width)))
+            limit = next((start + width for start, width in last if start - begin > size * 0.3), limit)
+        if part := text[begin:limit].strip():
+            yield number, part
+            number += 1
+        if limit == len(text):
             return
-        at = max(end - overlap, at + 1)
+        begin = max(limit - overlap, begin + 1)
 
 
 @udtf(returnType="chunk_no int, chunk string")
@@ -67,16 +74,16 @@ def register(spark: SparkSession) -> None:
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DEFAULT.chunk[0], overlap: int = DEFAULT.chunk[1]) -> DataFrame:
     """(id, chunk_no, chunk): Arrow batches, one output batch for each input batch of rows."""
-    import pandas as pd
+    import pyarrow as pa
 
     def run(batches):
-        for pdf in batches:
-            for i, t in zip(pdf[id_col], pdf[text_col], strict=True):
-                if rows := list(chunks(t, size, overlap)):
-                    yield pd.DataFrame({id_col: i, "chunk_no": [a for a, _ in rows], "chunk": [b for _, b in rows]})
+        for b in batches:
+            rows = [(i, k, part) for i, t in enumerate(b.column(1)) for k, part in chunks(t.as_py(), size, overlap)]
+            taken = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[id_col, "chunk_no", "chunk"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_no int, chunk string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, chunk_no int, chunk string")
 
 
 def repaired(text: str | None) -> str | None:

@@ -36,6 +36,22 @@ select doc_id, sha256(regexp_replace(t, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '
 """
 
 
+#: Chunks of 500 characters with 50 shared ones: a chunk a step, of all documents at once.
+_ENDS = ["。", "！", "？", ".\n", "!\n", "?\n", "\n\n", ". ", "! ", "? "]
+_QUOTED = [", ".join(f"'{c}'" if c != "\n" else "chr(10)" for c in e) for e in _ENDS]
+_FOUND = [f"strpos(reverse(w), reverse(concat({q})))" for q in _QUOTED]
+_LAST = [f"case when {f} > 0 then length(w) - {f} - {len(e)} + 1 else -1 end" for f, e in zip(_FOUND, _ENDS, strict=True)]
+_BREAKS = " ".join(f"when {x} > 150 then {x} + {len(e)}" for x, e in zip(_LAST, _ENDS, strict=True))
+CHUNKS = f"""with recursive d as (select doc_id, text t, length(text) n from documents where regexp_matches(text, '\\S')),
+c as (
+  select doc_id, 0::bigint k, 0::bigint pos, case when n <= 500 then n else case {_BREAKS.replace('(w)', '(left(t, 500))')} else 500 end end::bigint till from d
+  union all
+  select doc_id, k + 1, pos, pos + case when pos + 500 >= n then n - pos else case {_BREAKS} else 500 end end
+  from (select c.doc_id, k, n, greatest(till - 50, c.pos + 1) pos, substr(t, greatest(till - 50, c.pos + 1) + 1, 500) w from c join d using (doc_id) where till < n)),
+p as (select doc_id, k, case when n <= 500 then t else regexp_replace(substr(t, pos + 1, till - pos), '^\\s+|\\s+$', '', 'g') end part from c join d using (doc_id))
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int chunk_no, sha256(part) digest from p where part <> ''"""
+
+
 def register_all() -> None:
     names = "case action_type when 'follow' then 'FOLLOW' when 'mute' then 'MUTE' else upper(action_type) end"
     register("action_names", lambda s, d: actions(s, d).select("event_id", ac.named(F.col("action_type")).alias("action")), f"select event_id, {names} action from actions")
@@ -83,7 +99,7 @@ def register_all() -> None:
     # Text.
     register("normalised_text", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(tx.normalised(F.col("text")), 256).alias("digest")), NORMAL)
     register("text_statistics", lambda s, d: tx.statistics(table(s, d, "documents")).select("doc_id", "chars", "lines", "words"), r"select doc_id, length(text) chars, length(text) - length(replace(text, chr(10), '')) + 1 as lines, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) words from documents")
-    register("text_chunks", lambda s, d: tx.chunked(table(s, d, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("digest")))
+    register("text_chunks", lambda s, d: tx.chunked(table(s, d, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("digest")), CHUNKS)
     register("joined_documents", lambda s, d: tx.documents_joined(nodes(s, d).select(F.col("labels")[1].alias("kind"), "id", "name"), "kind", "id", "name").select("kind", F.sha2("joined", 256).alias("digest"), F.length("joined").cast("long").alias("chars")), "with q as (select labels[2] kind, '=== doc ' || row_number() over (partition by labels[2] order by id) || ': ' || id || ' ===' || chr(10) || name t, row_number() over (partition by labels[2] order by id) i from nodes) select kind, sha256(string_agg(t, chr(10) || chr(10) order by i)) digest, length(string_agg(t, chr(10) || chr(10) order by i)) chars from q group by 1")
     # Names as experiments have them, from the parts' types and sizes.
     kind = F.element_at(F.array(*map(F.lit, ["lgbm", "xgb", "ridge", "plain", "svr"])), (F.col("p_size") % 5 + 1).cast("int"))
