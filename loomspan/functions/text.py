@@ -151,7 +151,7 @@ def gender(c: Column) -> Column:
 def username(name: Column) -> Column:
     """Lower case, blanks as _, letters, digits and _ only, and three digits from a hash of the name."""
     base = F.regexp_replace(F.regexp_replace(F.lower(name), " ", "_"), "[^a-z0-9_]", "")
-    return F.concat(base, F.lit("_"), F.lpad((F.pmod(F.xxhash64(name), F.lit(900)) + 100).cast("string"), 3, "0"))
+    return F.concat(base, F.lit("_"), (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 900 + 100).cast("string"))
 
 
 def documents_joined(docs: DataFrame, by: str, name: str = "doc_id", text: str = "text") -> DataFrame:

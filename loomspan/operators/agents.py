@@ -83,7 +83,7 @@ def distribution(rows: DataFrame, key: str, value: str) -> DataFrame:
 def active_agents(agents: DataFrame, hour: int, k: int, seed: int = 0) -> DataFrame:
     """agents: (agent_id, hours, rate). Those awake at the hour who pass a hashed draw at rate times the hour's factor; k at most."""
     factor = 1.5 if 18 <= hour <= 22 else 0.3 if hour < 6 else 1.0
-    draw = F.pmod(F.xxhash64("agent_id", F.lit(hour), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("agent_id").cast("string"), F.lit(str(hour)), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / 2.0**32
     awake = agents.where(F.array_contains("hours", hour)).withColumn("_d", draw).where(F.col("_d") < F.col("rate") * factor)
     return awake.orderBy("_d", "agent_id").limit(k).drop("_d")
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators.metrics import average_rank
@@ -225,7 +225,7 @@ def stars(p):
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
 
 
-def break_even(costs: DataFrame, benchmark: float) -> DataFrame:
+def break_even(costs: DataFrame, benchmark: float | Column) -> DataFrame:
     """costs: bps, sharpe. The level at which sharpe first falls through the benchmark, linearly between two rows."""
     w = Window.orderBy("bps")
     out = costs.withColumns({"_b": F.lead("bps").over(w), "_s": F.lead("sharpe").over(w)})

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import DEFAULT
+from loomspan.functions.special import normal_two_sided
 from loomspan.operators import allocation as al
 from loomspan.operators import backtest as bt
 from loomspan.operators import forecasts as fc
@@ -48,12 +49,20 @@ def quality_report(df: DataFrame, key: list[str], values: list[str]) -> DataFram
     return df.agg(F.array(*[one(c) for c in values]).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
-def normality(returns: DataFrame, value: str = "r") -> DataFrame:
-    """Kolmogorov-Smirnov statistic against the normal distribution with the sample's mean and deviation."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-
-    mean, std = returns.agg(F.avg(value), F.stddev_samp(value)).first()
-    return KolmogorovSmirnovTest.test(returns.select(F.col(value).cast("double").alias("x")), "x", "norm", float(mean), float(std)).select(F.col("pValue").alias("p_value"), "statistic")
+def normality(returns: DataFrame, value: str = "r", key: str = "asset") -> DataFrame:
+    """(key, n, statistic, p_value): the Kolmogorov-Smirnov distance of a key's values to the normal distribution with their mean and
+    deviation, and its chance by the limit distribution with Stephens' correction for n."""
+    w = Window.partitionBy(key)
+    z = (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
+    placed = returns.select(key, z.alias("_z"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count(F.lit(1)).over(w).alias("n"))
+    tail = normal_two_sided(F.col("_z")) / 2
+    below = placed.withColumn("_f", F.when(F.col("_z") > 0, 1 - tail).otherwise(tail))
+    apart = F.greatest(F.col("_i") / F.col("n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("n"))
+    out = below.groupBy(key, "n").agg(F.max(apart).alias("statistic"))
+    root = F.sqrt("n")
+    scaled = (root + 0.12 + 0.11 / root) * F.col("statistic")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * scaled * scaled))
+    return out.select(key, "n", "statistic", F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)).alias("p_value"))
 
 
 def residual_diagnostics(panel: DataFrame, key: str = "asset") -> DataFrame:

@@ -32,7 +32,6 @@ def register_all() -> None:
     lead = f"with m as (select series, date_trunc('month', dt) mo, arg_max(value, dt) v from macro group by 1, 2), c as (select *, v / lag(v) over (partition by series order by mo) - 1 chg from m), r as (select asset, date_trunc('month', dt) mo, sum(r) s from rets group by 1, 2), a as (select *, lead(s) over (partition by asset order by mo) ahead from r) select asset, series, corr(chg, ahead) corr, count(*) n from a join c using (mo) where chg is not null and ahead is not null group by 1, 2"
     register("lead_correlation", lambda s, d: sd.lead_correlation(returns(s, d), macro(s, d)), lead, "corr")
     register("quality_report", lambda s, d: sd.quality_report(prices(s, d), ["asset", "dt"], ["px"]), "select 'px' as column, count(*) filter (px is null) nulls, count(*) filter (isinf(px)) infinite, count(*) filter (px = 0) zeros, min(px) = max(px) constant, count(*) as rows from prices")
-    register("normality_test", lambda s, d: sd.normality(returns(s, d)))
     from loomspan.plans.risk_queries import KURT, SKEW
 
     k = lambda q: q.replace("(r)", "(e)").replace("r*", "e*").replace("*r)", "*e)").replace("(r", "(e")
@@ -49,8 +48,6 @@ def register_all() -> None:
     register("forecast_comparison", lambda s, d: sd.forecast_comparison(oof(s, d), "ridge"))
     register("random_portfolios", lambda s, d: sd.random_portfolios(s, ASSETS, *sd.moments(returns(s, d), ASSETS)).select("id", "ret", "vol", "sharpe"))
     register("efficient_frontier", lambda s, d: sd.frontier(s, *sd.moments(returns(s, d), ASSETS)))
-    mu = lambda r: r.groupBy("asset").agg((F.avg("r") * 252).alias("mu"))
-    register("strategy_table", lambda s, d: sd.strategy_table(named_weights(r := returns(s, d)), mu(r), al.covariance_long(r)))
     vw = f"with {PANEL}, l as (select asset, arg_max(p, dt) q from panel group by 1) select asset, q, (1 - 0.6::double) / 0.6 omega from l"
     register("forecast_views", lambda s, d: sd.views(panel(s, d), s.createDataFrame([(a, 0.6) for a in ASSETS], "asset string, confidence double")), vw, "q omega")
     grid = [{"model": "linear", "l2": x} for x in (0.1, 1.0, 10.0)] + [{"model": "boosted", "trees": n, "depth": 2} for n in (10, 30)]
