@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.operators.linear import cell, products
 
@@ -27,7 +28,7 @@ def standardised(train: DataFrame, features: list[str], by: list[str]) -> DataFr
     return out.select(*by, "n", "mean", "std", corr.alias("corr"))
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _principal(corr: pd.Series) -> pd.Series:
     """Eigenvectors of small matrices by falling value, each with its value in front and its largest entry positive."""
 

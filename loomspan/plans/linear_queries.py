@@ -22,7 +22,7 @@ from loomspan.plans.model_queries import FEATURES, labelled
 from loomspan.plans.panel_queries import CAL, EQUAL, HELD, RB, equal
 from loomspan.plans.risk_queries import PAIRS, PANEL, panel
 from loomspan.plans.series_queries import W
-from loomspan.plans.sql_parts import boot_sql, gram_sql, interval_sql, normal_tail_sql, sweep_sql, t_tail_sql
+from loomspan.plans.sql_parts import LABEL, adf_sql, boot_sql, f_tail_sql, gram_sql, interval_sql, list_gram_sql, normal_tail_sql, sweep_sql, t_tail_sql
 from loomspan.plans.views import macro, market, prices, returns
 
 ASSETS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -129,6 +129,47 @@ select asset, dt, case when own > 100 then o0 + o1 * mom_21d + o2 * vol_21d else
     register("regime_conditional_forecasts", lambda s, d: ln.walk_forward(in_states(s, d), ["mom_21d", "vol_21d"], horizon=5, l2=0.0, state="high"), sql, "p")
 
 
+# ---- tests of series --------------------------------------------------------------------------------------------------------
+
+LEVELS = f"sr as materialized (select asset, row_number() over ({W}) - 1 j, px x from prices)"
+KPSS = """
+ke as materialized (select asset, j, x - avg(x) over (partition by asset) e, count(*) over (partition by asset) n from sr),
+k0 as (select asset, min(n) n, sum(e * e) e2 from ke group by 1),
+kc as (select p.asset, p.j - q.j k, sum(p.e * q.e) c from ke p join ke q on q.asset = p.asset and p.j - q.j between 1 and floor(p.n ** (2 / 9.0)) group by 1, 2),
+kl as materialized (select asset, n, e2, floor(1.1447 * ((sum(k * c / (n / 2)) / (e2 / n + sum(c / (n / 2)))) ** 2) ** (1 / 3.0) * n ** (1 / 3.0))::bigint l from kc join k0 using (asset) group by asset, n, e2),
+kv as (select p.asset, p.j - q.j k, sum(p.e * q.e) c from ke p join kl using (asset) join ke q on q.asset = p.asset and p.j - q.j between 1 and least(l, p.n - 1) group by 1, 2),
+kw as (select asset, n, e2 / n + coalesce(sum(2 * (1 - k / (l + 1.0)) * c / n), 0) v from kl left join kv using (asset) group by asset, n, e2),
+ku as (select asset, sum(t * t) s from (select asset, sum(e) over (partition by asset order by j) t from ke) group by 1),
+kp as (select asset, s / (n * n * v) kpss from kw join ku using (asset))""".strip()
+GRANGER = f"""
+gs as materialized (select a, b, row_number() over (partition by a, b order by dt) - 1 t, count(*) over (partition by a, b) len, ra, rb from pairs),
+gk as (select a, b, unnest(range(1, 6)) k, min(len) len from gs group by a, b),
+gr as materialized (select gs.*, k, 2 * k + 1 upto from gs join gk using (a, b) where t >= k and gk.len - k > 3 * k + 1),
+gl as materialized (select a, b, k, upto, t, lag_, t - lag_ at_ from gr, (select unnest(range(1, 6)) lag_) where lag_ <= k),
+gx as materialized (
+  select a, b, k, upto, t as row, unnest([0, {LABEL}]) i, unnest([1.0, rb]) v from gr
+  union all select a, b, k, upto, t, lag_, rb from gl join (select a, b, t at_, rb, ra from gs) using (a, b, at_)
+  union all select a, b, k, upto, t, k + lag_, ra from gl join (select a, b, t at_, rb, ra from gs) using (a, b, at_)),
+{list_gram_sql('gg', 'gx', 'a, b, k, upto')},
+{sweep_sql('gw', 'gg', 'a, b, k, upto', 0, 'upto')},
+gt as (select a, b, k, max(v) filter (step = 1 + k) small, max(v) filter (step = 1 + 2 * k) full_, min(len) - 3 * k - 1 df from gw_steps join gk using (a, b, k) where i = {LABEL} and j = {LABEL} group by a, b, k),
+gf as (select a, b, k, df, (small - full_) / k / (full_ / df) f from gt),
+gp as (select a, b, k, f, {f_tail_sql('f', 'k', 'df')} p from gf),
+gb as (select a, b, arg_min(f, p) f, arg_min(k, p) as lag, min(p) p_value from gp group by 1, 2),
+cu as materialized (select a, b, t j, sum(ra) over (partition by a, b order by t) x, sum(rb) over (partition by a, b order by t) y from gs),
+cl as (select a, b, regr_slope(y, x) slope, regr_intercept(y, x) base from cu group by 1, 2),
+ce as materialized (select a, b, j, y - base - slope * x x from cu join cl using (a, b))""".strip()
+
+
+def series_tests() -> None:
+    sql = f"""with recursive {LEVELS}, {KPSS}, {adf_sql('u', 'sr', 'asset')}
+select asset, n, adf, lags, adf < -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3 adf_stationary, kpss, kpss < 0.463 kpss_stationary from u_adf join kp using (asset)"""
+    register("stationarity_report", lambda s, d: st.stationarity_report(prices(s, d)), sql, "adf kpss")
+    sql = f"""with recursive {PAIRS}, {GRANGER}, {adf_sql('c', 'ce', 'a, b')}
+select a, b, f, lag, p_value, adf coint, adf < -3.33613 - 6.1101 / n - 6.823 / n ** 2 cointegrated from gb join c_adf using (a, b)"""
+    register("pair_tests", lambda s, d: st.pair_tests(wd.pairs(returns(s, d))), sql, "f p_value coint")
+
+
 # ---- bootstraps and ranks -------------------------------------------------------------------------------------------------
 
 
@@ -313,5 +354,5 @@ ad as (
 
 
 def register_all() -> None:
-    for part in (regressions, resamples, transforms, pluggable, agents):
+    for part in (regressions, series_tests, resamples, transforms, pluggable, agents):
         part()

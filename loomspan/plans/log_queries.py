@@ -101,10 +101,12 @@ def register_all() -> None:
     register("text_statistics", lambda s, d: tx.statistics(table(s, d, "documents")).select("doc_id", "chars", "lines", "words"), r"select doc_id, length(text) chars, length(text) - length(replace(text, chr(10), '')) + 1 as lines, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) words from documents")
     register("text_chunks", lambda s, d: tx.chunked(table(s, d, "documents")).select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("digest")), CHUNKS)
     register("joined_documents", lambda s, d: tx.documents_joined(nodes(s, d).select(F.col("labels")[1].alias("kind"), "id", "name"), "kind", "id", "name").select("kind", F.sha2("joined", 256).alias("digest"), F.length("joined").cast("long").alias("chars")), "with q as (select labels[2] kind, '=== doc ' || row_number() over (partition by labels[2] order by id) || ': ' || id || ' ===' || chr(10) || name t, row_number() over (partition by labels[2] order by id) i from nodes) select kind, sha256(string_agg(t, chr(10) || chr(10) order by i)) digest, length(string_agg(t, chr(10) || chr(10) order by i)) chars from q group by 1")
-    # Names as experiments have them, from the parts' types and sizes.
-    kind = F.element_at(F.array(*map(F.lit, ["lgbm", "xgb", "ridge", "plain", "svr"])), (F.col("p_size") % 5 + 1).cast("int"))
-    tail = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("_maxw"), "p_size", F.lit("_tc"), F.col("p_size") % 7)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("_lambda"), "p_size")).otherwise("")
-    names = lambda s, d: table(s, d, "part").select(F.concat("p_type", F.lit("_"), kind, tail).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    def names(s, d):
+        """Names as experiments have them, from the parts' types and sizes."""
+        kind = F.element_at(F.array(*map(F.lit, ["lgbm", "xgb", "ridge", "plain", "svr"])), (F.col("p_size") % 5 + 1).cast("int"))
+        tail = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("_maxw"), "p_size", F.lit("_tc"), F.col("p_size") % 7)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("_lambda"), "p_size")).otherwise("")
+        return table(s, d, "part").select(F.concat("p_type", F.lit("_"), kind, tail).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
     configs = lambda s, d: (lambda c: names(s, d).select("name", "n", *[v.alias(k) for k, v in c.items()]))(tx.experiment_config(F.col("name")))
     number = lambda pattern, other: f"coalesce(try_cast(nullif(regexp_extract(name, '{pattern}', 1), '') as double), {other})"
     sql = rf"""with e as (select p_type || '_' || ['lgbm', 'xgb', 'ridge', 'plain', 'svr'][p_size % 5 + 1]

@@ -100,8 +100,6 @@ def register_all() -> None:
     dm = f"with {PAIRS}, d as (select a, b, dt, ra * ra - rb * rb d from pairs), c as (select *, d - avg(d) over (partition by a, b) x from d), l as (select *, x * lag(x) over (partition by a, b order by dt) c1 from c) select a, b, avg(d) / sqrt((sum(x * x) / count(d) + 2 * sum(c1) / count(d)) / count(d)) dm, count(d) n from l group by 1, 2"
     register("diebold_mariano", lambda s, d: st.diebold_mariano(wd.pairs(returns(s, d)), 2), dm, "dm")
     register("significance_stars", lambda s, d: st.jarque_bera(returns(s, d)).select("asset", st.stars(F.col("p_value")).alias("stars")), f"with q as (select asset, exp(-count(r) / 12.0 * (({SKEW})**2 + ({KURT})**2 / 4)) p from rets group by 1) select asset, case when p < 0.01 then '***' when p < 0.05 then '**' when p < 0.1 then '*' else '' end stars from q")
-    register("stationarity_report", lambda s, d: st.stationarity_report(prices(s, d)))
-    register("pair_tests", lambda s, d: st.pair_tests(wd.pairs(returns(s, d))))
 
     # Covariances and weights.
     register("covariance_matrix", lambda s, d: al.covariance_long(returns(s, d)), f"with {COV} select * from cov", "cov")

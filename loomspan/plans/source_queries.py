@@ -107,12 +107,12 @@ select agent_id from q where draw < rate * 1.5 order by draw, agent_id limit 40"
 select size, array_to_string(list_concat(list_filter(types, lambda x: x not in ('Person', 'Customer'))[1:1], ['Person', 'Customer']), '|') types from t"""
     register("entity_types", lambda s, d: kinds(s, d).select(F.col("size").cast("long").alias("size"), F.array_join(gr.valid_types(F.col("types"), ("Person", "Customer"), 3), "|").alias("types")), sql)
 
-    tilt = F.when(F.col("asset") == "PROMO", 0.02).otherwise(0.01)
+    tilt = lambda: F.when(F.col("asset") == "PROMO", 0.02).otherwise(0.01)
     sql = """with lv as (select dt, value / 7500 as level from macro where series = '1-URGENT'),
 sp as (select h.dt, (h.value - m.value) / 50000 spread from macro h join macro m on m.dt = h.dt and h.series = '2-HIGH' and m.series = '3-MEDIUM'),
 q as (select p.dt, p.asset, lv.level, sp.spread, case when p.asset = 'PROMO' then 0.02 else 0.01 end tilt from prices p asof left join lv on p.dt >= lv.dt asof left join sp on p.dt >= sp.dt)
 select dt, asset, case when level > 22 or spread < 0 then -tilt else tilt end signal from q"""
-    register("macro_agent", lambda s, d: market_level(s, d).select("dt", "asset", sd.macro_signal(F.col("level"), F.col("spread"), 22.0, tilt).alias("signal")), sql, "signal")
+    register("macro_agent", lambda s, d: market_level(s, d).select("dt", "asset", sd.macro_signal(F.col("level"), F.col("spread"), 22.0, tilt()).alias("signal")), sql, "signal")
 
     def crossing(s, d):
         net = bt.cost_sweep(bt.strategy_returns(*equal(s, d)))
