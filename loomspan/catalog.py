@@ -40,7 +40,7 @@ def register(name: str, query: Query, sql: str | None = None, doubles: str = "")
 def load() -> None:
     """Registers every query once."""
     if not QUERIES:
-        from loomspan.plans import linear_queries, log_queries, model_queries, panel_queries, research_queries, risk_queries, series_queries, source_queries, study_queries
+        from loomspan.plans import linear_queries, log_queries, model_queries, panel_queries, pooled_queries, research_queries, risk_queries, series_queries, source_queries, study_queries
 
-        for module in (series_queries, risk_queries, panel_queries, log_queries, model_queries, study_queries, research_queries, linear_queries, source_queries):
+        for module in (series_queries, risk_queries, panel_queries, log_queries, model_queries, study_queries, research_queries, linear_queries, source_queries, pooled_queries):
             module.register_all()
