@@ -253,12 +253,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     with_workers(spark)
     bench = benchmark.select(F.col(item_col).alias("i"), text_of().alias("t")).where(F.length("t") > 0)
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
     tables, out, old = Tables(spark), docs, None
-    for k in range(blocks):
-        items = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
-        out = _pass(out, text_col, items, window, k > 0)
-        if k < blocks - 1:
+    blocks = _blocks(bench, size, tables)
+    for k, block in enumerate(blocks):
+        out = _pass(out, text_col, [tuple(r) for r in block.collect()], window, k > 0)
+        if k < len(blocks) - 1:
             out = tables.keep(out, f"block{k}")
             if old is not None:
                 tables.drop(old)
@@ -266,6 +265,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return out
 
 
+def _blocks(bench: DataFrame, size: int, tables: Tables) -> list[DataFrame]:
+    """The benchmark in parts of about BLOCK_BYTES: rows are dealt to bins by their place in a written table, so that equal items part,
+    and bins are packed by their measured bytes. Only an item that is longer than that makes a larger part."""
+    if size <= BLOCK_BYTES:
+        return [bench]
+    bins = 8 * math.ceil(size / BLOCK_BYTES)
+    kept = tables.keep(bench.withColumn("b", F.pmod(F.xxhash64("i", "t", F.monotonically_increasing_id()), F.lit(bins))), "benchmark")
+    sizes = kept.groupBy("b").agg(F.sum(F.octet_length("t")).alias("s")).orderBy("b").collect()
+    packs, room = [], 0
+    for r in sizes:
+        if not packs or room + r["s"] > BLOCK_BYTES:
+            packs, room = [*packs, []], 0
+        packs[-1].append(r["b"])
+        room += r["s"]
+    return [kept.where(F.col("b").isin(p)).select("i", "t") for p in packs]
+
+
 def judged(found: DataFrame) -> DataFrame:
     """Adds n_words, n_hit, n_items and contaminated, by the contract's rule, to find_contamination's rows."""
     found = make_way(found, "n_words", "n_hit", "n_items", "contaminated")

@@ -114,10 +114,31 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     return merged.where(F.col("tpl").isNull() | (F.col("cover") >= COVER)).drop("_run", "_part", "_hits", "grams")
 
 
+SPAN = "struct<cover:double,words:bigint,label:string,start:bigint,end:bigint>"
+
+
+def overlapping(found: Column) -> Column:
+    """Spans in groups that no span leaves: in order of their starts, a span that begins at or behind all ends before it opens one."""
+    begin = F.struct(F.lit(0).cast("long").alias("till"), F.array().cast(f"array<{SPAN}>").alias("open"), F.array().cast(f"array<array<{SPAN}>>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = x["start"] >= s["till"]
+        return F.struct(
+            F.greatest(s["till"], x["end"]).alias("till"),
+            F.when(fresh, F.array(x)).otherwise(F.concat(s["open"], F.array(x))).alias("open"),
+            F.when(fresh & (F.size(s["open"]) > 0), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+        )
+
+    placed = F.transform(found, lambda x: F.struct(x["start"].alias("at"), x.alias("x")))
+    ordered = F.transform(F.array_sort(placed, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda p: p["x"])
+    return F.aggregate(ordered, begin, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+
+
 def best_of_overlapping(found: Column) -> Column:
-    """Of (cover, words, label, start, end) spans, those that no overlapping one beats: a greater share, then more words."""
+    """Of (cover, words, label, start, end) spans, those that no overlapping one beats: a greater share, then more words. Only spans of a
+    group of overlapping ones are compared with one another, so notices in a row cost no more than each by itself."""
     beats = lambda o, s: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["cover"], o["words"], o["label"]) > F.struct(s["cover"], s["words"], s["label"]))
-    return F.filter(found, lambda s: ~F.exists(found, lambda o: beats(o, s)))
+    return F.flatten(F.transform(overlapping(found), lambda group: F.filter(group, lambda s: ~F.exists(group, lambda o: beats(o, s)))))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -308,11 +308,6 @@ class _Links:
             tables.drop(done)
         return left
 
-    def _again(self, ids: DataFrame, k: int) -> DataFrame:
-        """Sketches of k values, for the classes that these ids stand for."""
-        texts = self.docs.select(self.id_col, self.text_col).join(small(ids.withColumnRenamed("id", self.id_col)), self.id_col, "left_semi")
-        return sketches(texts, self.id_col, self.text_col, self.width, k).dropDuplicates(["id", "digest"]).join(self.classes.select("id", "digest"), ["id", "digest"], "left_semi")
-
     def _listed_again(self, left: DataFrame) -> DataFrame:
         """Lists (h, id, n, c, x) of the members of divided lists, by RELIST hashes. A pair to link that isn't in one component yet has
         both ends among them. Whole sets share t of the larger one, which is 2 t / (1 + t) of the smaller one at least; sketches of

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspan.llm import chat, fim, search, tokencount, toxicity
+from loomspan.llm import chat, decontam, fim, licenses, search, tokencount, toxicity
 from loomspan.llm.bpe import vocabulary_path
 
 R = random.Random(11)
@@ -262,3 +262,24 @@ def test_tuning_never_reads_held_out_labels(spark):
     assert first == toxicity.tune(docs_, other, choices, folds=2).collect()
     rest = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
     assert all(r["found"] + r["missed"] + r["flagged"] + r["passed"] == rest for r in first) and first[0]["f1"] > 0.9
+
+
+def test_best_of_overlapping_spans(spark):
+    pick = random.Random(9)
+    rows = []
+    for k in range(60):
+        spans = [(pick.choice([0.8, 0.9, 1.0]), pick.randint(5, 30), pick.choice("abc"), a := pick.randint(0, 150), a + pick.randint(1, 40)) for _ in range(pick.randint(0, 25))]
+        rows.append((k, spans))
+    d = spark.createDataFrame(rows, f"k int, spans array<{licenses.SPAN}>")
+    got = {r["k"]: sorted(map(tuple, r["best"])) for r in d.select("k", licenses.best_of_overlapping(F.col("spans")).alias("best")).collect()}
+    for k, spans in rows:
+        beaten = lambda s: any(o[3] < s[4] and s[3] < o[4] and o[:3] > s[:3] for o in spans)  # noqa: B023, E731
+        assert got[k] == sorted(s for s in spans if not beaten(s))
+
+
+def test_equal_benchmark_items_part(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 400)
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)] * 30 + [(2, "x y z")], "item_id int, text string")
+    got = decontam.decontaminate(docs(spark, [(5, f"a {item} b"), (6, "x y z"), (7, "none")]), bench).collect()
+    assert {r["doc_id"]: r["n_items"] for r in got} == {5: 30, 6: 1, 7: 0}
