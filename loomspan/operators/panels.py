@@ -18,21 +18,31 @@ def align(frames: list[DataFrame], how: str = "inner", on: str = "dt") -> DataFr
     return reduce(lambda a, b: a.join(b, on, "inner" if how == "inner" else "full"), frames)
 
 
-def place_of(c: Column, kind: str) -> Column:
-    """A long that never falls as c rises: c itself as a number, or the first seven bytes of a string."""
+#: Values that are looked at to cut strings into buckets: those with the least hashes.
+CUT_SAMPLE = 8_000
+
+
+def cuts_of(df: DataFrame, order: str, buckets: int) -> tuple[Column, Column]:
+    """(what is compared, rising cuts) for about even buckets of a column: of a number, date or time its approximate percentiles, of a
+    string places in a bounded sample of its different values, compared whole, so that a common prefix changes nothing."""
+    kind = df.schema[order].dataType.simpleString()
     if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return c.cast("timestamp").cast("long") if kind in ("date", "timestamp_ntz") else c.cast("long")
+        # Different values alone: a common one would fill the sample, and no cut can divide it.
+        some = sorted(r[0] for r in df.where(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(CUT_SAMPLE).collect())
+        cuts = sorted({some[k * len(some) // buckets] for k in range(1, buckets)}) if some else []
+        return F.col(order), F.array(*map(F.lit, cuts)).cast("array<string>")
+    value = F.col(order).cast("timestamp").cast("long") if kind in ("date", "timestamp_ntz") else F.col(order).cast("long")
+    got = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)])).first()[0]
+    return value, F.array(*map(F.lit, sorted(set(got or [])))).cast("array<bigint>")
 
 
 def numbered(df: DataFrame, order: str, by: list[str] | None = None, buckets: int = 200) -> DataFrame:
     """`df` with _no, a row's number from 0 in `order` within each of few keys: no task orders a whole key.
 
-    Rows are dealt to buckets of rising order by approximate percentiles (their number bounds what reaches the driver), numbered within
-    each bucket, and shifted by the counts of the buckets before."""
-    keys, place = by or [], place_of(F.col(order), df.schema[order].dataType.simpleString())
-    cuts = df.agg(F.percentile_approx(place, [k / buckets for k in range(1, buckets)])).first()[0]
-    cut = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
+    Rows are dealt to buckets of rising order, numbered within each bucket, and shifted by the counts of the buckets before. The cuts are
+    found by a job of their own when this is called; their number bounds what reaches the driver."""
+    keys = by or []
+    place, cut = cuts_of(df, order, buckets)
     dealt = df.withColumn("_bucket", F.coalesce(F.size(F.filter(cut, lambda c: c < place)), F.lit(-1)))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

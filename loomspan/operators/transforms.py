@@ -91,7 +91,7 @@ def apply_top_k(rows: DataFrame, transform: DataFrame, features: list[str], by:
 
 def spread(rows: DataFrame, count: int, x: str = "x") -> tuple[DataFrame, list[str]]:
     """`rows` with the first `count` entries of an array as columns of their own, and these columns' names."""
-    names = [f"{x}{i}" for i in range(count)]
+    names = [f"_{x}_{i}" for i in range(count)]
     return rows.select("*", *[F.get(x, F.lit(i)).alias(n) for i, n in enumerate(names)]), names
 
 

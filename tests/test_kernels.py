@@ -100,3 +100,16 @@ def test_views_and_covariance_ahead():
     ahead = rs.forward_covariance(x, np.sqrt(np.diag(cov)))
     past = rs.forward_covariance(x, np.zeros(3), blend=0.0)
     assert np.linalg.eigvalsh(ahead).min() > -1e-12 and np.allclose(ahead, past, rtol=0.2)
+
+
+def test_numbers_of_strings_with_a_common_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from loomspan.operators import panels as pn
+
+    rows = spark.range(5000).select(F.concat(F.lit("customer-000000"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("id"), (F.col("id") % 2).alias("k"))
+    place, cuts = pn.cuts_of(rows, "id", 50)
+    sizes = [r["count"] for r in rows.groupBy(F.size(F.filter(cuts, lambda c: c < place)).alias("b")).count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 3 * 5000 / 50
+    got = {r["id"]: r["_no"] for r in pn.numbered(rows.repartition(7), "id", ["k"]).collect()}
+    assert all(got[f"customer-000000{i:08d}"] == i // 2 for i in range(5000))
