@@ -144,7 +144,9 @@ def adapted(records: DataFrame, by: str = "agent", base: float = 0.6, rate: floa
     w = Window.partitionBy(by).orderBy("dt")
     recent = F.coalesce(F.avg("ic").over(w.rowsBetween(-window, -1)), F.lit(0.0))
     last = w.rowsBetween(-5, -1)
-    better = F.when(F.count(F.lit(1)).over(last) >= 5, F.signum(F.avg(F.coalesce("ic", F.lit(0.0))).over(last))).otherwise(0.0)
+    mean = F.avg(F.coalesce("ic", F.lit(0.0))).over(last)
+    # A mean that is 0 but for the last digits of its sum moves nothing.
+    better = F.when(F.count(F.lit(1)).over(last) >= 5, F.when(mean > 1e-9, 1.0).when(mean < -1e-9, -1.0).otherwise(0.0)).otherwise(0.0)
     moves = records.select(by, "dt", F.when(recent > 0.05, 1).when(recent < -0.05, -1).otherwise(0).alias("up"), better.alias("to"))
     rounds = moves.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dt", "up", "to"))).alias("rounds"))
     day = records.schema["dt"].dataType.simpleString()

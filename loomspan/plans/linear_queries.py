@@ -342,7 +342,7 @@ ad as (
   union all
   select nu.agent, nu.i, nu.dt,
     case when recent > 0.05 then least(confidence + 0.05, 0.95) when recent < -0.05 then greatest(confidence - 0.1, 0.1) else confidence + (0.6 - confidence) * 0.1 end,
-    case when better > 0 then least(blend + 0.05, 0.9) when better < 0 then greatest(blend - 0.05, 0.1) else blend end
+    case when better > 1e-9 then least(blend + 0.05, 0.9) when better < -1e-9 then greatest(blend - 0.05, 0.1) else blend end
   from ad join nu on nu.agent = ad.agent and nu.i = ad.i + 1)"""
     register("adaptive_agent", adaptive_states, f"{states} select agent, dt, confidence, blend from ad where i > 0", "confidence blend")
 

@@ -13,15 +13,18 @@ def gram_sql(name: str, source: str, keys: str) -> str:
 
 
 def sweep_sql(name: str, source: str, keys: str, first: int, last: int) -> str:
-    """`name` is `source` (keys, i, j, v) after exchanging the pivots from first up to last, which is left out."""
+    """`name` is `source` (keys, i, j, v) after exchanging the pivots from first up to last, which is left out. A pivot whose column the
+    others explain becomes 0."""
     return f"""
 {name}_steps as materialized (
-  select {first} step, {keys}, i, j, v from {source}
+  select {first} step, {keys}, i, j, v, max(case when i = j then v end) over (partition by {keys}, j) d0 from {source}
   union all
   select step + 1, {keys}, i, j,
-    case when i = step and j = step then 1 / d when i = step then v / d when j = step then -v / d else v - down * across / d end
+    case when d > 1e-10 * own then case when i = step and j = step then 1 / d when i = step then v / d when j = step then -v / d else v - down * across / d end
+      when i = step or j = step then 0 else v end, d0
   from (
     select *, max(case when i = step and j = step then v end) over (partition by {keys}) d,
+      max(case when i = step and j = step then d0 end) over (partition by {keys}) own,
       max(case when j = step then v end) over (partition by {keys}, i) down, max(case when i = step then v end) over (partition by {keys}, j) across
     from {name}_steps where step < {last})
 ),
