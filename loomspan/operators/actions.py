@@ -68,6 +68,14 @@ def page(actions: DataFrame, order: list, offset: int = 0, limit: int = 100) ->
     return actions.orderBy(*order).offset(offset).limit(limit)
 
 
+def counted_page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50, where: Column | None = None) -> DataFrame:
+    """A page of the rows that a condition leaves, each with total, how many there are over all pages. A page behind the last is empty.
+
+    The page is a bounded sort (the first offset + limit rows of each task), the total a count of one row that is broadcast."""
+    left = rows if where is None else rows.where(where)
+    return page(left, order, offset, limit).crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("total"))))
+
+
 def merged_history(actions: DataFrame, limit: int = 100) -> DataFrame:
     """The newest rows of each platform, then the newest of those."""
     w = Window.partitionBy("platform").orderBy(F.desc("ts"), F.desc("event_id"))

@@ -375,6 +375,11 @@ STRATEGIES: dict[str, Callable] = {
 }
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as a shuffle has: a given number isn't coalesced, and a few small rows may cost much to solve."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None = None, lookback: int = DEFAULT.lookback, method: str = "shrinkage", least: int = 20, days: int = DEFAULT.days, strategy_fns: dict[str, Callable] | None = None) -> DataFrame:
     """(strategy, dt, asset, weight) for each rebalance date: a date's window and a strategy are one Arrow group, and all solve in parallel.
 
@@ -405,7 +410,7 @@ def allocate(returns: DataFrame, dates: DataFrame, strategies: list[str] | None
 
     each = window.select("on", "j", "asset", "r", F.explode(F.array(*map(F.lit, names))).alias("strategy"))
     # A row a strategy, date and asset: kept, as a backtest reads its targets several times and would solve anew.
-    return each.groupBy("on", "strategy").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()
+    return dealt(each, "on", "strategy").groupBy("on", "strategy").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()
 
 
 # ---- statistics of given weights, in SQL --------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import DEFAULT
-from loomspan.operators.allocation import Constraints, black_litterman, covariance, mean_variance, nearest_psd, shrunk
+from loomspan.operators.allocation import Constraints, black_litterman, covariance, dealt, mean_variance, nearest_psd, shrunk
 
 # ---- columns and lookups ------------------------------------------------------------------------------------------------
 
@@ -202,4 +202,4 @@ def forecast_targets(predictions: DataFrame, returns: DataFrame, dates: DataFram
         return pd.DataFrame({"strategy": "optimised_forecast", "dt": pdf["on"].iloc[0], "asset": wide.columns, "weight": w})
 
     # A row a date and asset: kept, as a backtest reads its targets several times and would solve anew.
-    return rows.groupBy("on").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()
+    return dealt(rows, "on").groupBy("on").applyInPandas(run, "strategy string, dt date, asset string, weight double").persist()

@@ -243,6 +243,41 @@ def integrated_targets(table: DataFrame, returns: DataFrame, features: list[str]
     return targets.unionByName(ag.blend_to_equal(scaled).select(F.lit("integrated").alias("strategy"), "dt", "asset", "weight"))
 
 
+def run_experiment(name: str, features: DataFrame, prices: DataFrame, returns: DataFrame, names: list[str], kind: str = "components", size: int = 2, train_end: str = "1997-12-31", start: str = "1998-01-01", horizon: int = 21, every: int = DEFAULT.rebalance, aversion: float = 5.0, cap: float = DEFAULT.max_weight, bps: float = DEFAULT.cost_bps, least: tuple[int, int] = (500, 50)) -> DataFrame:
+    """One row: experiment, ic, direction, and the metrics of its backtest. features: (dt, asset, names...).
+
+    A transform ("components", "top_k", or "none") and a linear model of each asset are fitted on rows up to train_end whose labels,
+    `horizon` rows ahead, are known by then, where there are `least` rows to train on and to test; both are applied from `start` on, and the
+    predictions to mean-variance targets, net of cost."""
+    from loomspan.operators import metrics as mt
+    from loomspan.operators import research as rs
+    from loomspan.operators import transforms as tf
+
+    w = by_time()
+    known_at = F.lead("dt", horizon).over(w)
+    labels = prices.select("dt", "asset", (F.lead("px", horizon).over(w) / F.col("px") - 1).alias("y"), known_at.alias("_known"))
+    rows = features.dropna(subset=names).join(labels, ["dt", "asset"])
+    train, live = rows.where((F.col("dt") <= train_end) & (F.col("_known") <= train_end)), rows.where(F.col("dt") >= start)
+    enough = train.groupBy("asset").agg(F.count(F.lit(1)).alias("_a")).join(live.groupBy("asset").agg(F.count("y").alias("_b")), "asset").where((F.col("_a") >= least[0]) & (F.col("_b") >= least[1])).select("asset")
+    if kind == "none":
+        columns, moved = names, (train, live)
+    else:
+        fit, apply = {"components": (tf.fit_components, tf.apply_components), "top_k": (tf.fit_top_k, tf.apply_top_k)}[kind]
+        fitted = fit(train, names, ["asset"], size)
+        moved = [tf.spread(apply(r, fitted, names, ["asset"]), size) for r in (train, live)]
+        columns, moved = moved[0][1], (moved[0][0], moved[1][0])
+    model = ln.least_squares(moved[0], "y", columns, ["asset"]).join(enough, "asset").select("asset", "beta")
+    p = sum((F.col("beta")[i + 1] * F.col(c) for i, c in enumerate(columns)), F.col("beta")[0])
+    # A row an asset and date, read by the scores and by the targets.
+    scored = moved[1].join(model, "asset").select("asset", "dt", "y", p.alias("p")).persist()
+    each = scored.where(F.col("y").isNotNull()).groupBy("asset").agg(F.corr("y", "p").alias("ic"), F.avg((F.signum("y") == F.signum("p")).cast("double")).alias("direction"))
+    dates = pn.rebalance_dates(scored.select("dt").distinct(), every, every)
+    targets = rs.forecast_targets(scored.select("dt", "asset", "p"), returns, dates, horizon, aversion=aversion, cap=cap, shrink=0.0)
+    net = bt.strategy_returns(prices.where(F.col("dt") >= start), targets, bps)
+    result = mt.evaluate_oos(net.select("strategy", "dt", "r"), "strategy").drop("strategy")
+    return each.agg(F.lit(name).alias("experiment"), F.avg("ic").alias("ic"), F.avg("direction").alias("direction")).crossJoin(F.broadcast(result))
+
+
 def macro_signal(level: Column, spread: Column, high: float, tilt: Column) -> Column:
     """Against risk when the level is high or the spread negative, with the tilt of the asset else."""
     return F.when((level > high) | (spread < 0), -tilt).otherwise(tilt)

@@ -63,6 +63,16 @@ def register_all() -> None:
         fn = ac.timeline if k == "round_num" else ac.agent_stats
         register(name, lambda s, d, fn=fn: fn(actions(s, d)), f"select * from ({PROFILE.format(k=k, o=o)}) join ({HIST.format(k=k)}) using ({k})")
     register("action_page", lambda s, d: ac.page(actions(s, d), [F.desc("ts"), F.desc("event_id")], 50, 100).select("event_id"), "select event_id from actions order by ts desc, event_id desc limit 100 offset 50")
+    # Purchases as posts, newest first; views of an agent's round as the comments of one post, oldest first.
+    posts = lambda s, d: ac.counted_page(actions(s, d), [F.desc("ts"), F.desc("event_id")], 20, 30, F.col("action_type") == "purchase").select("event_id", "agent_id", "total")
+    sql = """with p as (select *, count(*) over () total from actions where action_type = 'purchase')
+select event_id, agent_id, total from p order by ts desc, event_id desc limit 30 offset 20"""
+    register("post_page", posts, sql)
+    of = lambda: (F.col("action_type") == "view") & (F.col("agent_id") == 7)
+    comments = lambda s, d: ac.counted_page(actions(s, d), ["ts", "event_id"], 2, 10, of()).select("event_id", "round_num", "total")
+    sql = """with c as (select *, count(*) over () total from actions where action_type = 'view' and agent_id = 7)
+select event_id, round_num, total from c order by ts, event_id limit 10 offset 2"""
+    register("comment_page", comments, sql)
     register("merged_history", lambda s, d: ac.merged_history(actions(s, d)).select("event_id", "platform"), "select event_id, platform from actions order by ts desc, event_id desc limit 100")
     register("recent_actions", lambda s, d: ac.recent(actions(s, d)).select("platform", "event_id", "k"), "select platform, event_id, k from (select *, row_number() over (partition by platform order by ts desc, event_id desc) k from actions) where k <= 50")
     register("actions_since", lambda s, d: ac.since(actions(s, d), 500, ("signup",)).select("event_id", "agent_id", "action_type"), "select event_id, agent_id, action_type from actions where event_id > 500 and action_type <> 'signup'")

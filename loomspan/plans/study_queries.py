@@ -60,6 +60,12 @@ def register_all() -> None:
         return sd.integrated_targets(pn.label_table(features(s, d), prices(s, d)), returns(s, d), FEATURES, ag.agreement(agent_signals(s, d)))
 
     register("integrated_backtest", lambda s, d: mt.arithmetic(bt.strategy_returns(prices(s, d), integrated(s, d)).select("strategy", "dt", "r"), "strategy"))
+    def experiments(s, d):
+        f, p, r = features(s, d), prices(s, d), returns(s, d)
+        parts = [sd.run_experiment(f"linear_{kind}", f, p, r, FEATURES, kind) for kind in ("none", "components", "top_k")]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    register("experiments", experiments)
     register("rank_consensus", lambda s, d: sd.rank_consensus(fc.importance(labelled(s, d), "ridge", FEATURES).select(F.col("asset").alias("model"), "feature", "value")))
 
     def strategies(s, d):
