@@ -243,6 +243,24 @@ def test_url_columns_random(spark):
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
+def test_url_rules_beside_bytes_that_are_not_utf8(spark):
+    """Such bytes hide neither the :// nor the / after them, and no letter of a host or path."""
+    want = {
+        b"http\xc3://com/en/": ("com", "/en/", "com/en/", "block"),
+        b"http://a.example.com/en/7\xe9?\xe9": ("a.example.com", "/en/7\ufffd", "example.com/en/7", "allow"),
+        b"http://a\xf0.com/en/7": ("a\ufffd.com", "/en/7", "com/en/", "block"),
+        b"http://\x80A.net/de/\xc3": ("\ufffda.net", "/de/\ufffd", "net/de/", "block"),
+        b"http://a\xe2\x82example.net/de/8": ("a\ufffdexample.net", "/de/8", "net/de/", "block"),
+        b"http\xe2\x82://org/es/x\xff#\xff": ("org", "/es/x\ufffd", "org/es/", "block"),
+        b"http://a.\xc3com/en/": ("a.\ufffdcom", "/en/", None, None),
+        "http://é.🎉.com/en/é🎉".encode(): ("é.🎉.com", "/en/é🎉", "com/en/", "block"),
+    }
+    pages = spark.createDataFrame([(i, bytearray(u)) for i, u in enumerate(want)], "page_id long, b binary").selectExpr("page_id", "cast(b as string) url")
+    got = {r["page_id"]: r for r in urlfilter.url_filter(pages).collect()}
+    for i, (u, w) in enumerate(want.items()):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"] if w[2] else None) == w, u
+
+
 def test_url_trees_on_unseen_hosts(spark):
     """Trees of the labelled URLs of four fifths of the hosts rank those of the last fifth, and leave hyphenated names alone."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
